@@ -27,20 +27,20 @@ SUFFIX_PER_MILLI = {"u": 1000, "n": 1000**2}
 
 _NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
 _PATTERN = rf"^({_NUMBER}(?:[eE][+-]?[0-9]+)?)([numkMGTPE]|[KMGTPE]i)?$"
-_DECIMAL = "decimal(25,9)"
+_FACTORS = "map({})".format(", ".join(
+    [f"'{name}', CAST({factor} AS DECIMAL(22,0))" for name, factor in MILLI_PER_SUFFIX.items()]))
+_PARTS = "map({})".format(", ".join([f"'{name}', CAST({n} AS DECIMAL(7,0))" for name, n in SUFFIX_PER_MILLI.items()]))
 
 
 def _milli(text: Column) -> Column:
     # The bare suffix E is exa, but E followed by digits is an exponent; the greedy number takes the exponent first.
-    number = F.regexp_extract(text, _PATTERN, 1).try_cast(_DECIMAL)
+    # A text that does not fit gives an empty number, hence NULL.
+    number = F.regexp_extract(text, _PATTERN, 1).try_cast("decimal(25,9)")
     suffix = F.regexp_extract(text, _PATTERN, 2)
-    product = None
-    for name, factor in MILLI_PER_SUFFIX.items():
-        term = F.try_multiply(number, F.lit(str(factor)).cast("decimal(22,0)"))
-        product = F.when(suffix == name, term) if product is None else product.when(suffix == name, term)
-    for name, parts in SUFFIX_PER_MILLI.items():
-        product = product.when(suffix == name, (number / F.lit(parts).cast("decimal(7,0)")).cast("decimal(38,6)"))
-    return F.when(text.rlike(_PATTERN), product)
+    return F.coalesce(
+        F.try_multiply(number, F.try_element_at(F.expr(_FACTORS), suffix)),
+        F.try_divide(number, F.try_element_at(F.expr(_PARTS), suffix)),
+    ).cast("decimal(38,6)")
 
 
 def quantity_milli(text: Column) -> Column:

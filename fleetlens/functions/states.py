@@ -12,13 +12,21 @@ SEVERITIES = ["ok", "info", "err", "warning", "crit"]
 OK, PENDING, UNKNOWN, WARNING, CRITICAL = range(5)
 
 
+def _texts(values: list[str]) -> Column:
+    return F.expr("array({})".format(", ".join(f"'{v}'" for v in values)))
+
+
 def state_name(ordinal: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in STATES]), ordinal.cast("int") + 1)
+    return F.get(_texts(STATES), ordinal)
 
 
 def severity(ordinal: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SEVERITIES]), ordinal.cast("int") + 1)
+    return F.get(_texts(SEVERITIES), ordinal)
 
 
 def severity_of_name(name: Column) -> Column:
-    return severity(F.array_position(F.array(*[F.lit(s) for s in STATES]), name) - 1)
+    return severity((F.array_position(_texts(STATES), name) - 1).cast("int"))
+
+
+def state_ordinal(name: Column) -> Column:
+    return (F.array_position(_texts(STATES), name) - 1).cast("int")

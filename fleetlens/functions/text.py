@@ -28,8 +28,7 @@ def lower_pair(name: Column, value: Column) -> Column:
 
 def trim_stop(text: Column) -> Column:
     """Outer white space removed, then one full stop at the end removed."""
-    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    return F.when(trimmed.endswith("."), trimmed.substr(F.lit(1), F.length(trimmed) - 1)).otherwise(trimmed)
+    return F.regexp_replace(text, r"(?U)^\s+|\.?\s*$", "")
 
 
 def reason_message(reason: Column, message: Column) -> Column:

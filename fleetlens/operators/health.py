@@ -78,8 +78,8 @@ def message(template: str, *args: Column) -> Column:
     pieces = template.split("%s")
     parts = [F.lit(pieces[0])]
     for piece, arg in zip(pieces[1:], args, strict=True):
-        parts += [F.coalesce(arg.cast("string"), F.lit("")), F.lit(piece)]
-    return F.concat(*parts)
+        parts += [arg, F.lit(piece)] if piece else [arg]
+    return F.concat_ws("", *parts)
 
 
 def _instant(ts: Column) -> Column:

@@ -6,8 +6,9 @@ the same input (no shuffle), and each reads only the nested fields it needs, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,41 +133,49 @@ def with_containers(pods: DataFrame) -> DataFrame:
     ).drop("_inits", "_mains")
 
 
+def with_judged(pods: DataFrame) -> DataFrame:
+    """Add ``judged``: the containers with the verdict ``v`` on each, computed inside the row, without a shuffle."""
+    judge = lambda c: c.withField("v", health.container_verdict(c["spec"], c["status"]).both)
+    return with_containers(pods).withColumn("judged", F.transform("containers", judge))
+
+
 def with_roll_up(pods: DataFrame) -> DataFrame:
-    """Add ``_roll``: worst container state, reasons, running count and total of each pod, inside the row."""
-    verdicts = F.transform(
-        "containers",
-        lambda c: F.struct(c["sort"].alias("sort"), health.container_verdict(c["spec"], c["status"]).both.alias("v")),
-    )
-    judged = pods.withColumn("_judged", verdicts)
+    """Add ``_roll``: worst container state, reasons, running count and total of each pod."""
     line = lambda item: F.concat(
         F.lit("["), F.upper(health.state_name(item["v"]["state"])), F.lit("] "), item["v"]["reason"])
-    total = F.size(F.filter("_judged", lambda item: item["sort"] != "init"))
-    not_ok = F.size(F.filter("_judged", lambda item: item["v"]["state"] != health.OK))
-    return judged.withColumn(
+    total = F.size(F.filter("judged", lambda item: item["sort"] != "init"))
+    not_ok = F.size(F.filter("judged", lambda item: item["v"]["state"] != health.OK))
+    return with_judged(pods).withColumn(
         "_roll",
         F.struct(
-            F.coalesce(F.array_max(F.transform("_judged", lambda item: item["v"]["state"])), F.lit(health.OK)).alias("state"),
-            F.array_join(F.transform("_judged", line), "\n").alias("reasons"),
+            F.coalesce(F.array_max(F.transform("judged", lambda item: item["v"]["state"])), F.lit(health.OK)).alias("state"),
+            F.array_join(F.transform("judged", line), "\n").alias("reasons"),
             (total - not_ok).alias("running"), total.alias("total"),
         ),
-    ).drop("_judged")
+    )
+
 
+def with_amounts(pods: DataFrame) -> DataFrame:
+    """Add ``_amounts``: what each container asks for and may use, next to whether it is a main container."""
+    def amounts(c: Column) -> Column:
+        parts = [set_quantity_milli(c["spec"]["resources"][part][resource]).alias(name)
+                 for name, (part, resource) in RESOURCE_COLUMNS.items()]
+        return F.struct((c["sort"] == "main").alias("main"), *parts)
+    return pods.withColumn("_amounts", F.transform("containers", amounts))
 
-def pod_resource(column: str) -> Column:
-    """Sum over the main containers, but at least the largest single init or sidecar container."""
-    part, resource = RESOURCE_COLUMNS[column]
-    amount = lambda c: set_quantity_milli(c["spec"]["resources"][part][resource])
-    amounts = lambda main: F.filter(
-        F.transform(F.filter("containers", lambda c: (c["sort"] == "main") if main else (c["sort"] != "main")), amount),
-        lambda x: x.isNotNull())
-    mains = amounts(True)
-    total = F.when(F.size(mains) > 0, F.aggregate(mains, F.lit(0).cast("bigint"), lambda acc, x: acc + x))
-    return F.greatest(total, F.array_max(amounts(False)))
+
+def pod_resource(name: str) -> Column:
+    """Sum over the main containers, but at least the largest single init or sidecar container; NULL when none is set."""
+    def fold(total: Column, c: Column) -> Column:
+        both = F.coalesce(total, F.lit(0)) + c[name]
+        return F.coalesce(F.when(c["main"], both).otherwise(total), total)
+    mains = F.aggregate("_amounts", F.lit(None).cast("bigint"), fold)
+    others = F.array_max(F.transform("_amounts", lambda c: F.when(~c["main"], c[name])))
+    return F.greatest(mains, others)
 
 
 def pod_parent(pods: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame:
-    staged = with_roll_up(with_containers(pods))
+    staged = with_amounts(with_roll_up(pods))
     roll = health.RollUp(F.col("_roll.state"), F.col("_roll.reasons"), F.col("_roll.running"), F.col("_roll.total"))
     judged = health.with_health(staged, health.pod_verdict(F.col("meta"), F.col("status"), roll, as_of))
     return judged.select(
@@ -182,12 +191,12 @@ def pod_parent(pods: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame:
 
 def container_rows(pods: DataFrame) -> DataFrame:
     """All containers of all pods as flat rows with ``sort`` (init, sidecar, main) and ``position`` in the pod."""
-    exploded = (
-        with_containers(pods)
-        .select(F.col("uuid").alias("pod_uuid"), F.posexplode("containers").alias("position", "c"))
-        .select("pod_uuid", "position", "c.sort", "c.spec", "c.status")
+    judged = (
+        with_judged(pods)
+        .select(F.col("uuid").alias("pod_uuid"), F.posexplode("judged").alias("position", "c"))
+        .select("pod_uuid", "position", "c.sort", "c.spec", "c.status",
+                health.state_name(F.col("c.v.state")).alias("health_state"), F.col("c.v.reason").alias("health_reason"))
     )
-    judged = health.with_health(exploded, health.container_verdict(F.col("spec"), F.col("status")))
     state = F.col("status.state")
     state_type, details = first_set_member(
         [("Waiting", state["waiting"]), ("Running", state["running"]), ("Terminated", state["terminated"])])
@@ -255,15 +264,6 @@ def volume_tables(pods: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def pod_children(pods: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "pod_condition": condition_rows(pods, "pod", "status.conditions"),
-        **container_tables(pods),
-        "container_device": device_rows(pods), "container_mount": mount_rows(pods),
-        **volume_tables(pods),
-    }
-
-
 # --- nodes -----------------------------------------------------------------------------------------------------
 
 def node_parent(nodes: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame:
@@ -299,13 +299,6 @@ def node_volume_rows(nodes: DataFrame) -> DataFrame:
         in_use.alias("mounted"))
 
 
-def node_children(nodes: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "node_condition": condition_rows(nodes, "node", "status.conditions"),
-        "node_volume": node_volume_rows(nodes),
-    }
-
-
 # --- workloads -------------------------------------------------------------------------------------------------
 
 def _counts(**columns: str) -> list[Column]:
@@ -411,16 +404,17 @@ def service_parent(df: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame
         or_default(s("internalTrafficPolicy"), "internal_traffic_policy").alias("internal_traffic_policy"), *raw)
 
 
-def service_children(df: DataFrame) -> dict[str, DataFrame]:
-    selectors = map_entries_of(df, "spec.selector")
-    text = lambda name: F.coalesce(F.col(f"p.{name}"), F.lit("")).alias
-    ports = df.select("uuid", F.explode("spec.ports").alias("p")).select(
-        F.col("uuid").alias("service_uuid"), text("name")("name"), text("protocol")("protocol"),
-        text("appProtocol")("app_protocol"), F.col("p.port").alias("port"), text("targetPort")("target_port"),
+def service_port_rows(df: DataFrame) -> DataFrame:
+    text = lambda field_, name: F.coalesce(F.col(f"p.{field_}"), F.lit("")).alias(name)
+    return df.select("uuid", F.explode("spec.ports").alias("p")).select(
+        F.col("uuid").alias("service_uuid"), text("name", "name"), text("protocol", "protocol"),
+        text("appProtocol", "app_protocol"), F.col("p.port").alias("port"), text("targetPort", "target_port"),
         zero_if_null(F.col("p.nodePort")).alias("node_port"))
+
+
+def selector_tables(df: DataFrame) -> dict[str, DataFrame]:
+    selectors = map_entries_of(df, "spec.selector")
     return {
-        "service_condition": condition_rows(df, "service"),
-        "service_port": ports,
         "selector": selectors.select(F.col("entry_uuid").alias("uuid"), "name", "value"),
         "service_selector": selectors.select(F.col("resource_uuid").alias("service_uuid"),
                                              F.col("entry_uuid").alias("selector_uuid")),
@@ -460,10 +454,6 @@ def target_ref_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def endpoint_slice_children(df: DataFrame) -> dict[str, DataFrame]:
-    return {"endpoint": endpoint_rows(df), "endpoint_target_ref": target_ref_rows(df)}
-
-
 def ingress_parent(df: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame:
     return df.select(*meta_columns(), *raw)
 
@@ -534,12 +524,10 @@ def persistent_volume_parent(df: DataFrame, as_of: Column, raw: list[Column]) ->
         null_if_empty(F.col("message")).alias("message"), *raw)
 
 
-def persistent_volume_children(df: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "persistent_volume_claim_ref": df.filter(F.col("claimRef").isNotNull()).select(
-            F.col("uuid").alias("persistent_volume_uuid"), F.col("claimRef.kind").alias("kind"),
-            F.col("claimRef.name").alias("name"), F.col("claimRef.uid").alias("uid"))
-    }
+def claim_ref_rows(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("claimRef").isNotNull()).select(
+        F.col("uuid").alias("persistent_volume_uuid"), F.col("claimRef.kind").alias("kind"),
+        F.col("claimRef.name").alias("name"), F.col("claimRef.uid").alias("uid"))
 
 
 def event_parent(df: DataFrame, as_of: Column, raw: list[Column]) -> DataFrame:
@@ -573,22 +561,44 @@ Parent = Callable[..., DataFrame]
 Children = Callable[[DataFrame], dict[str, DataFrame]]
 
 
+class Group:
+    """Tables that one function builds together, built once."""
+
+    def __init__(self, build: Children, objects: DataFrame) -> None:
+        self._build, self._objects, self._tables = build, objects, None
+
+    def __call__(self, name: str) -> DataFrame:
+        if self._tables is None:
+            self._tables = self._build(self._objects)
+        return self._tables[name]
+
+
 @dataclass(frozen=True)
 class Kind:
-    """How one kind becomes rows. ``traits`` names the shared child tables: labels, annotations, owners, conditions."""
+    """How one kind becomes rows.
+
+    ``children`` maps the names of child tables to the function that builds them; ``traits`` names the shared child
+    tables: labels, annotations, owners, conditions.
+    """
 
     name: str
     parent: Parent
-    children: Children | None = None
+    children: dict[tuple[str, ...], Children] = field(default_factory=dict)
     traits: frozenset[str] = field(default_factory=frozenset)
 
 
 KINDS: dict[str, Kind] = {}
 
 
-def register_kind(name: str, parent: Parent, children: Children | None = None, traits: set[str] | None = None) -> None:
+def register_kind(
+    name: str, parent: Parent, children: dict[tuple[str, ...], Children] | None = None, traits: set[str] | None = None
+) -> None:
     """Add a kind (or replace one); its input schema and relations are registered in :mod:`fleetlens.schemas`."""
-    KINDS[name] = Kind(name, parent, children, frozenset(traits or ()))
+    KINDS[name] = Kind(name, parent, children or {}, frozenset(traits or ()))
+
+
+def _single(name: str, build: Callable[[DataFrame], DataFrame]) -> dict[tuple[str, ...], Children]:
+    return {(name,): lambda objects: {name: build(objects)}}
 
 
 def _traits(kind: str, own_conditions: bool = False) -> set[str]:
@@ -604,47 +614,91 @@ def _traits(kind: str, own_conditions: bool = False) -> set[str]:
     return found
 
 
+POD_CHILDREN = {
+    **_single("pod_condition", lambda pods: condition_rows(pods, "pod", "status.conditions")),
+    ("container", "sidecar_container", "init_container"): container_tables,
+    **_single("container_device", device_rows), **_single("container_mount", mount_rows),
+    ("pod_pvc", "pod_volume"): volume_tables,
+}
+NODE_CHILDREN = {
+    **_single("node_condition", lambda nodes: condition_rows(nodes, "node", "status.conditions")),
+    **_single("node_volume", node_volume_rows),
+}
+SERVICE_CHILDREN = {
+    **_single("service_condition", lambda df: condition_rows(df, "service")),
+    **_single("service_port", service_port_rows), ("selector", "service_selector"): selector_tables,
+}
+ENDPOINT_CHILDREN = {**_single("endpoint", endpoint_rows), **_single("endpoint_target_ref", target_ref_rows)}
+INGRESS_CHILDREN = {
+    ("ingress_tls", "ingress_rule", "ingress_backend_service", "ingress_backend_resource"): ingress_children,
+}
+
 for _name, _parent, _children, _own in [
     ("namespace", namespace_parent, None, False),
-    ("node", node_parent, node_children, True),
-    ("pod", pod_parent, pod_children, True),
+    ("node", node_parent, NODE_CHILDREN, True),
+    ("pod", pod_parent, POD_CHILDREN, True),
     ("deployment", deployment_parent, None, False),
     ("replica_set", replica_set_parent, None, False),
     ("daemon_set", daemon_set_parent, None, False),
     ("stateful_set", stateful_set_parent, None, False),
     ("job", job_parent, None, False),
     ("cron_job", cron_job_parent, None, False),
-    ("service", service_parent, service_children, True),
-    ("endpoint_slice", endpoint_slice_parent, endpoint_slice_children, False),
-    ("ingress", ingress_parent, ingress_children, False),
+    ("service", service_parent, SERVICE_CHILDREN, True),
+    ("endpoint_slice", endpoint_slice_parent, ENDPOINT_CHILDREN, False),
+    ("ingress", ingress_parent, INGRESS_CHILDREN, False),
     ("config_map", config_map_parent, None, False),
     ("secret", secret_parent, None, False),
     ("pvc", pvc_parent, None, False),
-    ("persistent_volume", persistent_volume_parent, persistent_volume_children, False),
+    ("persistent_volume", persistent_volume_parent, _single("persistent_volume_claim_ref", claim_ref_rows), False),
     ("event", event_parent, None, False),
 ]:
     register_kind(_name, _parent, _children, _traits(_name, _own))
 
 
-def normalize(kind: str, df: DataFrame, as_of=None, keep_raw: bool = False, **options) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Tables by name, each built when it is first asked for."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]) -> None:
+        self._builders, self._built = builders, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def normalize(kind: str, df: DataFrame, as_of=None, keep_raw: bool = False, **options) -> Tables:
     """All tables one kind produces. ``as_of`` is needed by the rules that compare with the present (pods, cron jobs).
 
     ``keep_raw`` adds the whole object as JSON text (``object_json``) to the parent row.
     """
     entry = KINDS[kind]
     objects = with_meta(df)
-    now = health.as_of_column(as_of) if as_of is not None else F.lit(None).cast("timestamp")
-    raw = [F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("object_json")] if keep_raw else []
-    tables = {kind: entry.parent(objects, now, raw, **options)}
-    if entry.children:
-        tables |= entry.children(objects)
+
+    def parent() -> DataFrame:
+        now = health.as_of_column(as_of) if as_of is not None else F.lit(None).cast("timestamp")
+        raw = [F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("object_json")] if keep_raw else []
+        return entry.parent(objects, now, raw, **options)
+
+    builders: dict[str, Callable[[], DataFrame]] = {kind: parent}
+    for names, build in entry.children.items():
+        group = Group(build, objects)
+        builders |= {name: partial(group, name) for name in names}
     if "conditions" in entry.traits:
-        tables[f"{kind}_condition"] = condition_rows(objects, kind)
+        builders[f"{kind}_condition"] = partial(condition_rows, objects, kind)
     if "owners" in entry.traits:
-        tables[f"{kind}_owner"] = owner_rows(objects, kind)
-    if "labels" in entry.traits:
-        # Endpoint slices link their labels by kind only.
-        tables |= entry_tables(objects, kind, "meta.labels", "label", resource_links=kind != "endpoint_slice")
-    if "annotations" in entry.traits:
-        tables |= entry_tables(objects, kind, "meta.annotations", "annotation")
-    return tables
+        builders[f"{kind}_owner"] = partial(owner_rows, objects, kind)
+    for trait, noun in (("labels", "label"), ("annotations", "annotation")):
+        if trait in entry.traits:
+            # Endpoint slices link their labels by kind only.
+            linked = not (kind == "endpoint_slice" and noun == "label")
+            group = Group(partial(entry_tables, kind=kind, column=f"meta.{trait}", noun=noun, resource_links=linked), objects)
+            names = [noun, f"{kind}_{noun}", *([f"resource_{noun}"] if linked else [])]
+            builders |= {name: partial(group, name) for name in names}
+    return Tables(builders)

@@ -19,6 +19,8 @@ TUNING_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
+    # Recording the call site of every expression makes building wide plans several times slower.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
