@@ -26,7 +26,7 @@ def rfc(ts: str) -> str:
 
 
 def ms(ts: str) -> str:
-    return f"epoch_ms({ts})"
+    return f"(epoch_us({ts}) // 1000)"
 
 
 AS_OF = "TIMESTAMP '2000-06-01 00:00:00'"
