@@ -501,7 +501,7 @@ GAUGE_START = 1700000000
 def _sample(cluster_uid: Column, metric: str | Column, at_seconds: Column, value: Column, **label_columns: Column) -> list[Column]:
     return [
         cluster_uid.alias("cluster_uid"), (F.lit(metric) if isinstance(metric, str) else metric).alias("metric"),
-        labels(*label_columns.items()).alias("labels"), F.timestamp_micros((at_seconds * 1000000).cast("bigint")).alias("ts"),
+        labels(*label_columns.items()).alias("labels"), F.timestamp_seconds(at_seconds.cast("bigint")).alias("ts"),
         value.cast("double").alias("value")]
 
 

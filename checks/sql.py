@@ -195,7 +195,7 @@ UNION ALL SELECT m.metric, cluster_uuid, name, CASE WHEN m.exporter THEN '10.0.0
 FROM k_node, (VALUES (0), (60)) t(d), (VALUES ('kube_node_info', FALSE, NULL), ('machine_cpu_cores', FALSE, NULL), ('machine_memory_bytes', FALSE, NULL),
   ('node_memory_MemTotal_bytes', TRUE, NULL), ('node_memory_MemAvailable_bytes', TRUE, NULL), ('node_filesystem_size_bytes', FALSE, '/'),
   ('node_filesystem_size_bytes', FALSE, '/var'), ('node_filesystem_avail_bytes', FALSE, '/'), ('node_filesystem_avail_bytes', FALSE, '/var')) m(metric, exporter, mountpoint)
-UNION ALL SELECT 'kube_namespace_created', {eu("'region-' || n_regionkey")}, NULL, NULL, n_name, NULL, NULL, NULL, NULL, NULL, NULL, (n_nationkey + {_G}) * 1000, n_nationkey FROM nation
+UNION ALL SELECT 'kube_namespace_created', {eu("'region-' || n_regionkey")}, NULL, NULL, n_name, NULL, NULL, NULL, NULL, NULL, NULL, (CAST(n_nationkey AS BIGINT) + {_G}) * 1000, n_nationkey FROM nation
 UNION ALL SELECT 'kube_pod_container_resource_' || x.part, p.cluster_uuid, p.node_name, NULL, p.namespace, p.name, c.name, x.resource, NULL, NULL, NULL,
        (p.pkey % 200 + {_G}) * 1000, x.v / 1000.0
 FROM k_container_fact c JOIN k_pod p ON c.pkey = p.pkey, LATERAL (SELECT 'requests' AS part, 'cpu' AS resource, cpu_requests AS v UNION ALL

@@ -1,0 +1,45 @@
+"""What the streaming functions do with one batch."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import inputs as I
+from checks.registry import check
+from checks.scalars import tail_sql
+from checks.sql import eu
+from fleetlens.functions.ids import ensure_uuid
+from fleetlens.streaming import changes as C
+from fleetlens.streaming.logs import append_logs
+
+check("changes_by_type", "SELECT type, COUNT(*) AS changes, COUNT(DISTINCT uid) AS objects FROM k_change GROUP BY type")(
+    lambda spark, sf: I.changes(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("uid").alias("objects")))
+check("changes_applied", "SELECT uuid, seq, payload FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY seq DESC) AS rn FROM k_change) WHERE rn = 1 AND type <> 'DELETED'")(
+    lambda spark, sf: C.without_deletes(C.coalesce_changes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
+check("events_keep", "SELECT uuid, MAX(seq) AS seq, arg_max(payload, seq) AS payload FROM k_change WHERE type <> 'DELETED' GROUP BY uuid")(
+    lambda spark, sf: C.coalesce_changes(C.without_deletes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
+check("delete_once", "SELECT DISTINCT uuid FROM k_change WHERE type = 'DELETED'")(lambda spark, sf: C.deleted_ids(I.changes(spark, sf)))
+check("deleting_soon", "SELECT uid FROM k_pod WHERE NOT (pkey % 37 = 0 AND created + INTERVAL 1 DAY <= TIMESTAMP '1998-01-01 00:00:30')")(
+    lambda spark, sf: C.not_deleting_soon(I.pods(spark, sf), "1998-01-01 00:00:00").select("meta.uid"))
+
+
+check("scan_logs", "SELECT container_uuid, COUNT(*) AS lines, CAST(SUM(strlen(text)) AS BIGINT) AS bytes FROM k_log WHERE at_s > 5000 GROUP BY container_uuid")(
+    lambda spark, sf: I.logs(spark, sf).filter(F.col("ts") > F.timestamp_seconds(F.lit(5000))).groupBy("container_uuid").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes")))
+
+LOG_SIZE = 400
+_FIRST = f"SELECT container_uuid, string_agg(text || chr(10), '' ORDER BY seq) AS t FROM k_log WHERE seq < 2 GROUP BY container_uuid"
+_THEN = f"SELECT container_uuid, string_agg(text || chr(10), '' ORDER BY seq) AS t FROM k_log WHERE seq >= 2 GROUP BY container_uuid"
+
+
+@check("container_logs", f"""
+WITH a AS (SELECT container_uuid, {tail_sql('t', LOG_SIZE)} AS s FROM ({_FIRST})), b AS ({_THEN}),
+j AS (SELECT a.container_uuid, a.s, b.t, COALESCE(a.s, '') || COALESCE(b.t, '') AS w FROM a LEFT JOIN b ON a.container_uuid = b.container_uuid),
+k AS (SELECT container_uuid, CASE WHEN t IS NULL THEN s ELSE {tail_sql('w', LOG_SIZE)} END AS logs FROM j)
+SELECT container_uuid, logs FROM k""")
+def container_logs(spark, sf):
+    """Two rounds: the first two turns of each conversation, then the rest."""
+    lines = I.logs(spark, sf)
+    empty = spark.createDataFrame([], "container_uuid string, logs string, last_update timestamp")
+    stored = append_logs(empty, lines.filter("seq < 2"), LOG_SIZE)
+    return append_logs(stored, lines.filter("seq >= 2"), LOG_SIZE).select("container_uuid", "logs")

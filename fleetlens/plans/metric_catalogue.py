@@ -47,7 +47,7 @@ def _queries() -> list[MetricQuery]:
         "node_cpu_seconds_total", "container_cpu_usage_seconds_total", "container_memory_usage_bytes")
     busy, physical = {"mode": IDLE_MODES}, {"device": VIRTUAL_DEVICES}
     found = [
-        q("cluster", "node.count", "count_groups", "kube_node_info", by=("node",)),
+        q("cluster", "node.count", "count_groups", "kube_node_info", inner_by=("node",)),
         q("cluster", "namespace.count", "count", "kube_namespace_created"),
         *[q("cluster", f"pod.{name.lower()}", "sum", phase, equal={"phase": name})
           for name in ("Running", "Pending", "Failed", "Succeeded")],
@@ -94,8 +94,8 @@ def _sum_by(values: DataFrame, by: tuple[str, ...], value=None) -> DataFrame:
 
 
 def _count_groups(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    values = S.with_labels(S.instant(samples, [query.metric]), list(query.by))
-    return values.groupBy("cluster_uuid", "step").agg(F.count_distinct(*query.by).cast("double").alias("value"))
+    values = S.with_labels(S.instant(samples, [query.metric]), list(query.inner_by))
+    return values.groupBy("cluster_uuid", "step").agg(F.count_distinct(*query.inner_by).cast("double").alias("value"))
 
 
 def _count(query: MetricQuery, samples: DataFrame) -> DataFrame:

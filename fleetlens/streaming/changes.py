@@ -26,6 +26,11 @@ def coalesce_changes(changes: DataFrame) -> DataFrame:
     return dedup_last(changes, ["kind", "uid"], ["seq"])
 
 
+def without_deletes(changes: DataFrame) -> DataFrame:
+    """A feed whose deletions are ignored."""
+    return changes.filter(F.col("type") != "DELETED")
+
+
 def deleted_ids(changes: DataFrame) -> DataFrame:
     """uuids to delete; each once, however often its deletion is reported."""
     return changes.filter(F.col("type") == "DELETED").select(ensure_uuid(F.col("uid")).alias("uuid")).dropDuplicates()
@@ -63,7 +68,9 @@ class ChangeApplier:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         now = self.as_of()
-        latest = coalesce_changes(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        # Deletions of kept kinds are left out first, so that the last version before them is stored.
+        ignored = F.col("kind").isin(list(self.keep_kinds)) & (F.col("type") == "DELETED")
+        latest = coalesce_changes(batch.filter(~ignored)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             present = {(r.kind, r.gone) for r in latest.select(
                 "kind", (F.col("type") == "DELETED").alias("gone")).distinct().collect()}
@@ -71,7 +78,7 @@ class ChangeApplier:
                 of_kind = latest.filter(F.col("kind") == kind)
                 gone = deleted_ids(of_kind)
                 tables: dict[str, DataFrame] = {}
-                if (kind, True) in present and kind not in self.keep_kinds:
+                if (kind, True) in present:
                     self.store.cascade_delete(kind, gone, batch=Batch(batch_id, f"{kind}-delete"))
                 if (kind, False) in present:
                     objects = not_deleting_soon(objects_of(latest, kind), now)
