@@ -99,7 +99,8 @@ class TableStore:
                 by_day.setdefault(p[_DAY], []).append(p[_BUCKET])
             inside = F.lit(False)
             for day, numbers in by_day.items():
-                inside = inside | ((F.col(_DAY) == F.lit(day)) & F.col(_BUCKET).isin(numbers))
+                # Rows without an instant have a partition too.
+                inside = inside | (F.col(_DAY).eqNullSafe(F.lit(day).cast("date")) & F.col(_BUCKET).isin(numbers))
         return stored.filter(inside & F.col(_LIVE)).drop(_LIVE)
 
     def _replace(self, table: str, touched: list, content: DataFrame, batch: "Batch | None") -> None:

@@ -15,6 +15,7 @@ from fleetlens import schemas
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators.links import stale_keys
 from fleetlens.operators.merge import dedup_last
+from fleetlens.session import shared_folder
 from fleetlens.sources.tables import Batch, TableStore
 
 # Fixed value: upserts of objects that go within this many seconds are left to the delete that follows.
@@ -113,6 +114,8 @@ def reconcile(store: TableStore, kind: str, snapshot: DataFrame) -> DataFrame:
     listed = snapshot.select(ensure_uuid(F.col("cluster_uid")).alias("cluster_uuid")).distinct()
     warmed = stored.join(listed, "cluster_uuid", "left_semi").select(
         F.concat_ws("|", "cluster_uuid", "namespace", "name").alias("key"), "uuid")
-    stale = stale_keys(warmed, current).persist(StorageLevel.MEMORY_AND_DISK)
+    # Written out: the deletes below change the very table the stale keys are read from.
+    store.spark.sparkContext.setCheckpointDir(shared_folder(store.spark))
+    stale = stale_keys(warmed, current).checkpoint()
     store.cascade_delete(kind, stale.select("uuid"))
     return stale
