@@ -140,7 +140,7 @@ for _key, _query in M.QUERIES.items():
 
 @check("counter_rate", f"""SELECT cluster_uuid, instance || '/' || cpu || '/' || mode AS series, step AS timestamp, ROUND(value, 6) AS rate FROM {rate_sql('node_cpu_seconds_total', 2)}""")
 def counter_rate(spark, sf):
-    rates = S.with_labels(S.counter_rate(I.samples(spark, sf, "node_cpu_seconds_total"), 2), ["instance", "cpu", "mode"])
+    rates = S.counter_rate(I.samples(spark, sf, "node_cpu_seconds_total"), 2, ["instance", "cpu", "mode"])
     return flat(rates.select("cluster_uuid", F.concat_ws("/", "instance", "cpu", "mode").alias("series"), F.col("step").alias("timestamp"), F.round("v0", 6).alias("rate")))
 
 

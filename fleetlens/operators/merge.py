@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def dedup_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Last row per key by ``order``.
+    """Last row per key by ``order`` (NULL comes first).
 
-    A hash aggregation with partial maxima on the map side: at most one row per key and task is shuffled, so a key
-    holding a large share of all rows costs no more than any other.
+    Spark limits each key to one row per task before the shuffle (window group limit), so a key holding a large share
+    of all rows costs no more than any other.
     """
-    row = F.struct(*[F.col(c) for c in df.columns])
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    return df.groupBy(*keys).agg(F.max_by(row, rank).alias("_row")).select("_row.*")
+    latest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    return df.withColumn("_place", F.row_number().over(latest)).filter("_place = 1").drop("_place")
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:

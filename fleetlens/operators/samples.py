@@ -8,7 +8,9 @@ raw samples are shuffled once and only per-slice results are copied to the steps
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP_SECONDS = 60
@@ -28,18 +30,25 @@ def minute_bucket_ms(ts: Column) -> Column:
 
 def slice_end(ts: Column) -> Column:
     """First whole minute at or after an instant."""
-    floor = F.date_trunc("minute", ts)
-    return F.when(floor == ts, floor).otherwise(floor + F.expr("INTERVAL 1 MINUTE"))
+    return F.timestamp_seconds(_minute_index(ts) * STEP_SECONDS)
+
+
+def _minute_index(ts: Column) -> Column:
+    """Number of the first whole minute at or after an instant; slices are handled as plain numbers."""
+    return F.ceil(F.unix_micros(ts) / F.lit(STEP_SECONDS * 1000000).cast("bigint"))
 
 
 def series_of(labels: Column) -> Column:
-    return F.array_sort(F.map_entries(labels))
+    return F.sort_array(F.map_entries(labels))
+
 
+def label_of(name: str) -> Column:
+    """Value of a label, empty text when the sample does not have it."""
+    return F.coalesce(F.try_element_at("labels", F.lit(name)), F.lit(""))
 
-def label(series: Column, name: str) -> Column:
-    """Value of a label, empty text when the series does not have it."""
-    found = F.filter(series, lambda e: e["key"] == name)
-    return F.coalesce(F.try_element_at(found, F.lit(1))["value"], F.lit(""))
+
+def _labelled(labels: Sequence[str]) -> list[Column]:
+    return [label_of(name).alias(name) for name in labels]
 
 
 def matches(samples: DataFrame, metric: str | list[str], equal: dict[str, str] | None = None,
@@ -47,37 +56,41 @@ def matches(samples: DataFrame, metric: str | list[str], equal: dict[str, str] |
     """Samples of a metric whose labels equal given texts and do not match given (fully anchored) patterns."""
     names = [metric] if isinstance(metric, str) else metric
     picked = samples.filter(F.col("metric").isin(names) if len(names) > 1 else F.col("metric") == names[0])
-    value = lambda name: F.coalesce(F.try_element_at("labels", F.lit(name)), F.lit(""))
     for name, text in (equal or {}).items():
-        picked = picked.filter(value(name) == text)
+        picked = picked.filter(label_of(name) == text)
     for name, pattern in (not_regex or {}).items():
-        picked = picked.filter(~value(name).rlike(f"^(?:{pattern})$"))
+        picked = picked.filter(~label_of(name).rlike(f"^(?:{pattern})$"))
     return picked
 
 
-def _steps_after(slice_: Column, count: int) -> Column:
-    """The grid steps a slice is visible at: its own end and the following ones."""
-    return F.sequence(slice_, slice_ + F.expr(f"INTERVAL {count - 1} MINUTES"), F.expr("INTERVAL 1 MINUTE"))
+def _with_steps(df: DataFrame, first: Column, last: Column) -> DataFrame:
+    """One row per grid step between two minute numbers."""
+    minutes = df.withColumn("_minute", F.explode(F.sequence(first, last)))
+    return minutes.withColumn("step", F.timestamp_seconds(F.col("_minute") * STEP_SECONDS)).drop("_minute")
 
 
-def instant(samples: DataFrame, metrics: list[str], lookback_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
+def instant(
+    samples: DataFrame, metrics: list[str], labels: Sequence[str] = (), lookback_minutes: int = LOOKBACK_MINUTES
+) -> DataFrame:
     """Newest value per series and grid step, one column ``v0, v1, ..`` per metric (NULL when it has none).
 
-    Several metrics of equal label sets are matched by grouping instead of joining.
+    A value is visible from the end of its minute until the next minute with a value, at most for the lookback; it is
+    copied to just those steps. Several metrics of equal label sets are matched by grouping instead of joining.
+    ``labels`` become columns. A series has one value per instant.
     """
+    series = ["cluster_uuid", "series", *labels]
+    kinds = ["metric"] if len(metrics) > 1 else []
+    tagged = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels), *kinds,
+                            _minute_index(F.col("ts")).alias("slice"), "ts", "value")
+    # At most one row per series and minute leaves a task.
+    per_slice = tagged.groupBy(*series, *kinds, "slice").agg(F.max_by("value", "ts").alias("value"))
+    following = F.lead("slice").over(Window.partitionBy("cluster_uuid", "series", *kinds).orderBy("slice"))
+    until = F.least(F.col("slice") + (lookback_minutes - 1), F.col("_next") - 1)
+    stepped = _with_steps(per_slice.withColumn("_next", following), F.col("slice"), until)
     if len(metrics) == 1:
-        per_metric = lambda value, m: value
-    else:
-        per_metric = lambda value, m: F.when(F.col("metric") == m, value)
-    keys = ["cluster_uuid", "series"]
-    tagged = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), "metric",
-                            slice_end(F.col("ts")).alias("slice"), "ts", "value")
-    per_slice = tagged.groupBy(*keys, "metric", "slice").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
-    stepped = per_slice.select(*keys, "metric", "slice", "value",
-                               F.explode(_steps_after(F.col("slice"), lookback_minutes)).alias("step"))
-    return stepped.groupBy(*keys, "step").agg(*[
-        F.max_by(per_metric(F.col("value"), m), per_metric(F.col("slice"), m)).alias(f"v{i}") for i, m in enumerate(metrics)
-    ])
+        return stepped.select(*series, "step", F.col("value").alias("v0"))
+    return stepped.groupBy(*series, "step").agg(*[
+        F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"v{i}") for i, m in enumerate(metrics)])
 
 
 def instant_at(samples: DataFrame, at, lookback_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
@@ -85,7 +98,7 @@ def instant_at(samples: DataFrame, at, lookback_minutes: int = LOOKBACK_MINUTES)
     end = F.lit(at).cast("timestamp")
     recent = samples.filter((F.col("ts") <= end) & (F.col("ts") > end - F.expr(f"INTERVAL {lookback_minutes} MINUTES")))
     return recent.groupBy("cluster_uuid", "metric", series_of(F.col("labels")).alias("series")).agg(
-        F.max_by("value", F.struct("ts", "value")).alias("v0")).withColumn("step", end)
+        F.max_by("value", "ts").alias("v0")).withColumn("step", end)
 
 
 def _rise(values: Column) -> Column:
@@ -95,7 +108,7 @@ def _rise(values: Column) -> Column:
     return F.aggregate(rises, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def counter_rate(samples: DataFrame, window_minutes: int) -> DataFrame:
+def counter_rate(samples: DataFrame, window_minutes: int, labels: Sequence[str] = ()) -> DataFrame:
     """Per-second rise of each counter series over the window before each grid step.
 
     Samples are gathered per series and minute as a *set* of (instant in ms, value): repeats vanish on the map side, and
@@ -103,9 +116,9 @@ def counter_rate(samples: DataFrame, window_minutes: int) -> DataFrame:
     slice gives (first, last, rise inside); the slices of a window are then chained. Fewer than two samples in a window
     give no row.
     """
-    keys = ["cluster_uuid", "series"]
-    points = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"),
-                            slice_end(F.col("ts")).alias("slice"),
+    keys = ["cluster_uuid", "series", *labels]
+    points = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels),
+                            _minute_index(F.col("ts")).alias("slice"),
                             F.struct(F.unix_millis("ts").alias("t"), F.col("value").alias("v")).alias("p"))
     gathered = points.groupBy(*keys, "slice").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     # Of several values at one instant the largest stays.
@@ -117,7 +130,7 @@ def counter_rate(samples: DataFrame, window_minutes: int) -> DataFrame:
             F.col("slice").alias("slice"), F.element_at("ps", 1).alias("first"), F.element_at("ps", -1).alias("last"),
             F.size("ps").alias("n"), _rise(F.transform("ps", lambda p: p["v"])).alias("rise")).alias("part"))
     windows = (
-        parts.select(*keys, "part", F.explode(_steps_after(F.col("slice"), window_minutes)).alias("step"))
+        _with_steps(parts, F.col("slice"), F.col("slice") + (window_minutes - 1))
         .groupBy(*keys, "step").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     )
     first, last = F.element_at("parts", 1)["first"], F.element_at("parts", -1)["last"]
@@ -142,10 +155,5 @@ def divide(left: Column, right: Column) -> Column:
     return F.when(right == 0, by_zero).otherwise(F.try_divide(left, right))
 
 
-def with_labels(values: DataFrame, labels: list[str]) -> DataFrame:
-    """Turn the wanted labels of the series into columns."""
-    return values.select("*", *[label(F.col("series"), name).alias(name) for name in labels])
-
-
 def drop_nan(points: DataFrame, column: str = "value") -> DataFrame:
     return points.filter(F.col(column).isNotNull() & ~F.isnan(column))

@@ -88,13 +88,12 @@ QUERIES: dict[str, MetricQuery] = {query.key: query for query in _queries()}
 
 # --- shapes: samples -> (cluster_uuid, step, labels.., value) ---------------------------------------------------
 
-def _sum_by(values: DataFrame, by: tuple[str, ...], value=None) -> DataFrame:
-    return S.with_labels(values, list(by)).groupBy("cluster_uuid", "step", *by).agg(
-        F.sum(F.col("v0") if value is None else value).alias("value"))
+def _sum_by(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    return values.groupBy("cluster_uuid", "step", *by).agg(F.sum("v0").alias("value"))
 
 
 def _count_groups(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    values = S.with_labels(S.instant(samples, [query.metric]), list(query.inner_by))
+    values = S.instant(samples, [query.metric], query.inner_by)
     return values.groupBy("cluster_uuid", "step").agg(F.count_distinct(*query.inner_by).cast("double").alias("value"))
 
 
@@ -104,27 +103,27 @@ def _count(query: MetricQuery, samples: DataFrame) -> DataFrame:
 
 
 def _sum(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    return _sum_by(S.instant(samples, [query.metric]), query.by)
+    return _sum_by(S.instant(samples, [query.metric], query.by), query.by)
 
 
 def _rate(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    summed = _sum_by(S.counter_rate(samples, query.window_minutes), query.by)
+    summed = _sum_by(S.counter_rate(samples, query.window_minutes, query.by), query.by)
     return summed if query.sign > 0 else summed.withColumn("value", -F.col("value"))
 
 
 def _rate_avg(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    inner = _sum_by(S.counter_rate(samples, query.window_minutes), query.inner_by)
+    inner = _sum_by(S.counter_rate(samples, query.window_minutes, query.inner_by), query.inner_by)
     return inner.groupBy("cluster_uuid", "step", *query.by).agg(F.avg("value").alias("value"))
 
 
 def _both(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    values = S.with_labels(S.instant(samples, [query.metric, query.other]), list(query.by))
+    values = S.instant(samples, [query.metric, query.other], query.by)
     return values.filter(F.col("v0").isNotNull() & F.col("v1").isNotNull())
 
 
 def _used_share(query: MetricQuery, samples: DataFrame) -> DataFrame:
     """Sum of (total - available) where both are known, over the sum of all totals."""
-    values = S.with_labels(S.instant(samples, [query.metric, query.other]), list(query.by))
+    values = S.instant(samples, [query.metric, query.other], query.by)
     return (
         values.groupBy("cluster_uuid", "step", *query.by)
         .agg(F.sum(F.col("v0") - F.col("v1")).alias("used"), F.sum("v0").alias("total"))
@@ -145,14 +144,14 @@ def _ratio(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _share_of_capacity(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    left = _sum_by(S.instant(S.matches(samples, query.metric, query.equal), [query.metric]), query.by)
-    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other]), ("node",))
+    left = _sum_by(S.instant(S.matches(samples, query.metric, query.equal), [query.metric], query.by), query.by)
+    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other], ("node",)), ("node",))
     return _ratio(left, right, ["cluster_uuid", "step", "node"])
 
 
 def _share_of_node(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    left = _sum_by(S.instant(S.matches(samples, query.metric), [query.metric]), query.by)
-    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other]), ("node",))
+    left = _sum_by(S.instant(S.matches(samples, query.metric), [query.metric], query.by), query.by)
+    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other], ("node",)), ("node",))
     return _ratio(left, right.withColumnRenamed("node", "instance"), ["cluster_uuid", "step", "instance"])
 
 
@@ -172,6 +171,10 @@ def evaluate(query: MetricQuery, samples: DataFrame) -> DataFrame:
     return S.drop_nan(SHAPES[query.shape](query, samples))
 
 
+# Grouping labels that are the entity's own identity leave one series per key: nothing can collide.
+_ONE_SERIES_PER_ENTITY = {("cluster", ()), ("pod", ("namespace", "pod"))}
+
+
 def to_points(
     query: MetricQuery, values: DataFrame, aliases: DataFrame | None = None, pods: DataFrame | None = None,
     keep_all: bool = False,
@@ -199,6 +202,8 @@ def to_points(
         "entity_uuid", S.minute_bucket(F.col("step")).alias("timestamp"), F.lit(query.category).alias("category"),
         stored_name.alias("name"), "value", text.alias("_text"))
     keys = ["entity_uuid", "timestamp", "category", "name"]
+    if (query.scope, query.by) in _ONE_SERIES_PER_ENTITY:
+        return points.select(*keys, "value")
     return points.groupBy(*keys).agg(F.max_by("value", "_text").alias("value"))
 
 

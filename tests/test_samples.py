@@ -43,7 +43,7 @@ def test_rate_equals_model(spark, window):
                 want[name, float(end)] = rise / (inside[-1][0] - inside[0][0])
     # A repeated sample changes nothing.
     df = frame(spark, rows + rows[:20])
-    got = {(r.a, seconds(r.step)): r.v0 for r in S.with_labels(S.counter_rate(df, window), ["a"]).collect()}
+    got = {(r.a, seconds(r.step)): r.v0 for r in S.counter_rate(df, window, ["a"]).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -56,7 +56,7 @@ def test_instant_equals_model(spark):
             inside = [v for s, v in mine if end - 300 < s <= end]
             if inside:
                 want[name, float(end)] = float(inside[-1])
-    got = {(r.a, seconds(r.step)): r.v0 for r in S.with_labels(S.instant(frame(spark, rows), ["g"]), ["a"]).collect()}
+    got = {(r.a, seconds(r.step)): r.v0 for r in S.instant(frame(spark, rows), ["g"], ["a"]).collect()}
     assert got == want
     point = S.instant_at(frame(spark, rows), at(210)).orderBy("v0").collect()
     assert [r.v0 for r in point] == [3.0, 9.0]
