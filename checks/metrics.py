@@ -11,6 +11,9 @@ from fleetlens.operators import samples as S
 from fleetlens.operators.links import node_aliases
 from fleetlens.plans import metric_catalogue as M
 
+# Exact halves round differently in the two engines (decimal text against binary product): both sides add this first.
+OFF_HALF = 0.0000000123
+
 NODE_LABELS = "node, instance, cpu, mode, device"
 POD_LABELS = "instance, namespace, pod, container"
 GAUGE_LABELS = "node, instance, namespace, pod, container, resource, mountpoint, phase, qos_class"
@@ -44,7 +47,7 @@ def points_sql(scope: str, category: str, values: str, by: list[str], name: str
     }
     joins["container"] = (u5("k.uuid", "v.container"), joins["pod"][1])
     entity, join = joins[scope]
-    return f"""SELECT entity_uuid, step AS timestamp, '{category}' AS category, name, ROUND(arg_max(value, text), 6) AS value FROM (
+    return f"""SELECT entity_uuid, step AS timestamp, '{category}' AS category, name, ROUND(arg_max(value, text) + {OFF_HALF:.10f}, 6) AS value FROM (
  SELECT {entity} AS entity_uuid, v.step, {name} AS name, v.value, {text} AS text FROM ({values}) v {join}) GROUP BY ALL"""
 
 
@@ -124,7 +127,7 @@ def _run(query: M.MetricQuery):
         pods = I.pod_facts(spark, sf).select(
             S_uuid("cluster_uid").alias("cluster_uuid"), "namespace", "name", S_uuid("uid").alias("uuid")) if query.scope in ("pod", "container") else None
         points = M.to_points(query, M.evaluate(query, samples), aliases, pods)
-        return flat(points).withColumn("value", F.round("value", 6))
+        return flat(points).withColumn("value", F.round(F.col("value") + OFF_HALF, 6))
     return run
 
 
@@ -138,10 +141,10 @@ for _key, _query in M.QUERIES.items():
     check(_key, _EXPECTED[_key])(_run(_query))
 
 
-@check("counter_rate", f"""SELECT cluster_uuid, instance || '/' || cpu || '/' || mode AS series, step AS timestamp, ROUND(value, 6) AS rate FROM {rate_sql('node_cpu_seconds_total', 2)}""")
+@check("counter_rate", f"""SELECT cluster_uuid, instance || '/' || cpu || '/' || mode AS series, step AS timestamp, ROUND(value + {OFF_HALF:.10f}, 6) AS rate FROM {rate_sql('node_cpu_seconds_total', 2)}""")
 def counter_rate(spark, sf):
     rates = S.counter_rate(I.samples(spark, sf, "node_cpu_seconds_total"), 2, ["instance", "cpu", "mode"])
-    return flat(rates.select("cluster_uuid", F.concat_ws("/", "instance", "cpu", "mode").alias("series"), F.col("step").alias("timestamp"), F.round("v0", 6).alias("rate")))
+    return flat(rates.select("cluster_uuid", F.concat_ws("/", "instance", "cpu", "mode").alias("series"), F.col("step").alias("timestamp"), F.round(F.col("v0") + OFF_HALF, 6).alias("rate")))
 
 
 check("scan_samples", """SELECT metric, COUNT(*) AS samples, CAST(SUM(CAST(value AS BIGINT)) AS BIGINT) AS total FROM k_counter GROUP BY metric""")(
