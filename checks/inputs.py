@@ -198,11 +198,18 @@ def container_facts(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(F.col("l_orderkey").alias("pkey"), n.alias("pos"), spec.alias("spec"), status.alias("status"))
 
 
-def pods(spark: SparkSession, sf: str) -> DataFrame:
+def bare_pods(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw pods without their containers, for queries that read none of them."""
+    return pods(spark, sf, containers=False)
+
+
+def pods(spark: SparkSession, sf: str, containers: bool = True) -> DataFrame:
     """Raw pods. Containers are gathered per pod after the last-version step, so a pod holds one per line number."""
-    c = container_facts(spark, sf)
-    nested = c.groupBy("pkey").agg(F.array_sort(F.collect_list(F.struct("pos", "spec", "status")), lambda a, b: a["pos"] - b["pos"]).alias("cs"))
-    p = pod_facts(spark, sf).join(nested, "pkey", "left")
+    p = pod_facts(spark, sf)
+    if containers:
+        c = container_facts(spark, sf)
+        nested = c.groupBy("pkey").agg(F.array_sort(F.collect_list(F.struct("pos", "spec", "status")), lambda a, b: a["pos"] - b["pos"]).alias("cs"))
+        p = p.join(nested, "pkey", "left")
     k = F.col("pkey")
     pick = lambda field, init: F.filter(
         F.transform(F.filter("cs", lambda x: (x["pos"] <= 2) if init else (x["pos"] > 2)), lambda x: x[field]),
@@ -222,6 +229,12 @@ def pods(spark: SparkSession, sf: str) -> DataFrame:
     config = volume("cfg", no_claim, labels(("configMap", F.lit('{"name":"cm"}'))))
     owner = obj(OWNER, uid=text("cust-", F.col("owner_key")), kind=F.lit("ReplicaSet"), name=text("rs-", F.col("owner_key")),
                 controller=F.lit(True))
+    held = {}
+    if containers:
+        held = {"containers": pick("spec", False), "initContainers": pick("spec", True)}
+    statuses = {}
+    if containers:
+        statuses = {"containerStatuses": pick("status", False), "initContainerStatuses": pick("status", True)}
     return _fit(p.select(
         "cluster_uid",
         meta(F.col("uid"), F.col("namespace"), F.col("name"), made,
@@ -231,11 +244,11 @@ def pods(spark: SparkSession, sf: str) -> DataFrame:
              annotations=labels(("note", text(F.col("segment"), ":", F.col("priority")))),
              ownerReferences=F.array(owner)),
         F.struct(F.col("node_name").alias("nodeName"), F.lit("Always").alias("restartPolicy"),
-                 pick("spec", False).alias("containers"), pick("spec", True).alias("initContainers"),
+                 *[c.alias(n) for n, c in held.items()],
                  F.when(k % 3 == 0, F.array(volume("data", claim, no_source), config)).otherwise(F.array(config)).alias("volumes")).alias("spec"),
         F.struct(F.col("phase"), F.col("reason"), F.col("message"), text("10.1.0.", k % 250).alias("podIP"),
                  F.lit("").alias("nominatedNodeName"), F.col("qos").alias("qosClass"), conditions.alias("conditions"),
-                 pick("status", False).alias("containerStatuses"), pick("status", True).alias("initContainerStatuses")).alias("status"),
+                 *[c.alias(n) for n, c in statuses.items()]).alias("status"),
     ), "pod")
 
 
@@ -443,6 +456,10 @@ def objects(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     return with_meta(RAW[kind](spark, sf))
 
 
+def bare_pod_objects(spark: SparkSession, sf: str) -> DataFrame:
+    return with_meta(bare_pods(spark, sf))
+
+
 def changes(spark: SparkSession, sf: str) -> DataFrame:
     """Change feed of events' users: several changes per object, in order of event id."""
     k = F.col("event_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.normalized import tables
+from checks.normalized import bare_tables, tables
 from checks.registry import check, flat
 from checks.sql import STATES, eu, ms, u5
 from fleetlens.functions.ids import ensure_uuid
@@ -14,7 +14,7 @@ from fleetlens.streaming.links import update_pairs
 
 
 def pod_labels(spark, sf):
-    return I.objects(spark, sf, "pod").select(
+    return I.bare_pod_objects(spark, sf).select(
         "cluster_uuid", F.col("uuid").alias("pod_uuid"), F.col("meta.namespace").alias("namespace"), F.col("meta.labels").alias("labels"),
         F.regexp_extract("meta.uid", "([0-9]+)$", 1).cast("bigint").alias("pkey"))
 
@@ -59,20 +59,20 @@ check("metric_pod_lookup", """SELECT p.uuid AS pod_uuid, COUNT(*) AS samples FRO
  WHERE c.metric = 'container_cpu_usage_seconds_total' GROUP BY ALL""")(
     lambda spark, sf: links.lookup_pods(
         I.samples(spark, sf, "container_cpu_usage_seconds_total").select("cluster_uuid", F.col("labels.namespace").alias("namespace"), F.col("labels.pod").alias("pod")),
-        I.objects(spark, sf, "pod").select("cluster_uuid", "uuid", "meta.namespace", "meta.name")).groupBy("pod_uuid").agg(F.count(F.lit(1)).alias("samples")))
+        I.bare_pod_objects(spark, sf).select("cluster_uuid", "uuid", "meta.namespace", "meta.name")).groupBy("pod_uuid").agg(F.count(F.lit(1)).alias("samples")))
 
 
 @check("stale_keys", f"""SELECT namespace || '/' || name AS key, uuid FROM k_pod WHERE pkey % 5 = 0 OR pkey % 3 = 0""")
 def stale_keys(spark, sf):
     """Every fifth pod is gone, every third now has another uid."""
-    stored = I.objects(spark, sf, "pod").select(F.concat_ws("/", "meta.namespace", "meta.name").alias("key"), "uuid", F.col("meta.uid").alias("uid"))
+    stored = I.bare_pod_objects(spark, sf).select(F.concat_ws("/", "meta.namespace", "meta.name").alias("key"), "uuid", F.col("meta.uid").alias("uid"))
     k = F.regexp_extract("uid", "([0-9]+)$", 1).cast("bigint")
     now = stored.filter(k % 5 != 0).select("key", F.when(k % 3 == 0, ensure_uuid(F.concat("uid", F.lit("b")))).otherwise(F.col("uuid")).alias("uuid"))
     return links.stale_keys(stored.select("key", "uuid"), now)
 
 
 def known(spark, sf):
-    return {"pod": I.objects(spark, sf, "pod").select("uuid"), "node": I.objects(spark, sf, "node").select("uuid")}
+    return {"pod": I.bare_pod_objects(spark, sf).select("uuid"), "node": I.objects(spark, sf, "node").select("uuid")}
 
 
 check("orphan_incidents", "SELECT uuid, cluster_uuid, resource, name, namespace FROM k_incident WHERE uuid NOT IN (SELECT uuid FROM k_pod)")(
@@ -129,7 +129,7 @@ RULES = [
 SELECT uuid, 'pod' AS kind, 'all' || CASE WHEN phase = 'Failed' THEN ',failed' ELSE '' END || CASE WHEN segment = 'MACHINERY' THEN ',segment' ELSE '' END AS rule_ids FROM k_pod
 UNION ALL SELECT uuid, 'node', 'all' FROM k_node""")
 def rule_matches(spark, sf):
-    t = tables(spark, sf, "pod")
+    t = bare_tables(spark, sf)
     found = alerts.to_alert("pod", t["pod"]).unionByName(alerts.to_alert("node", tables(spark, sf, "node")["node"]))
     sources = {"rule_pod": t["pod"].select("uuid", "phase"),
                "rule_label": t["resource_label"].join(t["label"], F.col("label_uuid") == F.col("uuid")).select("resource_uuid", "uuid", "name", "value")}
@@ -140,7 +140,7 @@ def rule_matches(spark, sf):
 check("containers_of_deleted", f"SELECT uuid, name FROM k_placed_container WHERE sort = 'main' AND pod_uuid IN ({_DELETED})")(
     lambda spark, sf: links.containers_of(tables(spark, sf, "pod")["container"], deleted_pods(spark, sf)).select("uuid", "name"))
 check("resources_by_label", "SELECT resource_uuid FROM k_pod_label WHERE name = 'segment' AND value = 'BUILDING'")(
-    lambda spark, sf: links.resources_by_label(tables(spark, sf, "pod")["resource_label"], tables(spark, sf, "pod")["label"], "segment", "BUILDING"))
+    lambda spark, sf: links.resources_by_label(bare_tables(spark, sf)["resource_label"], bare_tables(spark, sf)["label"], "segment", "BUILDING"))
 
 
 @check("owner_roots", f"""
@@ -151,9 +151,9 @@ def owner_roots(spark, sf):
     """Pod -> workload -> nation, where the workload is a deployment or replica set."""
     edges = None
     for kind in ("pod", "deployment", "replica_set"):
-        part = tables(spark, sf, kind)[f"{kind}_owner"].filter("controller").select(F.col(f"{kind}_uuid").alias("child_uuid"), "owner_uuid", "kind")
+        part = bare_tables(spark, sf, kind)[f"{kind}_owner"].filter("controller").select(F.col(f"{kind}_uuid").alias("child_uuid"), "owner_uuid", "kind")
         edges = part if edges is None else edges.unionByName(part)
-    return flat(links.owner_roots(I.objects(spark, sf, "pod").select("uuid"), edges))
+    return flat(links.owner_roots(I.bare_pod_objects(spark, sf).select("uuid"), edges))
 
 
 @check("claim_links", f"""
@@ -161,13 +161,13 @@ SELECT p.uuid AS pod_uuid, 'data' AS volume_name, 'claim-' || p.owner_key AS cla
  CASE WHEN p.owner_key % 4 <> 0 THEN 'pv-' || p.owner_key END AS bound_volume, CASE WHEN p.owner_key % 4 <> 0 THEN {eu("'pv-' || p.owner_key")} END AS persistent_volume_uuid
 FROM k_pod p JOIN k_customer c ON p.owner_key = c.ckey AND p.cluster_uuid = c.cluster_uuid AND p.namespace = c.namespace WHERE p.pkey % 3 = 0""")
 def claim_links(spark, sf):
-    pods, claims, volumes = tables(spark, sf, "pod"), tables(spark, sf, "pvc"), tables(spark, sf, "persistent_volume")
+    pods, claims, volumes = bare_tables(spark, sf), tables(spark, sf, "pvc"), tables(spark, sf, "persistent_volume")
     return links.claim_links(pods["pod_pvc"], pods["pod"].select("uuid", "cluster_uuid", "namespace"), claims["pvc"], volumes["persistent_volume_claim_ref"])
 
 
 check("events_with_pod", f"""SELECT 'ev-' || event_id AS uid, event_type AS reason, p.name AS object_name, p.namespace AS object_namespace
  FROM events LEFT JOIN k_pod p ON p.pkey = event_id""")(
-    lambda spark, sf: links.events_with_reference(tables(spark, sf, "event")["event"], I.objects(spark, sf, "pod").select("uuid", "meta.name", "meta.namespace")).select(
+    lambda spark, sf: links.events_with_reference(tables(spark, sf, "event")["event"], I.bare_pod_objects(spark, sf).select("uuid", "meta.name", "meta.namespace")).select(
         "uid", "reason", "object_name", "object_namespace"))
 
 
@@ -177,18 +177,18 @@ check("pk_violations", "SELECT l_orderkey, l_linenumber, COUNT(*) AS rows FROM l
     lambda spark, sf: flat(quality.pk_violations(I.container_versions(spark, sf), ["l_orderkey", "l_linenumber"])))
 check("null_violations", """SELECT 'reason' AS "column", COUNT(*) FILTER (reason IS NULL) AS bad_rows FROM k_pod UNION ALL SELECT 'uuid', 0 FROM k_pod GROUP BY 1
  UNION ALL SELECT 'node_name', COUNT(*) FILTER (node_name IS NULL) FROM k_pod""")(
-    lambda spark, sf: quality.null_violations(tables(spark, sf, "pod")["pod"], ["reason", "uuid", "node_name"]))
+    lambda spark, sf: quality.null_violations(bare_tables(spark, sf)["pod"], ["reason", "uuid", "node_name"]))
 check("orphan_children", f"SELECT pkey, name FROM k_container_fact WHERE pkey NOT IN (SELECT pkey FROM k_pod WHERE pkey % 2 = 0)")(
     lambda spark, sf: quality.orphan_children(
         I.container_facts(spark, sf).select("pkey", F.col("spec.name").alias("name"), ensure_uuid(I.text("order-", F.col("pkey"))).alias("pod_uuid")),
-        "pod_uuid", I.objects(spark, sf, "pod").filter(F.regexp_extract("meta.uid", "([0-9]+)$", 1).cast("bigint") % 2 == 0)).select("pkey", "name"))
+        "pod_uuid", I.bare_pod_objects(spark, sf).filter(F.regexp_extract("meta.uid", "([0-9]+)$", 1).cast("bigint") % 2 == 0)).select("pkey", "name"))
 check("unused_labels", """SELECT label_uuid AS uuid, name, value FROM k_pod_label WHERE resource_uuid IN (SELECT uuid FROM k_pod WHERE phase = 'Failed')""")(
     lambda spark, sf: quality.unused_labels(
-        tables(spark, sf, "pod")["label"],
-        tables(spark, sf, "pod")["resource_label"].join(tables(spark, sf, "pod")["pod"].filter("phase <> 'Failed'").select(F.col("uuid").alias("resource_uuid")), "resource_uuid", "left_semi")))
+        bare_tables(spark, sf)["label"],
+        bare_tables(spark, sf)["resource_label"].join(bare_tables(spark, sf)["pod"].filter("phase <> 'Failed'").select(F.col("uuid").alias("resource_uuid")), "resource_uuid", "left_semi")))
 check("length_violations", """SELECT 'text' AS "column", COUNT(*) FILTER (length(text) > 255) AS bad_rows FROM conversations UNION ALL SELECT 'role', COUNT(*) FILTER (length(role) > 4) FROM conversations""")(
     lambda spark, sf: quality.length_violations(I.table(spark, sf, "conversations"), {"text": 255, "role": 4}))
 check("enum_violations", """SELECT 'phase' AS "column", COUNT(*) FILTER (phase NOT IN ('Running', 'Pending')) AS bad_rows FROM k_pod UNION ALL
  SELECT 'qos', COUNT(*) FILTER (qos NOT IN ('Guaranteed', 'Burstable', 'BestEffort')) FROM k_pod UNION ALL SELECT 'reason', COUNT(*) FILTER (reason = 'Evicted') FROM k_pod""")(
-    lambda spark, sf: quality.enum_violations(tables(spark, sf, "pod")["pod"], {
+    lambda spark, sf: quality.enum_violations(bare_tables(spark, sf)["pod"], {
         "phase": ["Running", "Pending"], "qos": ["Guaranteed", "Burstable", "BestEffort"], "reason": ["NodeLost"]}))

@@ -16,17 +16,22 @@ def tables(spark, sf, kind):
     return N.normalize(kind, I.RAW[kind](spark, sf), I.AS_OF)
 
 
+def bare_tables(spark, sf, kind="pod"):
+    """As :func:`tables`, but pods come without containers: for child tables that do not depend on them."""
+    return N.normalize("pod", I.bare_pods(spark, sf), I.AS_OF) if kind == "pod" else tables(spark, sf, kind)
+
+
 def _meta(uid: str, cluster: str, namespace: str, name: str, created: str) -> str:
     return (f"{eu(uid)} AS uuid, {cluster} AS cluster_uuid, {uid} AS uid, {namespace} AS namespace, {name} AS name, '1' AS resource_version, "
             f"{created} AS created")
 
 
-def _norm(key: str, kind: str, sql: str, table: str | None = None):
-    check(key, sql)(lambda spark, sf: flat(tables(spark, sf, kind)[table or kind]))
+def _norm(key: str, kind: str, sql: str, table: str | None = None, source=tables):
+    check(key, sql)(lambda spark, sf: flat(source(spark, sf, kind)[table or kind]))
 
 
 check("meta_pods", f"SELECT uuid, cluster_uuid, uid, namespace, name, '1' AS resource_version, {ms('created')} AS created FROM k_pod")(
-    lambda spark, sf: flat(I.objects(spark, sf, "pod").select(*N.meta_columns())))
+    lambda spark, sf: flat(I.bare_pod_objects(spark, sf).select(*N.meta_columns())))
 
 _norm("norm_namespace", "namespace", f"""
 SELECT {_meta("'nation-' || n_nationkey", eu("'region-' || n_regionkey"), "''", "n_name", "n_nationkey * 86400000")},
@@ -209,11 +214,11 @@ def norm_pv(spark, sf):
 # --- children ---------------------------------------------------------------------------------------------------
 
 _norm("owners", "pod", f"""SELECT uuid AS pod_uuid, {eu("'cust-' || owner_key")} AS owner_uuid, 'replica_set' AS kind, 'rs-' || owner_key AS name, 'cust-' || owner_key AS uid,
- TRUE AS controller, FALSE AS block_owner_deletion FROM k_pod""", "pod_owner")
+ TRUE AS controller, FALSE AS block_owner_deletion FROM k_pod""", "pod_owner", bare_tables)
 
 
 def _entries(spark, sf, noun):
-    t = tables(spark, sf, "pod")
+    t = bare_tables(spark, sf)
     links = t[f"resource_{noun}"].join(t[f"pod_{noun}"], [
         t[f"resource_{noun}"][f"{noun}_uuid"] == t[f"pod_{noun}"][f"{noun}_uuid"]]).select("resource_uuid", t[f"pod_{noun}"][f"{noun}_uuid"].alias("uuid"))
     return links.join(t[noun], "uuid")
@@ -244,7 +249,7 @@ UNION ALL SELECT 'service', uuid, 'LoadBalancerReady', CASE WHEN nation_key % 2
 def conditions(spark, sf):
     merged = None
     for kind in ("node", "pod", "deployment", "pvc", "service"):
-        part = tables(spark, sf, kind)[f"{kind}_condition"].select(
+        part = bare_tables(spark, sf, kind)[f"{kind}_condition"].select(
             F.lit(kind).alias("kind"), F.col(f"{kind}_uuid").alias("uuid"), "type", "status", "last_transition", "reason")
         merged = part if merged is None else merged.unionByName(part)
     return flat(merged)
@@ -254,7 +259,7 @@ def conditions(spark, sf):
 SELECT uuid AS pod_uuid, 'data' AS volume_name, 'claim-' || owner_key AS claim_name, pkey % 2 = 0 AS read_only, CAST(NULL AS VARCHAR) AS type, CAST(NULL AS VARCHAR) AS source FROM k_pod WHERE pkey % 3 = 0
 UNION ALL SELECT uuid, 'cfg', NULL, NULL, 'configMap', '{"name":"cm"}' FROM k_pod""")
 def pod_volumes(spark, sf):
-    t = tables(spark, sf, "pod")
+    t = bare_tables(spark, sf)
     return t["pod_pvc"].unionByName(t["pod_volume"], allowMissingColumns=True)
 
 
@@ -274,7 +279,7 @@ SELECT 'pod' AS kind, resource_uuid, label_uuid FROM k_pod_label
 UNION ALL SELECT 'service', uuid, {u5('uuid', "lower('segment:' || segment)")} FROM k_service
 UNION ALL SELECT 'namespace', {eu("'nation-' || n_nationkey")}, {u5(eu("'nation-' || n_nationkey"), "'team:t' || (n_nationkey % 3)")} FROM nation""")(
     lambda spark, sf: __import__("fleetlens.operators.merge", fromlist=["fan_in"]).fan_in(
-        {k: tables(spark, sf, k)["resource_label"] for k in ("pod", "service", "namespace")}))
+        {k: bare_tables(spark, sf, k)["resource_label"] for k in ("pod", "service", "namespace")}))
 
 
 @check("pod_usage", """

@@ -108,7 +108,7 @@ check("log_tail", f"SELECT conv_id, turn, {tail_sql('text', 101)} AS short, {tai
 check("join_list", "SELECT uid, '10.2.0.' || nation_key || ', fd00::' || nation_key AS ips, '' AS none FROM k_service")(
     lambda spark, sf: I.services(spark, sf).select("meta.uid", text.join_list(F.col("spec.clusterIPs")).alias("ips"), text.join_list(F.col("spec.externalIPs")).alias("none")))
 check("alert_url", "SELECT uuid, 'https://web.example/fleet/statefulset?id=' || uuid AS url, 'https://web.example/fleet/x' AS rel, 'http://a/b' AS abs FROM k_pod")(
-    lambda spark, sf: I.objects(spark, sf, "pod").select("uuid", objects.alert_url("https://web.example/fleet", F.lit("stateful_set"), F.col("uuid")).alias("url"),
+    lambda spark, sf: I.bare_pod_objects(spark, sf).select("uuid", objects.alert_url("https://web.example/fleet", F.lit("stateful_set"), F.col("uuid")).alias("url"),
                                                          objects.resolve_url("https://web.example/fleet", F.lit("/x")).alias("rel"),
                                                          objects.resolve_url("https://web.example/fleet", F.lit("http://a/b")).alias("abs")))
 check("object_name", "SELECT uuid, CASE WHEN namespace = '' THEN name ELSE namespace || '/' || name END AS full_name FROM k_incident")(

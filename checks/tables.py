@@ -41,7 +41,7 @@ def scan_pods(spark, sf):
 check("scan_pods", f"SELECT uid, namespace, name, phase, node_name, {ms('created')} AS created FROM k_pod")(scan_pods)
 check("warm_keys", f"SELECT namespace || '/' || name AS key, uuid FROM k_pod WHERE cluster_uid = 'region-1'")(
     lambda spark, sf: warm_keys(
-        I.objects(spark, sf, "pod").select("cluster_uuid", "uuid", "meta.namespace", "meta.name"),
+        I.bare_pod_objects(spark, sf).select("cluster_uuid", "uuid", "meta.namespace", "meta.name"),
         _region_uuid()))
 
 
@@ -65,7 +65,7 @@ def _gone(spark, sf):
 
 _GONE = f"SELECT {eu("'order-' || event_id")} FROM events WHERE event_type = 'error'"
 check("delete_keys", f"SELECT uuid, name FROM k_pod WHERE uuid NOT IN ({_GONE})")(
-    lambda spark, sf: merge.without_keys(I.objects(spark, sf, "pod").select("uuid", "meta.name"), _gone(spark, sf), "uuid"))
+    lambda spark, sf: merge.without_keys(I.bare_pod_objects(spark, sf).select("uuid", "meta.name"), _gone(spark, sf), "uuid"))
 
 
 def _counts(parts):
