@@ -19,7 +19,11 @@ def _hyphenate(hex32: Column) -> Column:
 def uuid5(space: Column, text: Column) -> Column:
     """Name-based SHA-1 UUID of ``text`` within the UUID ``space`` (RFC 4122, version 5)."""
     name_bytes = F.concat(F.unhex(F.replace(space, F.lit("-"), F.lit(""))), F.encode(text, "UTF-8"))
-    digest = F.sha1(name_bytes)
+    # Shaped inside a lambda, so that the digest is computed once and not once per piece.
+    return F.get(F.transform(F.array(F.sha1(name_bytes)), _version5), F.lit(0))
+
+
+def _version5(digest: Column) -> Column:
     # The variant digit keeps its two low bits under the fixed bits 10xx.
     variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
     return F.concat(
