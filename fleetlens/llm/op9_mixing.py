@@ -110,7 +110,8 @@ def slots(plan: DataFrame) -> DataFrame:
                .withColumn("ahead", F.coalesce(F.sum("n").over(ahead), F.lit(0))))
     chunked = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))))
     low = F.col("chunk") * CHUNK
-    each = chunked.repartition("source_id", "chunk").withColumn(
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = chunked.repartition(parts, "source_id", "chunk").withColumn(
         "k", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("n")) - 1)))
     turn = F.col("k") % F.col("blocks")
     begin = F.col("turn") * BLOCK - F.when(F.col("turn") > F.col("short_at"), BLOCK - F.col("short")).otherwise(0)
@@ -138,7 +139,8 @@ def mix(docs: DataFrame) -> DataFrame:
               .withColumn("low", F.greatest(F.col("start") - F.col("block") * BLOCK, F.lit(0)))
               .withColumn("high", F.least(F.col("start") + F.col("size") - F.col("block") * BLOCK, F.lit(BLOCK))))
     taken = slots(plan)
-    joined = pieces.join(taken.select(F.col("source_id").alias("_i"), F.col("block").alias("_b"), "lap", "words", "shard", "slot"),
+    # the planner takes exploded rows for few and would broadcast the slots, which grow with the data
+    joined = pieces.join(taken.hint("merge").select(F.col("source_id").alias("_i"), F.col("block").alias("_b"), "lap", "words", "shard", "slot"),
                          (F.col("source_id") == F.col("_i")) & (F.col("block") == F.col("_b")), "left")
     word = F.col("block") * BLOCK - F.col("start")
     got = F.col("words").isNotNull() & (F.least("high", "words") > F.col("low"))
