@@ -1,7 +1,8 @@
 """License scan: winnowed fingerprints find candidate templates, a banded alignment reports coverage and spans.
 
 Templates and texts are compared as lower-case words (letters, digits, underscores). Of every ``WINNOW`` consecutive
-hashes of ``GRAM`` words the smallest is a fingerprint, so any shared run of ``GRAM + WINNOW - 1`` words shares one. The
+hashes of ``GRAM`` words the smallest is a fingerprint, so any shared run of ``GRAM + WINNOW - 1`` words shares one (a template of fewer words has
+shorter grams, for the same to hold of its whole). The
 inverted index of the templates (bounded by their number, a parameter) goes to every task. Hits on about the same
 diagonal make one candidate place, which a local alignment in a band around it confirms: coverage is the share of the
 template's words that match, and the words that name the license must be among them.
@@ -94,13 +95,15 @@ class Scanner:
         self.names = [t[0] for t in templates]
         self.naming = [set(t[1].split()) for t in templates]
         self.words = [TOKEN.findall(t[2].lower()) for t in templates]
-        index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        # by gram length; every gram of a template is listed, the text's fingerprints decide which are looked up
+        self.indexes: dict[int, tuple[dict[int, list[tuple[int, int]]], np.ndarray]] = {}
+        listed: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for i, words in enumerate(self.words):
-            # every gram of a template is listed; the text's own windows decide which are looked up
-            for at, h in enumerate(shingle_hashes(hashes_of(words, self.known), GRAM)):
-                index[int(h)].append((i, at))
-        self.index = dict(index)
-        self.keys = np.sort(np.array(list(self.index), np.uint64))
+            gram = max(1, min(GRAM, len(words) - WINNOW + 1))
+            for at, h in enumerate(shingle_hashes(hashes_of(words, self.known), gram)):
+                listed[gram][int(h)].append((i, at))
+        for gram, index in listed.items():
+            self.indexes[gram] = dict(index), np.sort(np.array(list(index), np.uint64))
 
     def align(self, template: int, words: list[str], diagonal: int) -> Match | None:
         """Best local alignment of a template with words near the diagonal (word number less template number)."""
@@ -139,16 +142,18 @@ class Scanner:
 
     def scan(self, text: str) -> list[Match]:
         words = TOKEN.findall(text.lower())
-        grams = shingle_hashes(hashes_of(words, self.known), GRAM) if len(words) >= GRAM else np.empty(0, np.uint64)
-        places = winnowed(grams)
-        if not len(places):
-            return []
-        looked = grams[places]
-        hit = self.keys[np.minimum(np.searchsorted(self.keys, looked), len(self.keys) - 1)] == looked
+        hashed = hashes_of(words, self.known)
         diagonals: dict[int, list[int]] = defaultdict(list)
-        for place in places[hit]:
-            for template, at in self.index[int(grams[place])]:
-                diagonals[template].append(int(place) - at)
+        for gram, (index, keys) in self.indexes.items():
+            grams = shingle_hashes(hashed, gram) if len(words) >= gram else np.empty(0, np.uint64)
+            places = winnowed(grams)
+            if not len(places):
+                continue
+            looked = grams[places]
+            hit = keys[np.minimum(np.searchsorted(keys, looked), len(keys) - 1)] == looked
+            for place in places[hit]:
+                for template, at in index[int(grams[place])]:
+                    diagonals[template].append(int(place) - at)
         found = []
         for template, seen in diagonals.items():
             done = None
