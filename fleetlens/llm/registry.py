@@ -7,7 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("op2_sharding", "op4_licenses", "op7_warc", "op8_quality", "op9_mixing", "op10_language")
+MODULES = ("op2_sharding", "op4_licenses", "op5_html", "op7_warc", "op8_quality", "op9_mixing",
+           "op10_language")
 
 
 def query(name: str, sql: str | None = None):
