@@ -210,18 +210,18 @@ def merged_nodes(a: dict, b: dict, same_page: bool = False) -> dict:
     for flag in ("x", "m"):
         if a.get(flag):
             out[flag] = 1
-    return out | {"k": merged_kids(a["k"], b["k"])}
+    return out | {"k": merged_kids(a["k"], b["k"], same_page)}
 
 
-def merged_kids(a: list[dict], b: list[dict]) -> list[dict]:
+def merged_kids(a: list[dict], b: list[dict], same_page: bool = False) -> list[dict]:
     """Aligned: matched nodes merge, the others become optional."""
     left, right = [x["l"] for x in a], [x["l"] for x in b]
     if left == right:
-        return [merged_nodes(x, y) for x, y in zip(a, b)]
+        return [merged_nodes(x, y, same_page) for x, y in zip(a, b)]
     out: list[dict] = []
     for what, i, i2, j, j2 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if what == "equal":
-            out += [merged_nodes(x, y) for x, y in zip(a[i:i2], b[j:j2])]
+            out += [merged_nodes(x, y, same_page) for x, y in zip(a[i:i2], b[j:j2])]
         else:
             out += [x | {"o": 1} for x in a[i:i2] + b[j:j2]]
     return folded(out)
