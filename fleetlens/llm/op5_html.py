@@ -363,7 +363,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
         count = parts.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN_IN).alias("groups"))
         salted = parts.join(count, "host").withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.col("groups")))
 
-        def merge(key, group: pa.Table) -> pa.Table:
+        def merge(key, group):
             whole = None
             for text in sorted(group.column("wrapper").to_pylist()):
                 own = json.loads(text)
