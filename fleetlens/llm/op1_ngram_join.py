@@ -173,7 +173,8 @@ def verified(docs: DataFrame, groups: DataFrame) -> DataFrame:
                               "doc_id": batch.column("doc_id")}
 
     texts = arrow_map(slim, keyed, f"doc_id {kind}, text string, key binary")
-    chosen = texts.join(groups, (texts["key"] == groups["node"]) & texts["doc_id"].eqNullSafe(groups["least"])).select(
+    # the same plan at every size: a small list of nodes is not broadcast where a larger one would be shuffled
+    chosen = texts.join(groups.hint("merge"), (texts["key"] == groups["node"]) & texts["doc_id"].eqNullSafe(groups["least"])).select(
         "key", "text", "root", "size")
 
     def sets():
