@@ -7,8 +7,8 @@ import importlib
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ("op1_ngram_join", "op2_sharding", "op3_decontamination", "op4_licenses", "op5_html", "op7_warc", "op8_quality",
-           "op9_mixing", "op10_language")
+MODULES = ("op1_ngram_join", "op2_sharding", "op3_decontamination", "op4_licenses", "op5_html", "op6_repeats", "op7_warc",
+           "op8_quality", "op9_mixing", "op10_language")
 
 
 def query(name: str, sql: str | None = None):
