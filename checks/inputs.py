@@ -479,7 +479,7 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def incidents(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(k % 7 == 0).select(
+    return table(spark, sf, "orders").select(
         ensure_uuid(text("order-", k * 2)).alias("uuid"), F.when(k % 2 == 0, ensure_uuid(F.lit("region-1"))).otherwise("").alias("cluster_uuid"),
         F.lit("pod").alias("resource"), text("pod-", k * 2).alias("name"),
         F.when(k % 3 == 0, "").otherwise("NATION_0").alias("namespace"))

@@ -163,7 +163,7 @@ SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN 'ADDED' WHEN 'error'
 VIEWS["k_incident"] = f"""
 SELECT {eu("'order-' || (o_orderkey * 2)")} AS uuid, CASE WHEN o_orderkey % 2 = 0 THEN {eu("'region-1'")} ELSE '' END AS cluster_uuid,
        'pod' AS resource, 'pod-' || (o_orderkey * 2) AS name, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'NATION_0' END AS namespace
-FROM orders WHERE o_orderkey % 7 = 0"""
+FROM orders"""
 
 VIEWS["k_log"] = f"SELECT {eu("'conv-' || conv_id")} AS container_uuid, turn AS seq, conv_id * 1000 + turn AS at_s, text FROM conversations"
 

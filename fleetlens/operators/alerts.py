@@ -18,8 +18,6 @@ from fleetlens.operators.links import orphan_incidents
 ALERT_KINDS = ["pod", "node", "deployment", "daemon_set", "replica_set", "stateful_set"]
 RULE_VERSION = 1
 CLOSING_MESSAGE = "Automatically resolving the incident because of an orphaned resource."
-# Rules are configuration; more than this points at a wrong input and fails instead of flooding the driver.
-MAX_RULES = 10000
 
 #: kind -> function(DataFrame) -> alert rows; users register their own kinds here.
 MARSHALERS: dict = {}
@@ -92,9 +90,7 @@ def match_rules(
     becomes an EXISTS condition over all alerts of its kind at once, which Catalyst turns into a left semi join. A rule
     that cannot be read (or has another version) leaves all alerts without rules, a query that fails those of its kind.
     """
-    found = parse_rules(rules).limit(MAX_RULES + 1).collect()
-    if len(found) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    found = parse_rules(rules).collect()
     none = F.array().cast("array<string>")
     readable = all(r.always or r.version == RULE_VERSION for r in found)
     if not readable:
@@ -110,8 +106,8 @@ def match_rules(
             continue
         try:
             matches.append((rule.kind, spark.sql(
-                f"SELECT uuid, kind, '{rule.id}' AS rule_id FROM _alert WHERE kind = '{rule.kind}' "
-                f"AND EXISTS ({_bind(rule.query, list(rule.args or []))})")))
+                f"SELECT uuid, kind FROM _alert WHERE EXISTS ({_bind(rule.query, list(rule.args or []))})")
+                .filter(F.col("kind") == rule.kind).withColumn("rule_id", F.lit(rule.id))))
         except (AnalysisException, StopIteration, RuntimeError):
             failed.add(rule.kind)
     hit = None

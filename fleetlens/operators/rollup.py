@@ -51,13 +51,9 @@ def union_containers(by_sort: dict[str, DataFrame]) -> DataFrame:
     return merged
 
 
-def incidents_by_kind(incidents: DataFrame, prefix: int = 2) -> DataFrame:
-    """Distinct open incidents of each kind, gathered in slices by the first hex digits of their uuid.
-
-    Most incidents may be of one kind, so one list per kind could outgrow a task; a slice holds one in 16^prefix.
-    """
-    return incidents.groupBy("resource", F.substring("uuid", 1, prefix).alias("slice")).agg(
-        F.sort_array(F.collect_set("uuid")).alias("uuids"))
+def incidents_by_kind(incidents: DataFrame) -> DataFrame:
+    """Distinct open incidents of each kind, one row each: most may be of one kind, and a list would outgrow a task."""
+    return incidents.select("resource", "uuid").distinct()
 
 
 def favorites_of(favorites: DataFrame, username: str | None = None, kind: str | None = None) -> DataFrame:
