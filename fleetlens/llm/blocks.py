@@ -74,6 +74,13 @@ class Forest:
             a = self.up[a]
         return a
 
+    def roots(self) -> np.ndarray:
+        """The root of every row."""
+        up = np.array(self.up)
+        while (up[up] != up).any():
+            up = up[up]
+        return up
+
     def join(self, a: int, b: int) -> bool:
         a, b = self.root(a), self.root(b)
         if a == b:

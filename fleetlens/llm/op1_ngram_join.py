@@ -38,6 +38,7 @@ FIRST_PREFIX, LAST_PREFIX = 6, 4
 RECALL = 0.999
 ALLOWED = 0.6           # estimated similarity from which a pair is looked at: 5.6 standard errors below the threshold
 BLOCK = 512
+PAIRS = 1 << 14          # signature pairs compared at once in a task
 SEED = 77
 
 
@@ -104,6 +105,22 @@ def buckets(nodes: DataFrame, prefix: int) -> DataFrame:
     return arrow_map(nodes.select("key", "signature"), make, "bucket bigint, key binary")
 
 
+def pairs_of(borders: np.ndarray, side: np.ndarray, same: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of all pairs inside units, at most ``PAIRS`` at once; units of one size together."""
+    sizes = np.diff(borders)
+    for size in np.unique(sizes[sizes > 1]):
+        i, j = np.triu_indices(size, 1)
+        starts = borders[:-1][sizes == size]
+        together = max(1, PAIRS // len(i))
+        for k in range(0, len(starts), together):
+            first = starts[k:k + together, None]
+            left, right = (first + i).ravel(), (first + j).ravel()
+            wanted = same[left] | (side[left] != side[right])
+            left, right = left[wanted], right[wanted]
+            for low in range(0, len(left), PAIRS):
+                yield left[low:low + PAIRS], right[low:low + PAIRS]
+
+
 def candidate_links(nodes: DataFrame, prefix: int) -> tuple[DataFrame, float]:
     """Spanning links (a, b) of the candidate pairs at a prefix length, and the estimated recall of true pairs."""
     members = saved(buckets(nodes, prefix))
@@ -115,47 +132,32 @@ def candidate_links(nodes: DataFrame, prefix: int) -> tuple[DataFrame, float]:
         for rows, borders in groups:
             keys = rows.column("key").to_pylist()
             signs = fixed_width(rows.column("signature"), 2 * TREES * DEPTH).view(np.uint16)
-            side, same = rows.column("side").to_numpy(), rows.column("same").to_numpy()
-            out: tuple[list, list, list, list] = ([], [], [], [])
-
-            def tell(left: np.ndarray, right: np.ndarray, forest: Forest, base: int) -> None:
-                """Pairs by row number: their estimate, and links where they join two trees."""
+            forest, tree = Forest(len(keys)), np.arange(len(keys))
+            a, b, found, expected = [], [], 0.0, 0.0
+            for left, right in pairs_of(borders, rows.column("side").to_numpy(), rows.column("same").to_numpy()):
                 equal = signs[left] == signs[right]
                 alike = equal.mean(axis=1)
                 near = alike >= ALLOWED
-                trees = equal[near].reshape(-1, TREES, DEPTH)[:, :, :prefix].all(axis=2).sum(axis=1)
-                for a, b, s, t in zip(left[near], right[near], alike[near], trees):
-                    link = forest.join(a - base, b - base)
-                    # a pair is met in each trie where the prefixes agree; together these meetings weigh 1
-                    if link or s >= 0.75:
-                        out[0].append(keys[a] if link else None)
-                        out[1].append(keys[b] if link else None)
-                        weight = 1.0 / max(1, int(t)) if s >= 0.75 else 0.0
-                        out[2].append(weight)
-                        out[3].append(weight / (1 - (1 - min(1.0, float(s)) ** prefix) ** TREES))
-
-            sizes = np.diff(borders)
-            pairs = borders[:-1][sizes == 2]
-            pairs = pairs[same[pairs] | (side[pairs] != side[pairs + 1])]
-            for start in range(0, len(pairs), 4096):
-                left = pairs[start:start + 4096]
-                equal = signs[left] == signs[left + 1]
-                for at in left[equal.mean(axis=1) >= ALLOWED]:
-                    tell(np.array([at]), np.array([at + 1]), Forest(2), int(at))
-            for g in np.flatnonzero(sizes > 2):
-                low, high = int(borders[g]), int(borders[g + 1])
-                forest = Forest(high - low)
-                for a in range(low, high - 1):
-                    right = np.arange(a + 1, high) if same[a] else a + 1 + np.flatnonzero(side[a + 1:high] != side[a])
-                    if len(right):
-                        tell(np.full(len(right), a), right, forest, low)
+                left, right, alike = left[near], right[near], alike[near]
+                # a pair is met in each trie where the prefixes agree; together these meetings weigh 1
+                met = equal[near].reshape(-1, TREES, DEPTH)[:, :, :prefix].all(axis=2).sum(axis=1)
+                weight = np.where(alike >= 0.75, 1.0 / np.maximum(1, met), 0.0)
+                found += float(weight.sum())
+                expected += float((weight / (1 - (1 - alike ** prefix) ** TREES)).sum())
+                # of the pairs between two trees one makes the link
+                apart = tree[left] != tree[right]
+                left, right = left[apart], right[apart]
+                if len(left):
+                    _, one = np.unique(tree[left] * len(keys) + tree[right], return_index=True)
+                    for i, j in zip(left[one].tolist(), right[one].tolist()):
+                        if forest.join(i, j):
+                            a.append(keys[i])
+                            b.append(keys[j])
+                    tree = forest.roots()
             # statistics of a batch of units are one row
-            total = [None], [None], [float(sum(out[2]))], [float(sum(out[3]))]
-            linked = [i for i, a in enumerate(out[0]) if a is not None]
             yield pa.record_batch({
-                "a": pa.array([out[0][i] for i in linked] + total[0], pa.binary()),
-                "b": pa.array([out[1][i] for i in linked] + total[1], pa.binary()),
-                "found": pa.array([0.0] * len(linked) + total[2]), "expected": pa.array([0.0] * len(linked) + total[3])})
+                "a": pa.array([*a, None], pa.binary()), "b": pa.array([*b, None], pa.binary()),
+                "found": pa.array([0.0] * len(a) + [found]), "expected": pa.array([0.0] * len(a) + [expected])})
 
     told = saved(over_units(dealt, work, "a binary, b binary, found double, expected double"))
     sums = told.agg(F.sum("found").alias("found"), F.sum("expected").alias("expected")).first()
