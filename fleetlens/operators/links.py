@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions.network import host_of
+from fleetlens.session import shared_folder
 
 
 def selector_entries(services: DataFrame) -> DataFrame:
@@ -104,25 +105,41 @@ def resources_by_label(resource_labels: DataFrame, labels: DataFrame, name: str,
     return resource_labels.join(wanted, "label_uuid", "left_semi").select("resource_uuid")
 
 
-def owner_roots(objects: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
-    """Follow controlling owners upwards, at most ``depth`` steps.
+def owner_roots(objects: DataFrame, edges: DataFrame) -> DataFrame:
+    """Follow controlling owners upwards to the end of the chain, however long it is.
 
-    ``objects``: uuid; ``edges``: child_uuid, owner_uuid, kind, with one controlling owner per child. Owners are
-    resolved among themselves first, so that the many objects of one popular owner join only once.
+    ``objects``: uuid; ``edges``: child_uuid, owner_uuid, kind, with one controlling owner per child. Owners are resolved
+    among themselves first, so that the many objects of one popular owner join only once: each round lets every owner
+    point twice as far, until none can go on. Objects below a cycle have no root: ``root_uuid`` and ``hops`` are NULL.
+    Rounds are checkpointed, for their number is only known at run time.
     """
-    top = edges.select("child_uuid", F.col("owner_uuid").alias("root_uuid"), F.col("kind").alias("root_kind"),
-                       F.lit(1).alias("hops"))
-    for _ in range(depth - 1):
-        up = edges.select(F.col("child_uuid").alias("root_uuid"), F.col("owner_uuid").alias("_up"), F.col("kind").alias("_kind"))
-        top = top.join(up, "root_uuid", "left").select(
-            "child_uuid", F.coalesce("_up", "root_uuid").alias("root_uuid"),
-            F.coalesce("_kind", "root_kind").alias("root_kind"),
-            (F.col("hops") + F.col("_up").isNotNull().cast("int")).alias("hops"))
-    return (
-        objects.select(F.col("uuid").alias("child_uuid")).join(top, "child_uuid", "left")
-        .select(F.col("child_uuid").alias("uuid"), F.coalesce("root_uuid", "child_uuid").alias("root_uuid"),
-                "root_kind", F.coalesce("hops", F.lit(0)).alias("hops"))
-    )
+    spark = edges.sparkSession
+    spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    owners = edges.select(F.col("owner_uuid").alias("child_uuid")).distinct()
+    far = edges.join(owners, "child_uuid", "left_semi").select(
+        "child_uuid", F.col("owner_uuid").alias("root_uuid"), F.col("kind").alias("root_kind"), F.lit(1).cast("bigint").alias("hops")).checkpoint()
+    longest = far.count()  # no chain without a cycle has more steps than there are owners with an owner
+    reached = 1
+    while True:
+        up = far.select(F.col("child_uuid").alias("root_uuid"), F.col("root_uuid").alias("_up"), F.col("root_kind").alias("_kind"),
+                        F.col("hops").alias("_hops"))
+        going = far.join(up.select("root_uuid"), "root_uuid", "left_semi")
+        if reached > longest or going.isEmpty():
+            break
+        far = far.join(up, "root_uuid", "left").select(
+            "child_uuid", F.coalesce("_up", "root_uuid").alias("root_uuid"), F.coalesce("_kind", "root_kind").alias("root_kind"),
+            (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops")).checkpoint()
+        reached *= 2
+    endless = going.select("child_uuid", F.lit(True).alias("_endless"))
+    ends = far.join(endless, "child_uuid", "left").select(
+        F.col("child_uuid").alias("owner_uuid"), "root_uuid", "root_kind", "hops", F.coalesce("_endless", F.lit(False)).alias("_endless"))
+    own = objects.select(F.col("uuid").alias("child_uuid")).join(edges.select("child_uuid", "owner_uuid", "kind"), "child_uuid", "left")
+    stop = F.coalesce("_endless", F.lit(False))
+    return own.join(ends, "owner_uuid", "left").select(
+        F.col("child_uuid").alias("uuid"),
+        F.when(~stop, F.coalesce("root_uuid", "owner_uuid", "child_uuid")).alias("root_uuid"),
+        F.when(~stop, F.coalesce("root_kind", "kind")).alias("root_kind"),
+        F.when(~stop, F.coalesce("hops", F.lit(0)) + F.col("owner_uuid").isNotNull().cast("int")).cast("int").alias("hops"))
 
 
 def claim_links(pod_pvcs: DataFrame, pods: DataFrame, claims: DataFrame, claim_refs: DataFrame) -> DataFrame:

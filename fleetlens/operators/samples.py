@@ -76,14 +76,14 @@ def instant(
 
     A value is visible from the end of its minute until the next minute with a value, at most for the lookback; it is
     copied to just those steps. Several metrics of equal label sets are matched by grouping instead of joining.
-    ``labels`` become columns. A series has one value per instant.
+    ``labels`` become columns. Of several values at one instant the largest counts.
     """
     series = ["cluster_uuid", "series", *labels]
     kinds = ["metric"] if len(metrics) > 1 else []
     tagged = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels), *kinds,
                             _minute_index(F.col("ts")).alias("slice"), "ts", "value")
     # At most one row per series and minute leaves a task.
-    per_slice = tagged.groupBy(*series, *kinds, "slice").agg(F.max_by("value", "ts").alias("value"))
+    per_slice = tagged.groupBy(*series, *kinds, "slice").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
     following = F.lead("slice").over(Window.partitionBy("cluster_uuid", "series", *kinds).orderBy("slice"))
     until = F.least(F.col("slice") + (lookback_minutes - 1), F.col("_next") - 1)
     stepped = _with_steps(per_slice.withColumn("_next", following), F.col("slice"), until)
@@ -98,7 +98,7 @@ def instant_at(samples: DataFrame, at, lookback_minutes: int = LOOKBACK_MINUTES)
     end = F.lit(at).cast("timestamp")
     recent = samples.filter((F.col("ts") <= end) & (F.col("ts") > end - F.expr(f"INTERVAL {lookback_minutes} MINUTES")))
     return recent.groupBy("cluster_uuid", "metric", series_of(F.col("labels")).alias("series")).agg(
-        F.max_by("value", "ts").alias("v0")).withColumn("step", end)
+        F.max_by("value", F.struct("ts", "value")).alias("v0")).withColumn("step", end)
 
 
 def _rise(values: Column) -> Column:
@@ -111,15 +111,14 @@ def _rise(values: Column) -> Column:
 def counter_rate(samples: DataFrame, window_minutes: int, labels: Sequence[str] = ()) -> DataFrame:
     """Per-second rise of each counter series over the window before each grid step.
 
-    Samples are gathered per series and minute as a *set* of (instant in ms, value): repeats vanish on the map side, and
-    a minute holds at most 60,000 instants, so the gathered arrays are bounded whatever the load on one series. Each
-    slice gives (first, last, rise inside); the slices of a window are then chained. Fewer than two samples in a window
-    give no row.
+    Samples are gathered per series and minute as a *set* of (instant in microseconds, value): repeats vanish on the map
+    side, and an array is as long as one series has distinct samples in a minute. Each slice gives (first, last, rise
+    inside); the slices of a window are then chained. Fewer than two samples in a window give no row.
     """
     keys = ["cluster_uuid", "series", *labels]
     points = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels),
                             _minute_index(F.col("ts")).alias("slice"),
-                            F.struct(F.unix_millis("ts").alias("t"), F.col("value").alias("v")).alias("p"))
+                            F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v")).alias("p"))
     gathered = points.groupBy(*keys, "slice").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     # Of several values at one instant the largest stays.
     single = gathered.withColumn(
@@ -142,7 +141,7 @@ def counter_rate(samples: DataFrame, window_minutes: int, labels: Sequence[str]
                    .otherwise(b["first"]["v"] - a["last"]["v"])),
         F.lit(0.0), lambda acc, x: acc + x)
     n = F.aggregate("parts", F.lit(0), lambda acc, part: acc + part["n"])
-    seconds = (last["t"] - first["t"]) / F.lit(1000.0)
+    seconds = (last["t"] - first["t"]) / F.lit(1000000.0)
     return (
         windows.select(*keys, "step", n.alias("n"), (inside + between).alias("rise"), seconds.alias("seconds"))
         .filter(F.col("n") >= 2).select(*keys, "step", (F.col("rise") / F.col("seconds")).alias("v0"))

@@ -44,10 +44,20 @@ def bucket_columns(table: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Batch:
-    """Identity of a write within a micro-batch, so that a repeated batch finds its own staging."""
+    """Identity of a write within a micro-batch, so that a repeated batch finds its own staging.
+
+    ``writer`` tells feeds into one store apart. A streaming query's own id is the one to take: it stays the same over
+    restarts and is another one for another checkpoint (:func:`streaming_writer`).
+    """
 
     id: int
     step: str
+    writer: str = ""
+
+
+def streaming_writer(spark: SparkSession) -> str:
+    """Id of the streaming query that the calling ``foreachBatch`` function runs in, empty outside of one."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
 @dataclass
@@ -69,8 +79,16 @@ class TableStore:
     def _stored(self, table: str) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            return None
+        except AnalysisException as error:
+            # A folder without files is a table whose days are all dropped; anything else unreadable is an error.
+            condition = error.getCondition()
+            if condition == "PATH_NOT_FOUND" or condition == "UNABLE_TO_INFER_SCHEMA" and not self._has_files(table):
+                return None
+            raise
+
+    def _has_files(self, table: str) -> bool:
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path(table))
+        return not files.select("path").isEmpty()
 
     def partitions_of(self, table: str) -> list[str]:
         return [_DAY, _BUCKET] if table in TIMED else [_BUCKET]
@@ -122,10 +140,27 @@ class TableStore:
          .withColumn(_BATCH, F.lit(batch.id if batch else -1).cast("bigint"))
          .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(slot))
         self._apply(table, self.spark.read.parquet(slot).drop(_BATCH))
+        if batch:
+            self._note_done(slot, batch)
+
+    def _note_done(self, slot: str, batch: Batch) -> None:
+        """What is staged has replaced its partitions: from now on others may write there, so it must not be applied again."""
+        self.spark.range(1).select(F.lit(batch.id).cast("bigint").alias(_BATCH)).write.mode("overwrite").parquet(f"{slot}-done")
+
+    def _noted(self, path: str) -> int | None:
+        """Batch number in a folder that was written to its end, else None."""
+        try:
+            self.spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
+            found = self.spark.read.parquet(path).select(_BATCH).limit(1).collect()
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return found[0][0] if found else None
 
     def _slot(self, table: str, batch: "Batch | None") -> str:
         name = self.root.replace("://", "_").strip("/").replace("/", "_")
-        side = f"{batch.step}/{batch.id % 2}" if batch else "once"
+        side = f"{batch.writer or 'direct'}/{batch.step}/{batch.id % 2}" if batch else "once"
         return f"{shared_folder(self.spark)}/staging/{name}/{table}/{side}"
 
     def _apply(self, table: str, rows: DataFrame) -> None:
@@ -135,17 +170,15 @@ class TableStore:
          .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table)))
 
     def _resume(self, table: str, batch: "Batch | None") -> bool:
-        """Apply the staging of a repeated batch, when it is complete."""
+        """Whether a repeated batch was staged to its end; what was not applied to its end is applied now."""
         if batch is None:
             return False
-        try:
-            staged = self.spark.read.parquet(self._slot(table, batch))
-            found = staged.select(_BATCH).limit(1).collect()
-        except AnalysisException:
-            return False
-        if not found or found[0][0] != batch.id:
+        slot = self._slot(table, batch)
+        if self._noted(slot) != batch.id:
             return False
-        self._apply(table, staged.drop(_BATCH))
+        if self._noted(f"{slot}-done") != batch.id:
+            self._apply(table, self.spark.read.parquet(slot).drop(_BATCH))
+            self._note_done(slot, batch)
         return True
 
     def write_upsert(

@@ -16,7 +16,7 @@ from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators.links import stale_keys
 from fleetlens.operators.merge import dedup_last
 from fleetlens.session import shared_folder
-from fleetlens.sources.tables import Batch, TableStore
+from fleetlens.sources.tables import Batch, TableStore, streaming_writer
 
 # Fixed value: upserts of objects that go within this many seconds are left to the delete that follows.
 DELETE_SOON_SECONDS = 30
@@ -57,7 +57,8 @@ class ChangeApplier:
     """``foreachBatch`` function that keeps the stored tables in step with a change feed.
 
     ``deletes="ignore"`` keeps rows of deleted objects for the kinds in ``keep_kinds`` (events by default).
-    ``subscribers`` get (kind, normalised tables, deleted uuids) after the writes of that kind succeeded.
+    ``subscribers`` get (kind, normalised tables, deleted uuids) after the writes of that kind succeeded. ``writer`` names
+    the feed where it is not run by a streaming query of its own.
     """
 
     store: TableStore
@@ -66,9 +67,11 @@ class ChangeApplier:
     keep_kinds: tuple[str, ...] = ("event",)
     children: str = "replace"
     subscribers: list[Callable[[str, dict[str, DataFrame], DataFrame], None]] = field(default_factory=list)
+    writer: str = ""
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         now = self.as_of()
+        writer = self.writer or streaming_writer(batch.sparkSession)
         # Deletions of kept kinds are left out first, so that the last version before them is stored.
         ignored = F.col("kind").isin(list(self.keep_kinds)) & (F.col("type") == "DELETED")
         latest = coalesce_changes(batch.filter(~ignored)).persist(StorageLevel.MEMORY_AND_DISK)
@@ -80,11 +83,11 @@ class ChangeApplier:
                 gone = deleted_ids(of_kind)
                 tables: dict[str, DataFrame] = {}
                 if (kind, True) in present:
-                    self.store.cascade_delete(kind, gone, batch=Batch(batch_id, f"{kind}-delete"))
+                    self.store.cascade_delete(kind, gone, batch=Batch(batch_id, f"{kind}-delete", writer))
                 if (kind, False) in present:
                     objects = not_deleting_soon(objects_of(latest, kind), now)
                     tables = self.store.cascade_upsert(
-                        kind, objects, now, children=self.children, batch=Batch(batch_id, f"{kind}-upsert"))
+                        kind, objects, now, children=self.children, batch=Batch(batch_id, f"{kind}-upsert", writer))
                 if (kind, True) in present or (kind, False) in present:
                     for subscriber in self.subscribers:
                         subscriber(kind, tables, gone)

@@ -69,8 +69,15 @@ def test_node_lookup(spark):
 def test_owner_roots_depth(spark):
     edges = spark.createDataFrame([("a", "b", "x"), ("b", "c", "y"), ("c", "d", "z"), ("d", "e", "w")], "child_uuid string, owner_uuid string, kind string")
     objects = spark.createDataFrame([("a",), ("c",), ("q",)], "uuid string")
-    got = {r.uuid: (r.root_uuid, r.root_kind, r.hops) for r in links.owner_roots(objects, edges, 3).collect()}
-    assert got == {"a": ("d", "z", 3), "c": ("e", "w", 2), "q": ("q", None, 0)}
+    got = {r.uuid: (r.root_uuid, r.root_kind, r.hops) for r in links.owner_roots(objects, edges).collect()}
+    assert got == {"a": ("e", "w", 4), "c": ("e", "w", 2), "q": ("q", None, 0)}
+    # a long chain, a chain that ends in a cycle, and an object without edges at all
+    long = [(f"n{i}", f"n{i + 1}", f"k{i}") for i in range(11)] + [("x", "y", "k"), ("y", "z", "k"), ("z", "y", "k")]
+    edges = spark.createDataFrame(long, edges.schema)
+    objects = spark.createDataFrame([("n0",), ("n10",), ("n11",), ("x",), ("z",)], "uuid string")
+    got = {r.uuid: (r.root_uuid, r.root_kind, r.hops) for r in links.owner_roots(objects, edges).collect()}
+    assert got == {"n0": ("n11", "k10", 11), "n10": ("n11", "k10", 1), "n11": ("n11", None, 0), "x": (None, None, None), "z": (None, None, None)}
+    assert {r.hops for r in links.owner_roots(objects, edges.limit(0)).collect()} == {0}
 
 
 def test_quality_and_roll_up(spark):

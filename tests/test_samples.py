@@ -62,6 +62,13 @@ def test_instant_equals_model(spark):
     assert [r.v0 for r in point] == [3.0, 9.0]
 
 
+def test_samples_closer_than_a_millisecond_and_ties(spark):
+    close = frame(spark, [("m", {}, 10 + i * 0.0001, i) for i in range(10)])
+    assert abs(S.counter_rate(close, 2).first().v0 - 10000.0) < 1e-6
+    tied = frame(spark, [("g", {}, 5, v) for v in (1, 3, 2)])
+    assert {r.v0 for r in S.instant(tied, ["g"]).collect()} == {3.0}
+
+
 def test_minute_bucket(spark):
     df = spark.createDataFrame([(dt.datetime(1970, 1, 1, 0, 1, 59, 900000),)], "ts timestamp")
     assert df.select(S.minute_bucket_ms(F.col("ts"))).first()[0] == 60000

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetlens import schemas
 from fleetlens.functions.text import log_tail
+from fleetlens.operators.links import node_aliases
 from fleetlens.operators.normalize import with_meta
+from fleetlens.plans.metric_catalogue import metric_points
 from fleetlens.sources.readers import read_changes
 from fleetlens.sources.tables import TableStore
 from fleetlens.streaming.alerts import alert_subscriber
@@ -143,10 +145,37 @@ def test_metric_poller_updates_its_own_minutes(spark, tmp_path):
     poller(feed.filter(F.col("ts") < F.lit(base + dt.timedelta(minutes=2))), 0)
     poller(feed.filter(F.col("ts") >= F.lit(base + dt.timedelta(minutes=2))), 1)
     got = {(r.category, r.timestamp.minute): r.value for r in store.read("prometheus_node_metric").collect()}
-    assert {k: v for k, v in got.items() if k[0] == "cpu.request"} == {("cpu.request", i): float(i) for i in range(4)}
+    # the last value stays visible for five steps
+    assert {k: v for k, v in got.items() if k[0] == "cpu.request"} == {("cpu.request", i): float(min(i, 3)) for i in range(8)}
     assert got["cpu.request.percentage", 3] == 0.75
 
 
+def test_metric_poller_equals_the_batch_form(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1, 0, 0)
+    minutes = [0, 1, 4, 5, 13, 14, 30, 2, 31]  # with gaps and a late sample
+    rows = [("c", metric, {"node": "n1", "namespace": "ns", "pod": "p", "container": "a", "resource": "cpu"}, base + dt.timedelta(minutes=m, seconds=s), m + s + 1.0)
+            for m in minutes for s in (0, 20) for metric in ("kube_pod_container_resource_requests", "machine_cpu_cores")]
+    feed = spark.createDataFrame(rows, "cluster_uuid string, metric string, labels map<string,string>, ts timestamp, value double")
+    node = spark.createDataFrame([{"cluster_uid": "k", "meta": {"uid": "u", "name": "n1"}, "status": {"addresses": []}}], schemas.kind_schema("node"))
+    nodes = with_meta(node).withColumn("cluster_uuid", F.lit("c"))
+    pods = spark.createDataFrame([("c", "ns", "p", "pu")], "cluster_uuid string, namespace string, name string, uuid string")
+
+    def points(df):
+        return sorted((r.category, r.name, r.timestamp, r.value) for r in df.collect())
+
+    want = points(metric_points("node", feed, node_aliases(nodes), pods))
+    for parts in (1, 3):
+        store, arrived = TableStore(spark, str(tmp_path / str(parts)), buckets=2), []
+        poller = MetricPoller(store, lambda lo, hi: spark.createDataFrame(arrived, feed.schema).filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))),
+                              lambda: nodes, lambda: pods, scopes=("node",), writer=f"in {parts}")
+        size = -(-len(rows) // parts)
+        for i in range(parts):
+            new = rows[i * size:(i + 1) * size]
+            arrived += new
+            poller(spark.createDataFrame(new, feed.schema), i)
+        assert points(store.read("prometheus_node_metric")) == want
+
+
 def test_label_maps_and_guard(spark):
     pods = spark.createDataFrame([("u", "c", "ns")], "uuid string, cluster_uuid string, namespace string")
     links = spark.createDataFrame([("u", "l1"), ("u", "l2")], "resource_uuid string, label_uuid string")

@@ -1,6 +1,7 @@
 """Stored tables on disk."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,23 @@ def test_repeated_batch_changes_nothing(spark, store):
     assert rows(store, "label") == [("a", "n", "5")]
 
 
+def test_feeds_with_equal_batch_numbers(spark, store):
+    store.write_upsert("label", labels(spark, ("a0", "n", "1")), batch=T.Batch(0, "s", "one"))
+    store.write_upsert("label", labels(spark, ("a1", "n", "1")), batch=T.Batch(1, "s", "one"))
+    store.write_upsert("label", labels(spark, ("b0", "n", "1")), batch=T.Batch(0, "s", "two"))
+    store.write_upsert("label", labels(spark, ("b1", "n", "1")), batch=T.Batch(1, "s", "two"))
+    store.write_upsert("label", labels(spark, ("a1", "n", "1")), batch=T.Batch(1, "s", "one"))
+    assert [r[0] for r in rows(store, "label")] == ["a0", "a1", "b0", "b1"]
+
+
+def test_unreadable_table_is_not_an_absent_one(spark, store):
+    (Path(store.path("label")) / "plain").mkdir(parents=True)
+    assert store.read("label") is None
+    (Path(store.path("label")) / "plain" / "x.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        store.write_upsert("label", labels(spark, ("a", "n", "1")))
+
+
 def test_only_touched_partitions_are_read(spark, store):
     store.write_upsert("label", labels(spark, *[(str(i), "n", "v") for i in range(50)]))
     stored = store._stored("label")
