@@ -49,8 +49,8 @@ def borders(unit: np.ndarray) -> np.ndarray:
 def over_units(rows: DataFrame, work: Callable[[Iterator[tuple[pa.Table, np.ndarray]]], Iterator[pa.RecordBatch]],
                schema: str) -> DataFrame:
     """Bring each unit together and run ``work`` over the units of a partition."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "unit").sortWithinPartitions("unit")
+    # no number of partitions: adaptive execution joins small ones and keeps at least one per core
+    dealt = rows.repartition("unit").sortWithinPartitions("unit")
     return dealt.mapInArrow(lambda batches: work(units(batches)), schema)
 
 
