@@ -45,7 +45,8 @@ STAGES = [
     ("sharding", sharding),
 ]
 
-#: Several stages cannot be said in SQL; the tests hold ``run`` against a brute-force version.
+#: Several stages cannot be said in SQL; the tests hold ``run`` against brute force: the rows that come out of the first three
+#: stages, and the words, laps and shards of the others.
 ORACLE_SQL = None
 
 

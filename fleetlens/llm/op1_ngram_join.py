@@ -12,7 +12,8 @@ of links per node and a spanning forest of the links, linear in the group. Nothi
 
 Defined results: a text of one to four words has one shingle, all its words; wordless texts have none and link to nothing,
 but equal texts, also empty ones, are one class; a NULL text is a class of its own row; rows equal in id and text are in one
-class; an empty table gives an empty result; other columns are not read.
+class; an empty table gives an empty result; other columns are not read. ``class_id`` is a doc_id, so classes without ids or
+with a repeated one share it; ``class_key`` tells classes apart.
 """
 
 from __future__ import annotations
@@ -250,8 +251,9 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, key, class_id (smallest doc_id of the class), n_links (different texts linked to the
-    text), n_copies (documents with the text) and class_size (documents of the class)."""
+    """One row per document: doc_id, key, class_key (smallest text key of the class, its identity), class_id (smallest
+    doc_id of the class, which other classes can share), n_links (different texts linked to the text), n_copies (documents
+    with the text) and class_size (documents of the class). A NULL text has no keys."""
     rows = saved(with_signatures(docs))
     nodes = saved(rows.filter("key IS NOT NULL").groupBy("key").agg(
         F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
@@ -270,22 +272,24 @@ def join(docs: DataFrame) -> DataFrame:
     counts = told.filter("b IS NULL").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
     by_key = (nodes.select("key", "least", "copies").join(classes.withColumnRenamed("node", "key"), "key", "left")
               .join(counts, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    heads = by_key.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    heads = by_key.groupBy("root").agg(
+        F.min("key").alias("class_key"), F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     known = by_key.join(heads, "root").select(
-        "key", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("copies").alias("n_copies"), "class_size")
+        "key", "class_key", "class_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.col("copies").alias("n_copies"), "class_size")
     one = F.lit(1).cast("bigint")
     return rows.select("doc_id", "key").join(known, "key", "left").select(
-        "doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        "doc_id", "key", "class_key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("n_copies", one).alias("n_copies"),
         F.coalesce("class_size", one).alias("class_size"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, the one of the smallest doc_id; rows with a NULL text stay."""
+    """``docs`` with one row of each class, the one of the smallest doc_id (NULL is the last, ties go to the smallest text
+    key); rows with a NULL text stay."""
     found = join(docs).filter("key IS NOT NULL")
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("class_id")).agg(F.min("key").alias("_key"))
+    chosen = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("_least"))
     keyed = with_keys(docs)
-    kept = keyed.join(chosen.select("_key", F.col("class_id").alias("_id")),
+    kept = keyed.join(chosen.select(F.col("_least.key").alias("_key"), F.col("_least.doc_id").alias("_id")),
                       (F.col("_own_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_own_key"])
     return kept.select(*docs.columns).unionByName(docs.filter("text IS NULL"))
 
@@ -302,4 +306,5 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 @query("op1_ngram_join")
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "class_size")
+    return join(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_copies", "class_size", F.lower(F.hex("class_key")).alias("class_key"))

@@ -242,3 +242,112 @@ def test_pipeline(spark, docs):
     for r in out:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def jaccard_classes(texts):
+    """Classes of distinct texts by exact Jaccard similarity of five-word shingles: text to a set of texts."""
+    sets = {}
+    for t in texts:
+        ws = WORD.findall(t)
+        sets[t] = {tuple(ws[i:i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+    of = {t: {t} for t in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if of[a] is not of[b] and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                of[a] |= of[b]
+                for t in of[a]:
+                    of[t] = of[a]
+    return of
+
+
+def one_of_each(table):
+    """(doc_id, text) rows with one of each class, the smallest doc_id (NULL last); a tie is left to the caller's ids."""
+    of = jaccard_classes(sorted({t for _, t in table if t is not None}))
+    best = {}
+    for doc_id, t in table:
+        if t is not None:
+            name = min(of[t])
+            best[name] = min(best.get(name, (True, 1 << 62)), (doc_id is None, doc_id or 0))
+    return of, collections.Counter([(n, None if none else d) for n, (none, d) in best.items()])
+
+
+def test_near_duplicates_ids(spark, docs):
+    """Ids that are NULL or name several texts do not put unlinked texts into one class."""
+    base = words(120)
+    near = base.replace("w7 ", "other ", 1)
+    table = [(None, words(90, 400)), (None, words(90, 401)), (None, words(90, 402)), (None, words(90, 402)), (None, ""),
+             (7, words(80, 500)), (7, words(80, 501)), (7, words(80, 501)), (3, base), (7, near), (None, near), (9, None), (None, None)]
+    frame = spark.createDataFrame(table, "doc_id bigint, text string").repartition(3)
+    of, want = one_of_each(table)
+    got = op1_ngram_join.keep_one(frame).collect()
+    assert collections.Counter((min(of[r["text"]]), r["doc_id"]) for r in got if r["text"] is not None) == want
+    assert sorted(r["doc_id"] or 0 for r in got if r["text"] is None) == [0, 9]
+    joined = frame.join(op1_ngram_join.with_keys(frame).select("text", F.col("_own_key").alias("key")).distinct(), "text")
+    text_of = {bytes(r["key"]): r["text"] for r in joined.collect()}
+    keys = collections.defaultdict(set)
+    for r in op1_ngram_join.join(frame).collect():
+        if r["key"] is None:
+            assert r["class_key"] is None
+        else:
+            keys[min(of[text_of[bytes(r["key"])]])].add(bytes(r["class_key"]))
+    assert len(keys) == len(want) and all(len(k) == 1 for k in keys.values())
+    assert len(set.union(*keys.values())) == len(want)
+
+
+def test_pipeline_rows(spark, docs, tmp_path):
+    """The rows that each deterministic stage keeps, and what the others make of them, by brute force."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    given = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+
+    def passes(text):
+        ws, lines = WORD.findall(text or ""), [line for line in (text or "").split("\n") if WORD.search(line)]
+        tri = [tuple(ws[i:i + 3]) for i in range(len(ws) - 2)]
+        counts = collections.Counter(tri)
+        covered = {j for i, t in enumerate(tri) if counts[t] > 1 for j in range(i, i + 3)}
+        return not (len(ws) < 50 or 100 * len(covered) > 50 * len(ws) or 10 * sum(c in "#*$%&|<>" for c in text) > len(ws)
+                    or len(lines) >= 5 and 100 * (len(lines) - len(set(lines))) > 40 * len(lines)
+                    or not 2 * len(ws) <= sum(map(len, ws)) <= 12 * len(ws) or 100 * sum(w.isupper() for w in ws) > 60 * len(ws))
+
+    good = max(given, key=lambda r: len(r[1] or "") if passes(r[1]) else 0)[1]
+    given += [(None, words(200, k), "en", "web", None) for k in range(3)] + [(5, words(210, 50 + k), "en", "web", None) for k in range(2)]
+    given += [(None, good + " end", "en", "web", None)]
+    spark.createDataFrame(given, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    rows = [r[:2] for r in given if passes(r[1])]
+    of, kept = one_of_each(rows)
+    bench = [op3_decontamination.words_of(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+
+    def leaks(text):
+        """Whether an item stands in the text word by word."""
+        line = " " + " ".join(op3_decontamination.words_of(text)) + " "
+        return any(b and " " + " ".join(b) + " " in line for b in bench)
+
+    stages = dict(corpus_pipeline.STAGES)
+    read = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = stages["quality rules"](spark, read, str(tmp_path))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in first.collect()) == collections.Counter(rows)
+    second = stages["n-gram Jaccard join"](spark, first, str(tmp_path))
+    got = second.collect()
+    assert collections.Counter((min(of[r["text"]]), r["doc_id"]) for r in got) == kept
+    third = [r["text"] for r in stages["benchmark decontamination"](spark, second, str(tmp_path)).collect()]
+    clean = {r["text"] for r in got if not leaks(r["text"])}
+    altered = clean - set(third)  # contain an item with changes: judged by the stage, few
+    assert set(third) <= clean and len(third) == len(set(third)) and len(altered) <= len(bench)
+    # all that is left comes out of the whole run, as often and as long as the targets say, in full shards
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    whole = {t: r["doc_id"] for t in third for r in got if r["text"] == t}
+    assert {w for r in out for w in WORD.findall(r["text"])} <= {w for t in whole for w in WORD.findall(t)}
+    plan = op9_mixing.mix(spark.createDataFrame(
+        [(r["doc_id"], r["text"], r["source"]) for r in got if r["text"] in whole], "doc_id bigint, text string, source string"))
+    takes = plan.filter("lap IS NOT NULL").groupBy("doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("n")).collect()
+    have = collections.Counter()
+    for r in out:
+        have[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert have == collections.Counter({r["doc_id"]: r["n"] for r in takes})
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
