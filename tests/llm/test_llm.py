@@ -351,3 +351,17 @@ def test_pipeline_rows(spark, docs, tmp_path):
     for r in out:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_near_duplicates_beside_large_group(spark, docs):
+    """A large group of near copies does not end the search for separate pairs at the threshold."""
+    base = words(300).split()
+    group = [" ".join([*base[:i], f"other{i}", *base[i + 1:]]) for i in range(300)]
+    pairs = []
+    for k in range(1000):
+        own = [f"p{k}x{i}" for i in range(40)]  # 32 of 40 shingles shared
+        pairs += [" ".join(own), " ".join(own[:36] + [f"q{k}x{i}" for i in range(4)])]
+    frame = spark.createDataFrame(list(enumerate(group + pairs)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["n_links"] for r in op1_ngram_join.join(frame).collect()}
+    missed = sum(got[i] != 1 for i in range(300, 2300)) / 2
+    assert missed <= 1000 * (1 - op1_ngram_join.RECALL) + 1e-6 and all(got[i] == 299 for i in range(300))
