@@ -79,7 +79,8 @@ def targets(docs: DataFrame) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Rows with ``start``, the place of a document's first word among its source's words."""
+    """Rows with ``start``, the place of a document's first word among its source's words, and ``copy``, which tells rows
+    equal in source, id and text apart (those without words share their start)."""
     bucketed = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BUCKETS)))
     totals = bucketed.groupBy("source", "bucket").agg(F.sum("size").alias("total"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -87,8 +88,9 @@ def packed(docs: DataFrame) -> DataFrame:
                           F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     return (bucketed.withColumn("inner", F.sum("size").over(inside) - F.col("size"))
+            .withColumn("copy", F.row_number().over(inside))
             .join(bases, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")))
-            .select("doc_id", "text_hash", "source", "size", (F.col("base") + F.col("inner")).alias("start")))
+            .select("doc_id", "text_hash", "copy", "source", "size", (F.col("base") + F.col("inner")).alias("start")))
 
 
 def slots(plan: DataFrame) -> DataFrame:
@@ -126,7 +128,7 @@ def slots(plan: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per document and slot that takes words of it: doc_id, text_hash, source, size, source_size, target, start,
+    """One row per document and slot that takes words of it: doc_id, text_hash, copy, source, size, source_size, target, start,
     and lap, shard, slot, from_word, to_word (words of the document); a document not taken has one row without them."""
     slim = pinned(own_columns(docs, "doc_id", "text", "source").select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.col("source").cast("string"), word_count(F.col("text")).alias("size")))
@@ -145,7 +147,7 @@ def mix(docs: DataFrame) -> DataFrame:
     word = F.col("block") * BLOCK - F.col("start")
     got = F.col("words").isNotNull() & (F.least("high", "words") > F.col("low"))
     return joined.select(
-        "doc_id", "text_hash", "source", "source_id", "size", "source_size", "target", "start",
+        "doc_id", "text_hash", "copy", "source", "source_id", "size", "source_size", "target", "start",
         *[F.when(got, c).alias(n) for n, c in (
             ("lap", F.col("lap")), ("shard", F.col("shard")), ("slot", F.col("slot")),
             ("from_word", word + F.col("low")), ("to_word", word + F.least("high", "words")))])
@@ -157,10 +159,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     A wholly taken text is kept as it is; a part is its words joined by a space. ``n_chars`` follows the new text.
     Texts are shuffled once.
     """
-    parts = mix(docs).groupBy("source_id", "start", "doc_id", "text_hash", "source", "size", "lap").agg(
+    parts = mix(docs).groupBy("source_id", "start", "doc_id", "text_hash", "copy", "source", "size", "lap").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "to_word"))).alias("parts"),
         F.sum(F.col("to_word") - F.col("from_word")).alias("words"))
-    laps = parts.filter("lap IS NOT NULL").groupBy("source_id", "start", "doc_id", "text_hash", "source", "size").agg(
+    laps = parts.filter("lap IS NOT NULL").groupBy("source_id", "start", "doc_id", "text_hash", "copy", "source", "size").agg(
         F.sort_array(F.collect_list(F.struct("lap", "words", "parts"))).alias("laps"))
     by_text = laps.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"),
                            ).agg(F.sort_array(F.collect_list(F.struct("start", "laps", "size"))).alias("_rows"))
@@ -181,6 +183,6 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 @query("op9_mixing")
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (mix(table(spark, sf_dir, "documents"))
-            .groupBy("source_id", "start", "doc_id", "text_hash", "size", "source_size", "target")
+            .groupBy("source_id", "start", "doc_id", "text_hash", "copy", "size", "source_size", "target")
             .agg(F.coalesce(F.sum(F.col("to_word") - F.col("from_word")), F.lit(0)).cast("bigint").alias("taken"))
             .select("doc_id", "size", "source_size", "target", "taken"))

@@ -365,3 +365,13 @@ def test_near_duplicates_beside_large_group(spark, docs):
     got = {r["doc_id"]: r["n_links"] for r in op1_ngram_join.join(frame).collect()}
     missed = sum(got[i] != 1 for i in range(300, 2300)) / 2
     assert missed <= 1000 * (1 - op1_ngram_join.RECALL) + 1e-6 and all(got[i] == 299 for i in range(300))
+
+
+def test_mixing_repeated_empty_rows(spark, docs, tmp_path):
+    """Rows without words are told apart even where source, id and text are equal."""
+    table = [(None, None, "a")] * 4 + [(None, "", "a")] * 3 + [(2, " ", "a")] * 2 + [(1, words(700), "a")] * 2 + [(3, None, None)] * 2
+    spark.createDataFrame(table, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op9_mixing.op9_mixing(spark, str(tmp_path)).collect()
+    assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter(
+        (d, len(WORD.findall(t or ""))) for d, t, _ in table)
+    assert all(r["taken"] == 0 for r in got if r["size"] == 0) and sum(r["taken"] for r in got) == 2100
