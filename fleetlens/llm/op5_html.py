@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,8 @@ FAN_IN = 256
 DEEPEST = 150
 LONGEST_PERIOD = 3
 DENSE = 0.8        # share of the varying text that the main region holds where no element names it
-FEWEST_CONSTANT = 3  # pages that must agree before a text counts as constant
+FEWEST_CONSTANT = 3  # pages of different content that must agree before a text counts as constant
+SHOWN = 200          # characters of a constant text that the wrapper shows
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -174,7 +176,7 @@ def parse(page: str) -> Element:
 
 
 # --- wrappers: nodes are dicts with label l, pages n, optional o, repeated r, skip x, main m, kids k; texts have
-# --- constant text t (None: a slot) and size s
+# --- constant text t as shown (None: a slot), hash h of it all, size s and contents p of up to FEWEST_CONSTANT different pages
 
 def folded(kids: list[dict]) -> list[dict]:
     """Neighbours that repeat, alone or in groups of up to ``LONGEST_PERIOD``, as one repeated node."""
@@ -206,7 +208,9 @@ def merged_nodes(a: dict, b: dict, same_page: bool = False) -> dict:
     n = max(a["n"], b["n"]) if same_page else a["n"] + b["n"]
     out = {"l": a["l"], "n": n, "o": a["o"] | b["o"], "r": a["r"] | b["r"]}
     if a["l"] == "#text":
-        return out | {"t": a["t"] if a["t"] == b["t"] and not same_page else None, "s": a["s"] + b["s"]}
+        if a["t"] is None or b["t"] is None or a["h"] != b["h"] or same_page:
+            return out | {"t": None, "s": a["s"] + b["s"]}
+        return out | {"t": a["t"], "h": a["h"], "s": a["s"] + b["s"], "p": sorted({*a["p"], *b["p"]})[:FEWEST_CONSTANT]}
     for flag in ("x", "m"):
         if a.get(flag):
             out[flag] = 1
@@ -227,18 +231,45 @@ def merged_kids(a: list[dict], b: list[dict], same_page: bool = False) -> list[d
     return folded(out)
 
 
-def skeleton(node: Element) -> dict:
-    """A page's own wrapper."""
-    kids: list[dict] = []
+def plain_text(raw: str) -> str:
+    return " ".join(entities.unescape(raw).split())
+
+
+def hash_of(text: str) -> str:
+    return xxhash.xxh3_64_hexdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def runs(node: Element) -> Iterator[str | Element]:
+    """The children, with neighbouring texts as one."""
+    held: list[str] = []
     for kid in node.kids:
         if isinstance(kid, str):
-            text = " ".join(kid.split())
-            if text and not (kids and kids[-1]["l"] == "#text"):
-                kids.append({"l": "#text", "n": 1, "o": 0, "r": 0, "t": text[:200], "s": len(text)})
-            elif text:
-                kids[-1] = kids[-1] | {"t": (kids[-1]["t"] + " " + text)[:200], "s": kids[-1]["s"] + len(text)}
+            held.append(kid)
+        else:
+            if held:
+                yield "".join(held)
+                held = []
+            yield kid
+    if held:
+        yield "".join(held)
+
+
+def content(node: Element) -> str:
+    """What a page says outside of furniture."""
+    return "\n".join(plain_text(x) if isinstance(x, str) else content(x) for x in runs(node) if isinstance(x, str) or not x.skip)
+
+
+def skeleton(node: Element, page: str | None = None) -> dict:
+    """A page's own wrapper; ``page`` is the hash of its content."""
+    page = hash_of(content(node)) if page is None else page
+    kids: list[dict] = []
+    for kid in runs(node):
+        if isinstance(kid, str):
+            text = plain_text(kid)
+            if text:
+                kids.append({"l": "#text", "n": 1, "o": 0, "r": 0, "t": text[:SHOWN], "h": hash_of(text), "s": len(text), "p": [page]})
         else:
-            kids.append(skeleton(kid))
+            kids.append(skeleton(kid, page))
     out = {"l": node.label, "n": 1, "o": 0, "r": 0, "k": folded(kids)}
     return out | ({"x": 1} if node.skip else {}) | ({"m": 1} if node.main else {})
 
@@ -272,8 +303,8 @@ def roles(wrapper: dict) -> dict:
     constant = []
     for path, node, skip in walked(wrapper):
         if node["l"] == "#text" and not skip:
-            if node["t"] is not None and node["n"] >= FEWEST_CONSTANT:
-                constant.append([path, node["t"]])
+            if node["t"] is not None and len(node["p"]) >= FEWEST_CONSTANT:
+                constant.append([path, node["h"]])
                 continue
             at = path.rsplit(">", 1)[0]
             while at:
@@ -283,7 +314,8 @@ def roles(wrapper: dict) -> dict:
     # the deepest element with enough of the text that is not itself a block of text
     dense = max((p for p, s in size.items() if whole and s >= DENSE * whole and p.rsplit(">", 1)[1][:2] not in ("p", "p.")),
                 key=lambda p: p.count(">"), default=">#page")
-    return {"main": articles or clear or list(named), "dense": dense, "constant": constant}
+    # without a text that varies nothing tells boilerplate from the text of one page
+    return {"main": articles or clear or list(named), "dense": dense, "constant": constant if whole else []}
 
 
 def main_text(page: str, role: dict) -> str:
@@ -293,16 +325,18 @@ def main_text(page: str, role: dict) -> str:
     constants = {tuple(c) for c in role["constant"]}
     blocks: list[str] = []
     parts: list[str] = []
-    seen_main = False
+    varies = seen_main = False  # varies: the open block has a text that is not constant
 
     def flush() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
+        nonlocal varies
+        text = plain_text("".join(parts))
+        if text and varies:
             blocks.append(text)
         parts.clear()
+        varies = False
 
     def read(node: Element, path: str, inside: str, chosen: set) -> None:
-        nonlocal seen_main
+        nonlocal seen_main, varies
         path = f"{path}>{node.label}"
         if not inside and path in chosen:
             inside, seen_main = path, True
@@ -315,10 +349,12 @@ def main_text(page: str, role: dict) -> str:
         block = node.tag in BLOCK or node.tag in ("td", "th")
         if block and inside:
             flush()
-        for kid in node.kids:
+        for kid in runs(node):
             if isinstance(kid, str):
                 if inside:
                     parts.append(kid)
+                    varies = varies or bool(mains & chosen) or not constants or (
+                        (text := plain_text(kid)) != "" and (f"{path}>#text", hash_of(text)) not in constants)
             else:
                 read(kid, path, inside, chosen)
         if block and inside:
@@ -328,12 +364,9 @@ def main_text(page: str, role: dict) -> str:
     if not seen_main:
         blocks.clear()
         parts.clear()
-        seen = {c[1] for c in constants}
         read(root, "", "", {role["dense"]})
         if not seen_main:
             read(root, "", "", {">#page"})
-        flush()
-        return "\n\n".join(b for b in blocks if b not in seen)
     flush()
     return "\n\n".join(blocks)
 

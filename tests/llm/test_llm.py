@@ -375,3 +375,21 @@ def test_mixing_repeated_empty_rows(spark, docs, tmp_path):
     assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter(
         (d, len(WORD.findall(t or ""))) for d, t, _ in table)
     assert all(r["taken"] == 0 for r in got if r["size"] == 0) and sum(r["taken"] for r in got) == 2100
+
+
+def test_html_constants(spark, docs):
+    """A text is boilerplate where different pages agree on all of it at one place, and only there."""
+    def host(name, pages):
+        return [(f"{name}{i}", f"http://{name}.example/{i}", p) for i, p in enumerate(pages)]
+
+    copy = "<body><div><h1>Head</h1><p>Short article.</p></div><div class=ad>{}</div></body>"
+    long = "Terms &amp; conditions " + words(80)
+    late = "<body><div class=intro>" + words(60) + " {0}</div><div class=body>" + words(60, 3) + " {0}</div><div class=end>" + long + "</div></body>"
+    place = "<body><div class=a>Contact us</div><div class=b>{}</div></body>"
+    rows = (host("c", [copy.format("x")] * 4) + host("d", [copy.format(i) for i in range(4)])
+            + host("l", [late.format(i) for i in range(4)]) + host("m", [place.format(x) for x in ("one", "two", "three", "Contact us")]))
+    got = {r["page_id"]: r["text"] for r in op5_html.extract(
+        spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert all(got[f"{h}{i}"] == "Head\n\nShort article." for h in "cd" for i in range(4))
+    assert [got[f"l{i}"] for i in range(4)] == [f"{words(60)} {i}\n\n{words(60, 3)} {i}" for i in range(4)]
+    assert [got[f"m{i}"] for i in range(4)] == ["one", "two", "three", "Contact us"]
