@@ -3,8 +3,8 @@
 A page is parsed to the stream of its structural tags and texts. Pages of a host are aligned one after the other: equal
 tags merge, a tag only some pages have becomes optional, neighbours that repeat (alone or as a group) become a repetition,
 texts that differ become slots and equal ones stay constant. The result, the wrapper, is the template of the host; in it
-the main region is found once (article or main elements, else the part that holds most of the varying text), and every
-page is then read through its host's wrapper. Wrappers merge associatively: each batch of pages gives one partial wrapper
+the named main parts are found (article or main elements), and every page is then read through its host's wrapper: a page
+without a named part is read whole, but for texts that the wrapper shows as constant and for marked furniture. Wrappers merge associatively: each batch of pages gives one partial wrapper
 per host, and these are merged in groups of at most ``FAN_IN`` until one is left, so no task sees a whole host.
 
 Defined results: NULL and empty html give an empty text; a NULL, relative or repeated url is a host like any other; repeated
@@ -30,7 +30,6 @@ from fleetlens.llm.registry import query
 FAN_IN = 256
 DEEPEST = 150
 LONGEST_PERIOD = 3
-DENSE = 0.8        # share of the varying text that the main region holds where no element names it
 FEWEST_CONSTANT = 3  # pages of different content that must agree before a text counts as constant
 SHOWN = 200          # characters of a constant text that the wrapper shows
 
@@ -176,7 +175,7 @@ def parse(page: str) -> Element:
 
 
 # --- wrappers: nodes are dicts with label l, pages n, optional o, repeated r, skip x, main m, kids k; texts have
-# --- constant text t as shown (None: a slot), hash h of it all, size s and contents p of up to FEWEST_CONSTANT different pages
+# --- constant text t as shown (None: a slot), hash h of it all and contents p of up to FEWEST_CONSTANT different pages
 
 def folded(kids: list[dict]) -> list[dict]:
     """Neighbours that repeat, alone or in groups of up to ``LONGEST_PERIOD``, as one repeated node."""
@@ -209,8 +208,8 @@ def merged_nodes(a: dict, b: dict, same_page: bool = False) -> dict:
     out = {"l": a["l"], "n": n, "o": a["o"] | b["o"], "r": a["r"] | b["r"]}
     if a["l"] == "#text":
         if a["t"] is None or b["t"] is None or a["h"] != b["h"] or same_page:
-            return out | {"t": None, "s": a["s"] + b["s"]}
-        return out | {"t": a["t"], "h": a["h"], "s": a["s"] + b["s"], "p": sorted({*a["p"], *b["p"]})[:FEWEST_CONSTANT]}
+            return out | {"t": None}
+        return out | {"t": a["t"], "h": a["h"], "p": sorted({*a["p"], *b["p"]})[:FEWEST_CONSTANT]}
     for flag in ("x", "m"):
         if a.get(flag):
             out[flag] = 1
@@ -267,7 +266,7 @@ def skeleton(node: Element, page: str | None = None) -> dict:
         if isinstance(kid, str):
             text = plain_text(kid)
             if text:
-                kids.append({"l": "#text", "n": 1, "o": 0, "r": 0, "t": text[:SHOWN], "h": hash_of(text), "s": len(text), "p": [page]})
+                kids.append({"l": "#text", "n": 1, "o": 0, "r": 0, "t": text[:SHOWN], "h": hash_of(text), "p": [page]})
         else:
             kids.append(skeleton(kid, page))
     out = {"l": node.label, "n": 1, "o": 0, "r": 0, "k": folded(kids)}
@@ -285,37 +284,37 @@ def rendered(node: dict) -> str:
     return f"( {body} )+" if node["r"] else f"( {body} )?" if node["o"] else body
 
 
-def walked(node: dict, path: str = "", skip: bool = False) -> Iterator[tuple[str, dict, bool]]:
+def heads(label: str) -> bool:
+    """A header without a word or role of furniture: a page's own heading can stand in it."""
+    names, _, role = label.partition("@")
+    tag, *words = names.split(".")
+    return tag == "header" and role not in SKIP_ROLES and not any(w in SKIP_WORDS for w in words)
+
+
+def walked(node: dict, path: str = "", skip: bool = False, headers: bool = False) -> Iterator[tuple[str, dict, bool]]:
+    """(path, node, in furniture); ``headers``: a plain header is none."""
     group = node["l"].startswith("(")
     path = path if group else f"{path}>{node['l']}"
-    skip = skip or bool(node.get("x"))
+    skip = skip or bool(node.get("x")) and not (headers and heads(node["l"]))
     yield path, node, skip
     for kid in node.get("k", ()):
-        yield from walked(kid, path, skip)
+        yield from walked(kid, path, skip, headers)
 
 
 def roles(wrapper: dict) -> dict:
-    """What to read of a host's pages: paths named main, the path with most varying text, constant texts outside."""
+    """What to read of a host's pages: paths named main, and the constant texts."""
     named = {p: s for p, n, s in walked(wrapper) if n.get("m")}
     clear = [p for p, s in named.items() if not s]
     articles = [p for p in clear if p.rsplit(">", 1)[1].startswith("article")]
-    size: dict[str, int] = {}
-    constant = []
-    for path, node, skip in walked(wrapper):
+    constant, slots = [], False
+    for path, node, skip in walked(wrapper, headers=True):
         if node["l"] == "#text" and not skip:
             if node["t"] is not None and len(node["p"]) >= FEWEST_CONSTANT:
                 constant.append([path, node["h"]])
-                continue
-            at = path.rsplit(">", 1)[0]
-            while at:
-                size[at] = size.get(at, 0) + node["s"]
-                at = at.rsplit(">", 1)[0]
-    whole = size.get(">#page", 0)
-    # the deepest element with enough of the text that is not itself a block of text
-    dense = max((p for p, s in size.items() if whole and s >= DENSE * whole and p.rsplit(">", 1)[1][:2] not in ("p", "p.")),
-                key=lambda p: p.count(">"), default=">#page")
+            else:
+                slots = True
     # without a text that varies nothing tells boilerplate from the text of one page
-    return {"main": articles or clear or list(named), "dense": dense, "constant": constant if whole else []}
+    return {"main": articles or clear or list(named), "constant": constant if slots else []}
 
 
 def main_text(page: str, role: dict) -> str:
@@ -340,7 +339,7 @@ def main_text(page: str, role: dict) -> str:
         path = f"{path}>{node.label}"
         if not inside and path in chosen:
             inside, seen_main = path, True
-        elif inside and node.skip and not (node.tag == "header" and not any(w in SKIP_WORDS for w in node.label.split(".")[1:])):
+        elif inside and node.skip and not heads(node.label):
             if node.tag in BLOCK:
                 flush()
             return
@@ -364,9 +363,7 @@ def main_text(page: str, role: dict) -> str:
     if not seen_main:
         blocks.clear()
         parts.clear()
-        read(root, "", "", {role["dense"]})
-        if not seen_main:
-            read(root, "", "", {">#page"})
+        read(root, "", "", {">#page"})
     flush()
     return "\n\n".join(blocks)
 

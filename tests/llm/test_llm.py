@@ -393,3 +393,14 @@ def test_html_constants(spark, docs):
     assert all(got[f"{h}{i}"] == "Head\n\nShort article." for h in "cd" for i in range(4))
     assert [got[f"l{i}"] for i in range(4)] == [f"{words(60)} {i}\n\n{words(60, 3)} {i}" for i in range(4)]
     assert [got[f"m{i}"] for i in range(4)] == ["one", "two", "three", "Contact us"]
+
+
+def test_html_region(spark, docs):
+    """Without a named main part everything that varies is read, on each of a host's templates."""
+    one = "<body><div class=top>Site name</div><h2>Title {0}</h2><div class=body><p>" + words(90) + " {0}</p><p>next {0}</p></div></body>"
+    two = "<body><div class=top>Site name</div><div class=note>note {0}</div><div class=body><p>more {0}</p></div></body>"
+    rows = [(i, f"http://r.example/{i}", (one if i < 4 else two).format(i)) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in op5_html.extract(
+        spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"Title {i}\n\n{words(90)} {i}\n\nnext {i}" for i in range(4)]
+    assert [got[i] for i in range(4, 8)] == [f"note {i}\n\nmore {i}" for i in range(4, 8)]
