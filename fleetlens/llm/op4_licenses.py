@@ -156,13 +156,14 @@ class Scanner:
                     diagonals[template].append(int(place) - at)
         found = []
         for template, seen in diagonals.items():
-            done = None
+            done, left = None, list(words)
             for d in sorted(set(seen)):
                 if done is None or d > done + BAND // 2:
                     done = d
-                    match = self.align(template, words, d)
-                    if match:
+                    # a copy that begins inside the band is found once the words of the copy before it are taken
+                    while match := self.align(template, left, d):
                         found.append(match)
+                        left[match.first:match.last] = [""] * (match.last - match.first)
         found.sort(key=lambda m: (-m.matched, -m.coverage, m.template, m.first))
         kept: list[Match] = []
         for match in found:

@@ -404,3 +404,12 @@ def test_html_region(spark, docs):
         spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert [got[i] for i in range(4)] == [f"Title {i}\n\n{words(90)} {i}\n\nnext {i}" for i in range(4)]
     assert [got[i] for i in range(4, 8)] == [f"note {i}\n\nmore {i}" for i in range(4, 8)]
+
+
+def test_licenses_side_by_side(spark, docs):
+    """Short notices that follow each other directly are reported one by one."""
+    scan = {r["doc_id"]: r for r in op4_licenses.scan_licenses(spark.createDataFrame([
+        (1, "All rights reserved. All rights reserved."), (2, "Released under the MIT License.\n" * 4)],
+        "doc_id bigint, text string")).collect()}
+    assert [(m["first_word"], m["last_word"]) for m in scan[1]["matches"]] == [(0, 3), (3, 6)]
+    assert [(m["first_word"], m["last_word"]) for m in scan[2]["matches"]] == [(0, 5), (5, 10), (10, 15), (15, 20)]
