@@ -121,6 +121,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place_of(df: DataFrame, name: str) -> int | None:
+    """Where a column stands: the name as written, else in other case where the session ignores case, else nowhere."""
+    if name in df.columns:
+        return df.columns.index(name)
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true":
+        return None
+    return next((i for i, c in enumerate(df.columns) if c.lower() == name.lower()), None)
+
+
 def own_columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, whatever else the table has; a missing one is NULL text."""
-    return df.select(*[F.col(f"`{n}`") if n in df.columns else F.lit(None).cast("string").alias(n) for n in names])
+    places = [place_of(df, n) for n in names]
+    apart = df.toDF(*[f"c{i}" for i in range(len(df.columns))])  # names that differ in case only are not ambiguous then
+    return apart.select(*[F.lit(None).cast("string").alias(n) if i is None else F.col(f"c{i}").alias(n)
+                          for n, i in zip(names, places)])
+
+
+def carried(df: DataFrame) -> DataFrame:
+    """One column ``given``, a struct of all the caller's columns by place, so that none of their names can clash."""
+    marks = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*marks).select(F.struct(*map(F.col, marks)).alias("given"))
+
+
+def field(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` inside the ``given`` of :func:`carried`; NULL text where ``df`` has none."""
+    at = place_of(df, name)
+    return (F.lit(None).cast("string") if at is None else F.col(f"given.c{at}")).alias(name)
+
+
+def given_back(df: DataFrame, rows: DataFrame) -> DataFrame:
+    """The caller's columns again, from the ``given`` of ``rows``."""
+    return rows.select("given.*").toDF(*df.columns)

@@ -8,7 +8,7 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ("op1_ngram_join", "op2_sharding", "op3_decontamination", "op4_licenses", "op5_html", "op6_repeats", "op7_warc",
-           "op8_quality", "op9_mixing", "op10_language")
+           "op8_quality", "op9_mixing", "op10_language", "op11_exact_dedup", "op12_whitening", "op13_vector_codes")
 
 
 def query(name: str, sql: str | None = None):
