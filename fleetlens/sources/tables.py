@@ -1,50 +1,52 @@
-"""Stored tables: Parquet partitioned by hash bucket (and day for timed tables), changed bucket by bucket.
+"""Stored tables that change by small files.
 
-A change reads and rewrites only the partitions its keys fall into. The new content of those partitions is first
-written to a staging folder and then replaces them by Spark's dynamic partition overwrite, so nothing is read from the
-files being replaced, lost executors only repeat tasks, and a repeated micro-batch whose staging is complete applies it
-again instead of merging twice.
+A write puts only its own rows, and the ids of what it removes, into new folders. One manifest per write names the folders
+of all its tables and is written last, as a single file, so a reader sees all of a write or nothing of it, over all
+tables. Nothing is ever overwritten: a write that is cut off leaves folders that no manifest names, writers do not
+undo each other, and a repeated micro-batch finds its number in the manifests and changes nothing.
 
-Rows of child tables are bucketed by their parent's uuid: what belongs to one object changes together, and as an object
-has a bounded size no bucket grows beyond its share. Tables in a format with MERGE are served by :func:`merge_into`.
+Reading takes the last version per key. The bulk of a table is its *base*, one row per key, laid out by cluster (and by
+day for timed tables) for pruning; only keys that later files hold are looked up, so the base is neither shuffled nor
+sorted while those files are small. :meth:`TableStore.compact` folds them in when they exceed a share of it by size.
+
+Removals name a column and values (a uuid, a parent's uuid, a composite key). They hide the rows written before them;
+what a write adds itself stays. The children of many tables go with one such file, named once per table.
+
+Manifests are ordered by number, those of writers that met by their random ending. Data in a format with MERGE are
+served by :func:`merge_into`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import datetime as dt
+import json
+import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
+from pyspark.util import inheritable_thread_target
 
 from fleetlens import schemas
 from fleetlens.operators import merge
 from fleetlens.operators.normalize import normalize
-from fleetlens.session import shared_folder
 
-#: Tables also partitioned by day, with the column that tells it.
+#: Tables also laid out by day, with the column that tells it.
 TIMED = {"event": "created", **{f"prometheus_{scope}_metric": "timestamp" for scope in schemas.METRIC_SCOPES}}
 
-_LIVE, _BUCKET, _DAY, _BATCH = "_live", "_bucket", "_day", "_batch"
-
-
-def bucket_columns(table: str) -> list[str]:
-    """Columns whose hash places a row: the parent's uuid for rows that belong to an object, else the whole key."""
-    carried = {r.foreign_key for links in schemas.RELATIONS.relations.values() for r in links if r.child == table}
-    if table not in schemas.KIND_SCHEMAS:
-        for column in ("pod_uuid", "endpoint_slice_uuid", "ingress_uuid", "resource_uuid"):
-            if column in carried:
-                return [column]
-        first = schemas.TABLE_KEYS[table][0]
-        if first in carried:
-            return [first]
-    return schemas.TABLE_KEYS[table]
+CLUSTER, _DAY, _COMMIT, _GONE = "cluster_uuid", "_day", "_commit", "_gone"
+#: Writes of one transaction that run at a time.
+WRITERS = 8
 
 
 @dataclass(frozen=True)
 class Batch:
-    """Identity of a write within a micro-batch, so that a repeated batch finds its own staging.
+    """Identity of a micro-batch's write: its number, which of the batch's writes it is, and whose.
 
     ``writer`` tells feeds into one store apart. A streaming query's own id is the one to take: it stays the same over
     restarts and is another one for another checkpoint (:func:`streaming_writer`).
@@ -54,259 +56,455 @@ class Batch:
     step: str
     writer: str = ""
 
+    @property
+    def feed(self) -> str:
+        return f"{self.writer or 'direct'}/{self.step}"
+
 
 def streaming_writer(spark: SparkSession) -> str:
     """Id of the streaming query that the calling ``foreachBatch`` function runs in, empty outside of one."""
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or ""
 
 
-@dataclass
-class TableStore:
-    """All stored tables below one root folder."""
+def same(left: str, right: str, columns: Iterable[str]) -> Column:
+    """Null-safe equality of columns of two aliases."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(f"{left}.`{c}`").eqNullSafe(F.col(f"{right}.`{c}`"))
+    return found
 
-    spark: SparkSession
-    root: str
-    buckets: int = 64
 
-    def path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+@dataclass(frozen=True)
+class Change:
+    """What one write did to one table: a folder of rows ("base" or "rows"), of removed values ("gone"), or a "horizon"."""
 
-    def read(self, table: str) -> DataFrame | None:
-        """Rows of a table, or None while it was never written."""
-        stored = self._stored(table)
-        return None if stored is None else stored.filter(F.col(_LIVE)).drop(_LIVE, _BUCKET, _DAY)
+    id: str
+    commit: str
+    table: str
+    part: str
+    path: str = ""
+    columns: tuple[str, ...] = ()
+    schema: str = ""
+    bytes: int = 0
+    value: str = ""
+    covers: tuple[str, ...] = ()
 
-    def _stored(self, table: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path(table))
-        except AnalysisException as error:
-            # A folder without files is a table whose days are all dropped; anything else unreadable is an error.
-            condition = error.getCondition()
-            if condition == "PATH_NOT_FOUND" or condition == "UNABLE_TO_INFER_SCHEMA" and not self._has_files(table):
-                return None
-            raise
+    def plain(self) -> dict:
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in self.__dict__.items() if v or k == "bytes"}
 
-    def _has_files(self, table: str) -> bool:
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(self.path(table))
-        return not files.select("path").isEmpty()
+    @staticmethod
+    def of(plain: dict) -> Change:
+        return Change(**{k: tuple(v) if isinstance(v, list) else v for k, v in plain.items()})
 
-    def partitions_of(self, table: str) -> list[str]:
-        return [_DAY, _BUCKET] if table in TIMED else [_BUCKET]
 
-    def placed(self, table: str, df: DataFrame) -> DataFrame:
-        """Add the partition columns."""
-        df = df.withColumn(_BUCKET, self._bucket(*bucket_columns(table)))
-        return df.withColumn(_DAY, F.to_date(TIMED[table])) if table in TIMED else df
+@dataclass
+class Snapshot:
+    """All tables as of one reading of the manifests: several tables read from it fit together."""
+
+    store: TableStore
+    commits: list[dict]
+    changes: dict[str, list[Change]] = field(default_factory=dict)
+    batches: dict[str, dict] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        replaced = {name for c in self.commits for name in c.get("replaces", [])}
+        self.commits = sorted((c for c in self.commits if c["commit"] not in replaced), key=lambda c: (c["number"], c["commit"]))
+        every = [Change.of(x) for c in self.commits for x in c["changes"]]
+        covered = {id for x in every for id in x.covers}
+        for x in sorted(every, key=lambda x: x.commit):
+            if x.id not in covered:
+                self.changes.setdefault(x.table, []).append(x)
+        for c in self.commits:
+            self.batches |= c.get("batches", {})
+
+    @property
+    def number(self) -> int:
+        return max((c["number"] for c in self.commits), default=0)
+
+    def tables(self) -> list[str]:
+        return [t for t, found in self.changes.items() if any(x.schema and x.part != "gone" for x in found)]
+
+    def parts(self, table: str, *names: str) -> list[Change]:
+        return [x for x in self.changes.get(table, []) if x.part in names]
+
+    def has(self, table: str) -> bool:
+        return bool(self.parts(table, "base", "rows"))
+
+    def done(self, batch: Batch | None) -> dict | None:
+        """The note a batch left, if it was the last one of its feed to be written."""
+        note = self.batches.get(batch.feed) if batch else None
+        return note if note and note["id"] == batch.id else None
+
+    def schema(self, table: str) -> T.StructType:
+        """Columns of all files, the last file's type for each."""
+        fields: dict[str, T.StructField] = {}
+        for x in self.parts(table, "base", "rows"):
+            fields |= {f["name"]: T.StructField.fromJson(f) for f in json.loads(x.schema)}
+        return T.StructType(list(fields.values()))
+
+    def _files(self, paths: list[str], schema: T.StructType, extra: dict[str, T.DataType], base: str = "") -> DataFrame:
+        for name, kind in extra.items():
+            schema = schema if name in schema.names else T.StructType([*schema.fields, T.StructField(name, kind)])
+        reader = self.store.spark.read.schema(schema)
+        return (reader.option("basePath", base) if base else reader).parquet(*paths)
 
-    def _bucket(self, *columns: str) -> Column:
-        return F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int")
+    def read(self, table: str) -> DataFrame | None:
+        """Live rows of a table, None if it was never written."""
+        if not self.has(table):
+            return None
+        schema, keys = self.schema(table), schemas.TABLE_KEYS[table]
+        bases, rows = self.parts(table, "base"), self.parts(table, "rows")
+        horizons = self.parts(table, "horizon")
+        # Files besides the first base: those of later writes, and bases of writers that met at a table's beginning.
+        later = [self._files([x.path], schema, {_DAY: T.DateType()}).withColumn(_COMMIT, F.lit(x.commit)).select(*schema.names, _COMMIT)
+                 for x in bases[1:]]
+        if rows:
+            later.append(self._files([x.path for x in rows], schema, {_COMMIT: T.StringType()}, self.store.folder(table, "rows"))
+                         .select(*schema.names, _COMMIT))
+        base = latest = None
+        for part in later:
+            latest = part if latest is None else latest.unionByName(part)
+        if latest is not None:
+            latest = merge.dedup_last(latest, keys, [_COMMIT])
+        if bases:
+            base = self._files([bases[0].path], schema, {_DAY: T.DateType()} if table in TIMED else {})
+            for x in horizons:
+                limit = F.lit(x.value).cast("timestamp")
+                base = base.filter((F.col(_DAY).isNull() | (F.col(_DAY) >= F.to_date(limit)))
+                                   & (F.col(TIMED[table]).isNull() | (F.col(TIMED[table]) >= limit)))
+            base = base.select(*schema.names)
+            if latest is not None:
+                base = base.alias("b").join(latest.select(*keys).alias("l"), same("b", "l", keys), "left_anti")
+        for x in horizons if latest is not None else []:
+            latest = latest.filter(F.col(TIMED[table]).isNull() | (F.col(TIMED[table]) >= F.lit(x.value).cast("timestamp"))
+                                   | (F.col(_COMMIT) > x.commit))
+        for columns, gone in self._removed(table).items():
+            if base is not None:
+                base = base.alias("b").join(gone.alias("g"), same("b", "g", columns), "left_anti")
+            if latest is not None:
+                latest = (latest.alias("l").join(gone.alias("g"), same("l", "g", columns), "left")
+                          .filter(F.col(_GONE).isNull() | (F.col(_COMMIT) >= F.col(_GONE))).select("l.*"))
+        if latest is None:
+            return base
+        latest = latest.select(*schema.names)
+        return latest if base is None else base.unionByName(latest)
+
+    def _removed(self, table: str) -> dict[tuple[str, ...], DataFrame]:
+        """Removed values by column, each with the last write that removed it."""
+        grouped: dict[tuple[str, ...], list[Change]] = {}
+        for x in self.parts(table, "gone"):
+            grouped.setdefault(x.columns, []).append(x)
+        out = {}
+        for columns, found in grouped.items():
+            stored = T.StructType([T.StructField.fromJson(f) for f in json.loads(found[-1].schema)])
+            values = self._files([x.path for x in found], stored, {_COMMIT: T.StringType()}, self.store.folder("removed", "gone"))
+            out[columns] = values.toDF(*columns, _COMMIT).groupBy(*columns).agg(F.max(_COMMIT).alias(_GONE))
+        return out
+
+
+class Transaction:
+    """Changes of any tables that become visible together; use it as ``with store.transaction(batch) as t``.
+
+    ``done`` says that the batch was written before: then nothing is collected and nothing written. ``note`` is kept with the
+    batch and given back for a repeated one.
+    """
 
-    # --- writing ---------------------------------------------------------------------------------------------
+    def __init__(self, store: TableStore, batch: Batch | None = None, note: dict | None = None):
+        self.store, self.batch = store, batch
+        self.snapshot = store.snapshot()
+        self.note = self.snapshot.done(batch)
+        self.done = self.note is not None
+        self.note = self.note or {**(note or {}), "id": batch.id if batch else -1}
+        self.rows: dict[str, list[DataFrame]] = {}
+        self.gone: list[tuple[DataFrame, list[tuple[str, tuple[str, ...]]]]] = []
+        self.horizons: list[tuple[str, str]] = []
+        self.held: list[DataFrame] = []
+
+    def __enter__(self) -> Transaction:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        try:
+            if kind is None and not self.done:
+                self._commit()
+        finally:
+            self.release()
 
-    def _touched(self, table: str, placed: DataFrame) -> list:
-        """Partitions that rows fall into. Their number is bounded by buckets (times days in the batch), not by rows."""
-        return placed.select(*self.partitions_of(table)).distinct().collect()
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Keep rows that several writes are derived from until the transaction ends."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
 
-    def _existing(self, table: str, stored: DataFrame, touched: list) -> DataFrame:
-        """Live stored rows of the touched partitions; a partition filter, so no other partition is opened."""
-        if table not in TIMED:
-            inside = F.col(_BUCKET).isin([p[_BUCKET] for p in touched])
-        else:
-            by_day: dict = {}
-            for p in touched:
-                by_day.setdefault(p[_DAY], []).append(p[_BUCKET])
-            inside = F.lit(False)
-            for day, numbers in by_day.items():
-                # Rows without an instant have a partition too.
-                inside = inside | (F.col(_DAY).eqNullSafe(F.lit(day).cast("date")) & F.col(_BUCKET).isin(numbers))
-        return stored.filter(inside & F.col(_LIVE)).drop(_LIVE)
-
-    def _replace(self, table: str, touched: list, content: DataFrame, batch: "Batch | None") -> None:
-        """Stage the new content of the touched partitions, then put it in their place.
-
-        One row per touched partition that is not live makes sure that a partition left empty is replaced too.
-        """
-        if not touched:
-            return
-        keys = self.partitions_of(table)
-        fields = {f.name: f.dataType for f in content.schema.fields}
-        places = self.spark.createDataFrame(
-            [tuple(p[k] for k in keys) for p in touched], ", ".join(f"{k} {fields[k].simpleString()}" for k in keys))
-        markers = places.select(*[
-            F.col(n) if n in keys else F.lit(None).cast(t).alias(n) for n, t in fields.items()
-        ], F.lit(False).alias(_LIVE))
-        slot = self._slot(table, batch)
-        (content.withColumn(_LIVE, F.lit(True)).unionByName(markers)
-         .withColumn(_BATCH, F.lit(batch.id if batch else -1).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(slot))
-        self._apply(table, self.spark.read.parquet(slot).drop(_BATCH))
-        if batch:
-            self._note_done(slot, batch)
-
-    def _note_done(self, slot: str, batch: Batch) -> None:
-        """What is staged has replaced its partitions: from now on others may write there, so it must not be applied again."""
-        self.spark.range(1).select(F.lit(batch.id).cast("bigint").alias(_BATCH)).write.mode("overwrite").parquet(f"{slot}-done")
-
-    def _noted(self, path: str) -> int | None:
-        """Batch number in a folder that was written to its end, else None."""
-        try:
-            self.spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
-            found = self.spark.read.parquet(path).select(_BATCH).limit(1).collect()
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return None
-        return found[0][0] if found else None
-
-    def _slot(self, table: str, batch: "Batch | None") -> str:
-        name = self.root.replace("://", "_").strip("/").replace("/", "_")
-        side = f"{batch.writer or 'direct'}/{batch.step}/{batch.id % 2}" if batch else "once"
-        return f"{shared_folder(self.spark)}/staging/{name}/{table}/{side}"
-
-    def _apply(self, table: str, rows: DataFrame) -> None:
-        keys = self.partitions_of(table)
-        # Rebalancing gathers each partition in few files; adaptive execution splits the large ones over tasks.
-        (rows.hint("rebalance", *[F.col(k) for k in keys]).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(self.path(table)))
-
-    def _resume(self, table: str, batch: "Batch | None") -> bool:
-        """Whether a repeated batch was staged to its end; what was not applied to its end is applied now."""
-        if batch is None:
-            return False
-        slot = self._slot(table, batch)
-        if self._noted(slot) != batch.id:
-            return False
-        if self._noted(f"{slot}-done") != batch.id:
-            self._apply(table, self.spark.read.parquet(slot).drop(_BATCH))
-            self._note_done(slot, batch)
-        return True
-
-    def write_upsert(
-        self, table: str, rows: DataFrame, order: list[str] | None = None, update_columns: list[str] | None = None,
-        replaced_parents: DataFrame | None = None, foreign_key: str | None = None, batch: "Batch | None" = None,
-    ) -> None:
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
+    def write_upsert(self, table: str, rows: DataFrame, order: list[str] | None = None,
+                     update_columns: list[str] | None = None) -> None:
         """Insert rows or overwrite those with the same key; ``update_columns`` limits what is overwritten.
 
-        ``replaced_parents`` (one column of uuids) drops the old rows of those parents first, so children that are
-        gone from the object go from the table.
+        Of rows with the same key the last by ``order`` counts; without it keys are expected to be unique, and the
+        greatest row settles what is not.
         """
-        if self._resume(table, batch):
-            return
         keys = schemas.TABLE_KEYS[table]
         new = merge.dedup_last(rows, keys, order or [c for c in rows.columns if c not in keys] or keys)
-        placed = self.placed(table, new).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            stored = self._stored(table)
-            if stored is None:
-                # Nothing to merge with: a repeated first write lands in the same partitions.
-                self._apply(table, placed.withColumn(_LIVE, F.lit(True)))
-                return
-            touched = set(self._touched(table, placed))
-            if replaced_parents is not None:
-                parents = replaced_parents.select(F.col(replaced_parents.columns[0]).alias(foreign_key)).distinct()
-                touched |= set(self._places_of(table, stored, parents, foreign_key))
-            old = self._existing(table, stored, list(touched)).select(*placed.columns)
-            if replaced_parents is not None:
-                old = merge.without_keys(old, parents, foreign_key)
-            if update_columns is None:
-                content = merge.merge_rows(old, placed, keys)
-            else:
-                content = merge.merge_columns(old, placed, keys, update_columns)
-            self._replace(table, list(touched), content, batch)
-        finally:
-            placed.unpersist()
+        if update_columns is not None and set(rows.columns) - set(keys) - set(update_columns) and self.snapshot.has(table):
+            old = self.snapshot.read(table)
+            touched = old.alias("o").join(new.select(*keys).alias("n"), same("o", "n", keys), "left_semi").select(*new.columns)
+            new = merge.merge_columns(touched, new, keys, update_columns)
+        self.rows.setdefault(table, []).append(new)
 
-    def _places_of(self, table: str, stored: DataFrame, ids: DataFrame, column: str) -> list:
-        """Partitions holding rows of the given ids: computed when the table is placed by that column, else looked up."""
-        if bucket_columns(table) == [column] and table not in TIMED:
-            return ids.select(self._bucket(column).alias(_BUCKET)).distinct().collect()
-        hit = stored.filter(F.col(_LIVE)).join(ids, column, "left_semi")
-        return hit.select(*self.partitions_of(table)).distinct().collect()
+    def remove(self, values: DataFrame, places: Iterable[tuple[str, tuple[str, ...]]]) -> None:
+        """Remove rows written before by values: (table, columns) name where, the columns of ``values`` in that order."""
+        self.gone.append((values.distinct(), list(places)))
 
-    def delete_by_keys(self, table: str, ids: DataFrame, column: str = "uuid", batch: "Batch | None" = None) -> None:
+    def delete_by_keys(self, table: str, ids: DataFrame, column: str = "uuid") -> None:
         """Delete rows whose ``column`` is among ``ids``."""
-        if self._resume(table, batch):
-            return
-        stored = self._stored(table)
-        if stored is None:
-            return
-        ids = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
-        touched = self._places_of(table, stored, ids, column)
-        self._replace(table, touched, merge.without_keys(self._existing(table, stored, touched), ids, column), batch)
+        self.remove(ids.select(ids.columns[0]), [(table, (column,))])
 
-    def cascade_delete(self, parent: str, ids: DataFrame, registry=None, batch: "Batch | None" = None) -> None:
-        """Delete parents after the rows of all their cascading child tables."""
+    def cascade_delete(self, parent: str, ids: DataFrame, registry=None) -> None:
+        """Delete parents and the rows of all their cascading child tables."""
         registry = registry or schemas.RELATIONS
-        for relation in registry.children(parent, cascade_only=True):
-            self.delete_by_keys(relation.child, ids, relation.foreign_key, batch)
-        self.delete_by_keys(parent, ids, "uuid", batch)
+        places = [(parent, ("uuid",)), *((r.child, (r.foreign_key,)) for r in registry.children(parent, cascade_only=True))]
+        self.remove(ids.select(ids.columns[0]), places)
 
-    def cascade_upsert(
-        self, kind: str, objects: DataFrame, as_of=None, children: str = "replace", batch: "Batch | None" = None,
-        order: list[str] | None = None, **options,
-    ) -> dict[str, DataFrame]:
-        """Write a kind's raw objects to the parent table and all child tables; gives back the normalised tables.
+    def cascade_upsert(self, kind: str, objects: DataFrame, as_of=None, children: str = "replace",
+                       order: list[str] | None = None, **options) -> dict[str, DataFrame]:
+        """Write a kind's raw objects to the parent table and all child tables; gives the normalised tables.
 
-        ``children="merge"`` keeps child rows the new version of an object no longer has.
+        Of several versions of an object the last by ``order`` counts. ``children="merge"`` keeps child rows the new
+        version of an object no longer has.
         """
-        tables = normalize(kind, objects, as_of, **options)
-        parents = tables[kind].select("uuid")
-        links = {r.child: r for r in schemas.RELATIONS.children(kind)}
+        if order:
+            named = objects.withColumn("_uid", F.col("meta.uid"))
+            objects = merge.dedup_last(named, ["cluster_uid", "_uid"], order).drop("_uid")
+        tables = normalize(kind, objects if self.done else self.hold(objects), as_of, **options)
+        if self.done:
+            return tables
+        if children != "merge":
+            places = [(r.child, (r.foreign_key,)) for r in schemas.RELATIONS.children(kind, cascade_only=True) if r.child in tables]
+            self.remove(tables[kind].select("uuid"), places)
         for name, rows in tables.items():
-            link = links.get(name)
-            if name == kind or children == "merge" or link is None or not link.cascade:
-                self.write_upsert(name, rows, batch=batch)
-            else:
-                self.write_upsert(name, rows, replaced_parents=parents, foreign_key=link.foreign_key, batch=batch)
+            self.write_upsert(name, rows)
         return tables
 
-    # --- maintenance -----------------------------------------------------------------------------------------
-
     def retention(self, table: str, as_of, days: int = 1) -> None:
-        """Delete rows older than ``days``: whole day folders are dropped, the boundary day is filtered."""
+        """Drop rows older than ``days``; rows without an instant stay. Their files go with the next vacuum or compaction."""
         if table not in TIMED:
-            raise ValueError(f"{table} is not partitioned by day")
-        stored = self._stored(table)
-        if stored is None:
-            return
-        limit = merge.horizon(as_of, days)
-        for row in stored.filter(F.col(_DAY) < F.to_date(limit)).select(_DAY).distinct().collect():
-            self._drop_folder(f"{self.path(table)}/{_DAY}={row[0]}")
-        stored = self._stored(table)
-        if stored is None:
-            return
-        boundary = stored.filter((F.col(_DAY) == F.to_date(limit)) & F.col(_LIVE) & (F.col(TIMED[table]) < limit))
-        touched = self._touched(table, boundary)
-        self._replace(table, touched, merge.unexpired(self._existing(table, stored, touched), TIMED[table], as_of, days), None)
+            raise ValueError(f"{table} is not laid out by day")
+        limit = self.store.spark.range(1).select(merge.horizon(as_of, days).cast("string")).first()[0]
+        self.horizons.append((table, limit))
 
-    def _drop_folder(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    # --- writing ---------------------------------------------------------------------------------------------
+
+    def _commit(self) -> None:
+        number = self.snapshot.number + 1
+        name = f"{number:012d}-{uuid.uuid4().hex[:12]}"
+        jobs = [lambda t=t, found=found: self._write_rows(name, t, found) for t, found in self.rows.items()]
+        jobs += [lambda i=i, x=x: self._write_gone(name, i, *x) for i, x in enumerate(self.gone)]
+        changes = [x for found in self.store.side_by_side(jobs) for x in found]
+        changes += [Change("", name, table, "horizon", value=value) for table, value in self.horizons if self.snapshot.has(table)]
+        if changes or self.batch:
+            self.store.publish(name, number, changes, {self.batch.feed: self.note} if self.batch else {})
+
+    def _write_rows(self, name: str, table: str, found: list[DataFrame]) -> list[Change]:
+        rows = found[0]
+        for more in found[1:]:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        if len(found) > 1:
+            keys = schemas.TABLE_KEYS[table]
+            rows = merge.dedup_last(rows, keys, [c for c in rows.columns if c not in keys] or keys)
+        first = not self.snapshot.has(table)
+        change = self.store.write_part(name, table, "base" if first else "rows", rows)
+        return [change] if first or not self.store.spark.read.schema(rows.schema).parquet(change.path).isEmpty() else []
+
+    def _write_gone(self, name: str, place: int, values: DataFrame, places: list) -> list[Change]:
+        places = [p for p in places if self.snapshot.has(p[0])]
+        if not places:
+            return []
+        path = f"{self.store.folder('removed', 'gone')}/{_COMMIT}={name}/{place}"
+        values = values.toDF(*[f"id{i}" for i in range(len(values.columns))])
+        values.write.parquet(path)
+        if self.store.spark.read.schema(values.schema).parquet(path).isEmpty():
+            return []
+        size, schema = self.store.size_of(path), json.dumps(values.schema.jsonValue()["fields"])
+        return [Change("", name, table, "gone", path, columns, schema, size) for table, columns in places]
+
+
+@dataclass
+class TableStore:
+    """All stored tables below one root folder.
+
+    A table is compacted when its later files exceed ``share`` of its base in bytes, or ``most_files`` writes.
+    """
+
+    spark: SparkSession
+    root: str
+    share: float = 0.25
+    most_files: int = 24
+
+    def folder(self, table: str, part: str) -> str:
+        return f"{self.root}/data/{table}/{part}"
+
+    def transaction(self, batch: Batch | None = None, note: dict | None = None) -> Transaction:
+        return Transaction(self, batch, note)
+
+    def snapshot(self) -> Snapshot:
+        """The state that the manifests of now describe."""
+        try:
+            found = (self.spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+                     .text(f"{self.root}/commits").collect())
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = []
+        return Snapshot(self, [json.loads(r[0]) for r in found])
+
+    def read(self, table: str) -> DataFrame | None:
+        """Rows of a table, or None while it was never written."""
+        return self.snapshot().read(table)
+
+    def layout(self, table: str, schema: T.StructType) -> list[str]:
+        """Columns that the folders of a base are named by."""
+        return [*([_DAY] if table in TIMED else []), *([CLUSTER] if CLUSTER in schema.names and CLUSTER not in schemas.TABLE_KEYS[table] else [])]
+
+    # --- files -----------------------------------------------------------------------------------------------
+
+    def _fs(self, path: str):
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+    def size_of(self, path: str) -> int:
+        fs, target = self._fs(path)
+        return int(fs.getContentSummary(target).getLength())
+
+    def _drop(self, path: str) -> None:
+        fs, target = self._fs(path)
+        fs.delete(target, True)
+
+    def side_by_side(self, jobs: list) -> list:
+        """Results of several writes, a few at a time: most are small, and tables do not wait for each other."""
+        if len(jobs) < 2:
+            return [job() for job in jobs]
+        run = inheritable_thread_target(self.spark)
+        with ThreadPoolExecutor(WRITERS) as pool:
+            return [f.result() for f in [pool.submit(run(job)) for job in jobs]]
+
+    def write_part(self, name: str, table: str, part: str, rows: DataFrame, covers: Iterable[str] = ()) -> Change:
+        path, schema = f"{self.folder(table, part)}/{_COMMIT}={name}", rows.schema
+        layout = self.layout(table, schema) if part == "base" else []
+        if layout:
+            if _DAY in layout:
+                rows = rows.withColumn(_DAY, F.to_date(TIMED[table]))
+            # Rebalancing gathers each folder in few files; adaptive execution splits the large ones over tasks.
+            rows.hint("rebalance", *[F.col(c) for c in layout]).write.partitionBy(*layout).parquet(path)
+        else:
+            rows.write.parquet(path)
+        return Change("", name, table, part, path, (), json.dumps(schema.jsonValue()["fields"]), self.size_of(path), covers=tuple(covers))
+
+    def publish(self, name: str, number: int, changes: list[Change], batches: dict[str, dict], replaces: list[str] | None = None) -> None:
+        """Write a manifest: one file, put in place at once."""
+        plain = [{**x.plain(), "id": x.id or f"{name}:{i}"} for i, x in enumerate(changes)]
+        text = json.dumps({"commit": name, "number": number, "batches": batches, "changes": plain, "replaces": replaces or []})
+        self.spark.range(1).select(F.lit(text)).coalesce(1).write.text(f"{self.root}/commits/{name}")
+
+    # --- single changes --------------------------------------------------------------------------------------
+
+    def write_upsert(self, table: str, rows: DataFrame, order: list[str] | None = None,
+                     update_columns: list[str] | None = None, batch: Batch | None = None) -> None:
+        with self.transaction(batch) as t:
+            t.write_upsert(table, rows, order, update_columns)
+
+    def delete_by_keys(self, table: str, ids: DataFrame, column: str = "uuid", batch: Batch | None = None) -> None:
+        with self.transaction(batch) as t:
+            t.delete_by_keys(table, ids, column)
+
+    def cascade_delete(self, parent: str, ids: DataFrame, registry=None, batch: Batch | None = None) -> None:
+        with self.transaction(batch) as t:
+            t.cascade_delete(parent, ids, registry)
+
+    def cascade_upsert(self, kind: str, objects: DataFrame, as_of=None, children: str = "replace",
+                       batch: Batch | None = None, order: list[str] | None = None, **options) -> dict[str, DataFrame]:
+        with self.transaction(batch) as t:
+            return t.cascade_upsert(kind, objects, as_of, children, order, **options)
+
+    def retention(self, table: str, as_of, days: int = 1) -> None:
+        with self.transaction() as t:
+            t.retention(table, as_of, days)
 
     def replace_slice(self, cluster_uuid: str, key_prefix: str, rows: DataFrame | None) -> None:
         """Replace the locked configuration of one cluster under a key prefix."""
-        current = self.read("config")
-        if current is None:
+        with self.transaction() as t:
+            current = t.snapshot.read("config")
+            if current is not None:
+                keys = tuple(schemas.TABLE_KEYS["config"])
+                kept = merge.replace_slice(current, cluster_uuid, key_prefix, None)
+                t.remove(current.select(*keys).exceptAll(kept.select(*keys)), [("config", keys)])
             if rows is not None:
-                self.write_upsert("config", rows)
-            return
-        # The configuration is small: every partition of it is rewritten.
-        placed = self.placed("config", merge.replace_slice(current, cluster_uuid, key_prefix, rows))
-        touched = set(self._touched("config", self._stored("config"))) | set(self._touched("config", placed))
-        self._replace("config", list(touched), placed, None)
+                t.write_upsert("config", rows)
 
     def upsert_cluster(self, row: DataFrame) -> None:
         self.write_upsert("cluster", row)
 
     def upsert_instance(self, row: DataFrame) -> None:
         """Put the instance row of a cluster in the place of all its former ones."""
-        current = self.read("kubernetes_instance")
-        if current is not None:
-            former = current.join(row.select("cluster_uuid", F.col("uuid").alias("_now")), "cluster_uuid").filter(
-                F.col("uuid") != F.col("_now")).select("uuid")
-            self.delete_by_keys("kubernetes_instance", former)
-        self.write_upsert("kubernetes_instance", row)
+        with self.transaction() as t:
+            t.delete_by_keys("kubernetes_instance", row.select(CLUSTER), CLUSTER)
+            t.write_upsert("kubernetes_instance", row)
+
+    # --- maintenance -----------------------------------------------------------------------------------------
+
+    def due(self, snapshot: Snapshot, table: str) -> bool:
+        """Whether the files beside a table's base have grown enough to be folded in."""
+        bases = snapshot.parts(table, "base")
+        later = [*snapshot.parts(table, "rows", "gone"), *bases[1:]]
+        return len(later) > self.most_files or sum(x.bytes for x in later) > self.share * sum(x.bytes for x in bases[:1])
+
+    def compact(self, tables: Iterable[str] | None = None, force: bool = False) -> list[str]:
+        """Write a new base for the tables that are due (with ``force`` for all that have later files); gives their names.
+
+        Readers and writers go on meanwhile: the new base stands for just the files it was made from.
+        """
+        snapshot = self.snapshot()
+        picked = [t for t in (tables or snapshot.tables()) if snapshot.has(t) and len(snapshot.changes[t]) > 1
+                  and (force or self.due(snapshot, t))]
+        if picked:
+            name = f"{snapshot.number + 1:012d}-{uuid.uuid4().hex[:12]}"
+            # The base takes the place in order of the last file in it, so that what was written meanwhile comes after it.
+            made = self.side_by_side([lambda t=t: self.write_part(
+                name, t, "base", snapshot.read(t), [x.id for x in snapshot.changes[t]]) for t in picked])
+            self.publish(name, snapshot.number, [
+                Change(**{**x.__dict__, "commit": snapshot.changes[x.table][-1].commit}) for x in made], {})
+        return picked
+
+    def vacuum(self) -> None:
+        """Delete files that compaction replaced and days that retention dropped, and fold the manifests into one.
+
+        For a time when nobody reads from an older snapshot.
+        """
+        snapshot = self.snapshot()
+        if not snapshot.commits:
+            return
+        live = [x for found in snapshot.changes.values() for x in found]
+        kept = {x.path for x in live}
+        name = f"{snapshot.number:012d}-{uuid.uuid4().hex[:12]}"
+        self.publish(name, snapshot.number, live, snapshot.batches, [c["commit"] for c in snapshot.commits])
+        for commit in snapshot.commits:
+            self._drop(f"{self.root}/commits/{commit['commit']}")
+        for path in {x["path"] for c in snapshot.commits for x in c["changes"] if x.get("path")} - kept:
+            self._drop(path)
+        for table in snapshot.changes:
+            for x in snapshot.parts(table, "horizon"):
+                for base in snapshot.parts(table, "base")[:1]:
+                    self._drop_days(base.path, dt.datetime.fromisoformat(x.value).date())
+
+    def _drop_days(self, path: str, first: dt.date) -> None:
+        fs, target = self._fs(path)
+        for status in fs.listStatus(target):
+            name, _, day = status.getPath().getName().partition("=")
+            if name == _DAY and day[:4].isdigit() and dt.date.fromisoformat(day) < first:
+                fs.delete(status.getPath(), True)
 
 
 def merge_into(table: str, rows: DataFrame, keys: list[str], update_columns: list[str] | None = None) -> None:

@@ -15,7 +15,7 @@ def alert_subscriber(
 ) -> Callable[[str, dict[str, DataFrame], DataFrame], None]:
     """Subscriber for :class:`~fleetlens.streaming.changes.ChangeApplier`: every written object of an alerting kind
     becomes a record. ``rules`` gives (rules, tables they query, rules version), read anew for each batch."""
-    def forward(kind: str, tables: dict[str, DataFrame], gone: DataFrame) -> None:
+    def forward(kind: str, tables: dict[str, DataFrame], gone: DataFrame, batch) -> None:
         if kind not in [*ALERT_KINDS, *MARSHALERS] or kind not in tables:
             return
         alerts = to_alert(kind, tables[kind], base_url)

@@ -15,7 +15,6 @@ from fleetlens import schemas
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators.links import stale_keys
 from fleetlens.operators.merge import dedup_last
-from fleetlens.session import shared_folder
 from fleetlens.sources.tables import Batch, TableStore, streaming_writer
 
 # Fixed value: upserts of objects that go within this many seconds are left to the delete that follows.
@@ -52,13 +51,21 @@ def objects_of(changes: DataFrame, kind: str) -> DataFrame:
         F.col("meta").isNotNull())
 
 
+#: (kind, normalised tables, deleted uuids, batch): what a subscriber is called with.
+Subscriber = Callable[[str, dict[str, DataFrame], DataFrame, Batch], None]
+
+
 @dataclass
 class ChangeApplier:
     """``foreachBatch`` function that keeps the stored tables in step with a change feed.
 
+    All kinds and tables of a batch become visible together. Each kind's objects are parsed once, for all its tables.
+
     ``deletes="ignore"`` keeps rows of deleted objects for the kinds in ``keep_kinds`` (events by default).
-    ``subscribers`` get (kind, normalised tables, deleted uuids) after the writes of that kind succeeded. ``writer`` names
-    the feed where it is not run by a streaming query of its own.
+    ``subscribers`` get (kind, normalised tables, deleted uuids, batch) after the batch was written. A batch that is
+    repeated changes no table, but its subscribers are called again, as they may not have been reached; the instant it
+    was judged by is kept with it, so they get the same rows. ``writer`` names the feed where it is not run by a
+    streaming query of its own.
     """
 
     store: TableStore
@@ -66,33 +73,39 @@ class ChangeApplier:
     as_of: Callable[[], dt.datetime] = lambda: dt.datetime.now(dt.timezone.utc)
     keep_kinds: tuple[str, ...] = ("event",)
     children: str = "replace"
-    subscribers: list[Callable[[str, dict[str, DataFrame], DataFrame], None]] = field(default_factory=list)
+    subscribers: list[Subscriber] = field(default_factory=list)
     writer: str = ""
+    compact: bool = True
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        now = self.as_of()
-        writer = self.writer or streaming_writer(batch.sparkSession)
+        identity = Batch(batch_id, "changes", self.writer or streaming_writer(batch.sparkSession))
         # Deletions of kept kinds are left out first, so that the last version before them is stored.
         ignored = F.col("kind").isin(list(self.keep_kinds)) & (F.col("type") == "DELETED")
         latest = coalesce_changes(batch.filter(~ignored)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             present = {(r.kind, r.gone) for r in latest.select(
                 "kind", (F.col("type") == "DELETED").alias("gone")).distinct().collect()}
-            for kind in self.kinds:
-                of_kind = latest.filter(F.col("kind") == kind)
-                gone = deleted_ids(of_kind)
-                tables: dict[str, DataFrame] = {}
-                if (kind, True) in present:
-                    self.store.cascade_delete(kind, gone, batch=Batch(batch_id, f"{kind}-delete", writer))
-                if (kind, False) in present:
-                    objects = not_deleting_soon(objects_of(latest, kind), now)
-                    tables = self.store.cascade_upsert(
-                        kind, objects, now, children=self.children, batch=Batch(batch_id, f"{kind}-upsert", writer))
-                if (kind, True) in present or (kind, False) in present:
-                    for subscriber in self.subscribers:
-                        subscriber(kind, tables, gone)
+            applied: list[tuple[str, dict[str, DataFrame], DataFrame]] = []
+            now = self.as_of()
+            with self.store.transaction(identity, {"as_of": now.isoformat()}) as transaction:
+                now = dt.datetime.fromisoformat(transaction.note["as_of"])
+                for kind in self.kinds:
+                    if not {(kind, True), (kind, False)} & present:
+                        continue
+                    gone, tables = deleted_ids(latest.filter(F.col("kind") == kind)), {}
+                    if (kind, True) in present:
+                        transaction.cascade_delete(kind, gone)
+                    if (kind, False) in present:
+                        objects = not_deleting_soon(objects_of(latest, kind), now)
+                        tables = transaction.cascade_upsert(kind, objects, now, children=self.children)
+                    applied.append((kind, tables, gone))
+            for kind, tables, gone in applied if self.subscribers else []:
+                for subscriber in self.subscribers:
+                    subscriber(kind, tables, gone, identity)
         finally:
             latest.unpersist()
+        if self.compact:
+            self.store.compact()
 
 
 def run_changes(stream: DataFrame, applier: ChangeApplier, checkpoint: str, **trigger):
@@ -104,7 +117,7 @@ def run_changes(stream: DataFrame, applier: ChangeApplier, checkpoint: str, **tr
 def reconcile(store: TableStore, kind: str, snapshot: DataFrame) -> DataFrame:
     """Start-up clean-up: delete what the store has and the full list of objects has not; gives the stale rows.
 
-    ``snapshot``: raw objects with meta. Run once before the feed starts; leave it out for kinds that are kept.
+    ``snapshot``: raw objects with meta. Run once before the feed starts.
     """
     stored = store.read(kind)
     namespace = F.coalesce("meta.namespace", F.lit(""))
@@ -116,9 +129,13 @@ def reconcile(store: TableStore, kind: str, snapshot: DataFrame) -> DataFrame:
     # Only the clusters the snapshot lists are reconciled.
     listed = snapshot.select(ensure_uuid(F.col("cluster_uid")).alias("cluster_uuid")).distinct()
     warmed = stored.join(listed, "cluster_uuid", "left_semi").select(
-        F.concat_ws("|", "cluster_uuid", "namespace", "name").alias("key"), "uuid")
-    # Written out: the deletes below change the very table the stale keys are read from.
-    store.spark.sparkContext.setCheckpointDir(shared_folder(store.spark))
-    stale = stale_keys(warmed, current).checkpoint()
+        F.concat_ws("|", "cluster_uuid", F.coalesce("namespace", F.lit("")), "name").alias("key"), "uuid")
+    # Files of a snapshot stay as they are, so the stale keys read the same after the deletion.
+    stale = stale_keys(warmed, current)
     store.cascade_delete(kind, stale.select("uuid"))
     return stale
+
+
+def reconcile_all(store: TableStore, snapshots: dict[str, DataFrame], no_warm_up: tuple[str, ...] = ("event",)) -> dict[str, DataFrame]:
+    """:func:`reconcile` for every kind but those in ``no_warm_up``, whose rows outlive the objects; stale rows by kind."""
+    return {kind: reconcile(store, kind, objects) for kind, objects in snapshots.items() if kind not in no_warm_up}

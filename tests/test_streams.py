@@ -51,7 +51,7 @@ def state(store):
 
 
 def drive(spark, tmp_path, name, files, **options):
-    store = TableStore(spark, str(tmp_path / name / "store"), buckets=2)
+    store = TableStore(spark, str(tmp_path / name / "store"))
     applier = ChangeApplier(store, kinds=["config_map", "event"], as_of=lambda: NOW, **options)
     source = tmp_path / name
     source.mkdir()
@@ -77,7 +77,7 @@ def test_one_batch_equals_many_with_restarts(spark, tmp_path):
 
 
 def test_repeated_batch_and_delete_soon(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "s"), buckets=2)
+    store = TableStore(spark, str(tmp_path / "s"))
     applier = ChangeApplier(store, kinds=["config_map"], as_of=lambda: NOW)
     soon = {"deletionTimestamp": (NOW + dt.timedelta(seconds=20)).isoformat() + "Z"}
     later = {"deletionTimestamp": (NOW + dt.timedelta(seconds=40)).isoformat() + "Z"}
@@ -94,9 +94,9 @@ def test_repeated_batch_and_delete_soon(spark, tmp_path):
 
 
 def test_subscribers_run_after_the_write_and_send_alerts(spark, tmp_path):
-    store, seen = TableStore(spark, str(tmp_path / "s"), buckets=2), []
+    store, seen = TableStore(spark, str(tmp_path / "s")), []
     applier = ChangeApplier(store, kinds=["deployment"], as_of=lambda: NOW, subscribers=[
-        lambda kind, tables, gone: seen.append((kind, store.read("deployment").count())),
+        lambda kind, tables, gone, batch: seen.append((kind, store.read("deployment").count())),
         alert_subscriber(str(tmp_path / "alerts"), "https://w")])
     rows = spark.createDataFrame([json.dumps(change(1, "ADDED", "d", "deployment"))], "string").select(
         F.from_json("value", schemas.FEED_SCHEMAS["change"]).alias("c")).select("c.*")
@@ -107,7 +107,7 @@ def test_subscribers_run_after_the_write_and_send_alerts(spark, tmp_path):
 
 
 def test_reconcile(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "s"), buckets=2)
+    store = TableStore(spark, str(tmp_path / "s"))
     raw = lambda *pairs: spark.createDataFrame(
         [{"cluster_uid": "c", "meta": {"uid": u, "namespace": "ns", "name": n, "resourceVersion": "1"}} for u, n in pairs], schemas.kind_schema("config_map"))
     store.cascade_upsert("config_map", raw(("u1", "a"), ("u2", "b"), ("u3", "x")))
@@ -132,7 +132,7 @@ def test_logs_equal_plain_concatenation(spark):
 
 
 def test_metric_poller_updates_its_own_minutes(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path / "s"), buckets=2)
+    store = TableStore(spark, str(tmp_path / "s"))
     base = dt.datetime(2024, 1, 1, 0, 0)
     rows = [("c", "kube_pod_container_resource_requests", {"node": "n1", "namespace": "ns", "pod": "p", "container": "a", "resource": "cpu"},
              base + dt.timedelta(seconds=60 * i), float(i)) for i in range(4)]
@@ -165,7 +165,7 @@ def test_metric_poller_equals_the_batch_form(spark, tmp_path):
 
     want = points(metric_points("node", feed, node_aliases(nodes), pods))
     for parts in (1, 3):
-        store, arrived = TableStore(spark, str(tmp_path / str(parts)), buckets=2), []
+        store, arrived = TableStore(spark, str(tmp_path / str(parts))), []
         poller = MetricPoller(store, lambda lo, hi: spark.createDataFrame(arrived, feed.schema).filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))),
                               lambda: nodes, lambda: pods, scopes=("node",), writer=f"in {parts}")
         size = -(-len(rows) // parts)

@@ -14,7 +14,7 @@ from fleetlens.sources.sinks import fan_out, with_row_count
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return T.TableStore(spark, str(tmp_path / "store"), buckets=4)
+    return T.TableStore(spark, str(tmp_path / "store"))
 
 
 def labels(spark, *rows):
@@ -58,19 +58,136 @@ def test_feeds_with_equal_batch_numbers(spark, store):
     assert [r[0] for r in rows(store, "label")] == ["a0", "a1", "b0", "b1"]
 
 
-def test_unreadable_table_is_not_an_absent_one(spark, store):
-    (Path(store.path("label")) / "plain").mkdir(parents=True)
-    assert store.read("label") is None
-    (Path(store.path("label")) / "plain" / "x.parquet").write_text("not parquet")
-    with pytest.raises(Exception):
-        store.write_upsert("label", labels(spark, ("a", "n", "1")))
+def test_a_write_that_stops_before_its_manifest_takes_nothing_along(spark, store, monkeypatch):
+    """Writer A stops in its batch 1, B writes, A starts again: nobody's rows are lost, none are half there."""
+    store.write_upsert("label", labels(spark, ("base", "n", "1")))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(T.TableStore, "publish", stop)
+        with pytest.raises(KeyboardInterrupt), store.transaction(T.Batch(1, "s", "a")) as t:
+            t.write_upsert("label", labels(spark, ("a1", "n", "1")))
+            t.delete_by_keys("label", spark.createDataFrame([("base",)], "uuid string"))
+    assert [r[0] for r in rows(store, "label")] == ["base"]
+    store.write_upsert("label", labels(spark, ("b0", "n", "1")), batch=T.Batch(0, "s", "b"))
+    for _ in range(2):
+        store.write_upsert("label", labels(spark, ("a1", "n", "1")), batch=T.Batch(1, "s", "a"))
+    assert [r[0] for r in rows(store, "label")] == ["a1", "b0", "base"]
+
+
+def test_tables_of_one_write_become_visible_together(spark, store):
+    with store.transaction() as t:
+        t.write_upsert("label", labels(spark, ("a", "n", "1")))
+        t.write_upsert("annotation", labels(spark, ("a", "n", "1")))
+    before = store.snapshot()
+    with store.transaction() as t:
+        t.write_upsert("label", labels(spark, ("a", "n", "2")))
+        t.write_upsert("label", labels(spark, ("b", "n", "2")))
+        t.remove(spark.createDataFrame([("a",)], "uuid string"), [("annotation", ("uuid",))])
+        assert rows(store, "label") == [("a", "n", "1")]
+    assert [tuple(r) for r in before.read("label").collect()] == [("a", "n", "1")] and before.read("annotation").count() == 1
+    assert rows(store, "label") == [("a", "n", "2"), ("b", "n", "2")] and store.read("annotation").count() == 0
+    with pytest.raises(ValueError), store.transaction() as t:
+        t.write_upsert("label", labels(spark, ("c", "n", "3")))
+        raise ValueError
+    assert store.read("label").count() == 2
+
+
+def test_writers_that_meet(spark, store):
+    """Two writers start from the same state, also from an empty one: both writes stay."""
+    for n in range(2):
+        with store.transaction() as one, store.transaction() as two:
+            one.write_upsert("label", labels(spark, (f"x{n}", "n", "1")))
+            two.write_upsert("label", labels(spark, (f"y{n}", "n", "1"), ("z", "n", str(n))))
+    assert [r[0] for r in rows(store, "label")] == ["x0", "x1", "y0", "y1", "z"]
+    store.compact(force=True)
+    assert rows(store, "label")[-1] == ("z", "n", "1") and store.read("label").count() == 5
+
+
+def test_compaction_changes_no_rows(spark, store):
+    model = {}
+    for i in range(6):
+        new = {f"u{j}": str(i) for j in range(i, 20, i + 1)}
+        gone = [f"u{j}" for j in range(0, 20, 4 + i)]
+        with store.transaction() as t:
+            t.delete_by_keys("label", spark.createDataFrame([(g,) for g in gone], "uuid string"))
+            t.write_upsert("label", labels(spark, *[(u, "n", v) for u, v in new.items()]))
+        model = {**{u: v for u, v in model.items() if u not in gone}, **new}
+        if i == 3:
+            written = store.snapshot()
+            assert store.compact(force=True) == ["label"] and store.compact() == []
+            assert len(store.snapshot().changes["label"]) == 1 and len(written.changes["label"]) > 4
+            assert sorted(map(tuple, written.read("label").collect())) == rows(store, "label")
+        assert rows(store, "label") == sorted((u, "n", v) for u, v in model.items())
+    files = len(list(Path(store.root).rglob("*.parquet")))
+    store.vacuum()
+    assert len(store.snapshot().commits) == 1 and len(list(Path(store.root).rglob("*.parquet"))) < files
+    assert rows(store, "label") == sorted((u, "n", v) for u, v in model.items())
+    store.write_upsert("label", labels(spark, ("new", "n", "1")), batch=T.Batch(4, "s"))
+    store.vacuum()
+    store.write_upsert("label", labels(spark, ("other", "n", "1")), batch=T.Batch(4, "s"))
+    assert store.read("label").count() == len(model) + 1
+
+
+def test_a_compaction_meets_a_write(spark, store, monkeypatch):
+    store.write_upsert("label", labels(spark, ("a", "n", "1"), ("b", "n", "1")))
+    store.write_upsert("label", labels(spark, ("a", "n", "2")))
+    publish = T.TableStore.publish
+
+    def late(self, *given):
+        monkeypatch.setattr(T.TableStore, "publish", publish)
+        store.write_upsert("label", labels(spark, ("a", "n", "3"), ("c", "n", "3")))
+        store.delete_by_keys("label", spark.createDataFrame([("b",)], "uuid string"))
+        publish(self, *given)
+
+    monkeypatch.setattr(T.TableStore, "publish", late)
+    store.compact(force=True)
+    assert rows(store, "label") == [("a", "n", "3"), ("c", "n", "3")]
+    store.compact(force=True)
+    assert rows(store, "label") == [("a", "n", "3"), ("c", "n", "3")]
+
+
+def test_a_small_batch_writes_few_bytes(spark, store):
+    wide = spark.range(20000).select(F.sha2(F.col("id").cast("string"), 256).alias("uuid"), F.lit("n").alias("name"), F.md5(F.col("id").cast("string")).alias("value"))
+    store.write_upsert("label", wide)
+    store.write_upsert("label", wide.limit(200).withColumn("value", F.lit("new")))
+    store.delete_by_keys("label", wide.orderBy("uuid").limit(20).select("uuid"))
+    first, *later = [x.bytes for x in store.snapshot().changes["label"]]
+    assert 0 < sum(later) < 0.05 * first
+    assert store.compact() == []
+
 
+def test_rows_without_a_key_column_are_one_row(spark, store):
+    store.write_upsert("label", labels(spark, (None, "n", "1"), ("a", "n", "1")))
+    store.write_upsert("label", labels(spark, (None, "n", "2")))
+    assert sorted(store.read("label").collect(), key=str) == sorted(labels(spark, (None, "n", "2"), ("a", "n", "1")).collect(), key=str)
+    store.delete_by_keys("label", spark.createDataFrame([(None,)], "uuid string"))
+    assert rows(store, "label") == [("a", "n", "1")]
 
-def test_only_touched_partitions_are_read(spark, store):
-    store.write_upsert("label", labels(spark, *[(str(i), "n", "v") for i in range(50)]))
-    stored = store._stored("label")
-    plan = store._existing("label", stored, stored.select("_bucket").distinct().limit(1).collect())._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+def test_new_columns(spark, store):
+    store.write_upsert("label", labels(spark, ("a", "n", "1"), ("b", "n", "1")))
+    store.write_upsert("label", spark.createDataFrame([("a", "n", "1", 5)], "uuid string, name string, value string, more int"))
+    assert sorted(map(tuple, store.read("label").collect())) == [("a", "n", "1", 5), ("b", "n", "1", None)]
+
+
+def test_unreadable_manifest_is_an_error(spark, store):
+    store.write_upsert("label", labels(spark, ("a", "n", "1")))
+    (Path(store.root) / "commits" / "x.txt").write_text("not a manifest")
+    with pytest.raises(ValueError):
+        store.read("label")
+
+
+def test_one_cluster_is_a_folder(spark, store):
+    raw = spark.createDataFrame([{"cluster_uid": c, "meta": {"uid": f"{c}{i}", "name": f"n{i}", "namespace": "ns"}} for c in "ab" for i in range(3)], schemas.kind_schema("pod"))
+    store.cascade_upsert("pod", raw, "2024-01-01")
+    one = store.read("pod").filter("name = 'n0'").first().cluster_uuid
+    keys = warm_keys(store.read("pod"), one)
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cluster_uuid" in plan and keys.count() == 3
+    assert len(keys.inputFiles()) >= 1 and all(f"cluster_uuid={one}" in f for f in store.read("pod").filter(F.col("cluster_uuid") == one).select(F.input_file_name()).distinct().toPandas().iloc[:, 0])
 
 
 def pods(spark, *names, containers=("a", "b"), version="1"):
@@ -107,9 +224,22 @@ def test_retention_drops_days_and_filters_the_boundary(spark, store):
     for _ in range(2):
         store.retention(table, "2024-01-04 12:00:00")
         assert [r.value for r in store.read(table).orderBy("timestamp").collect()] == [3.0, 4.0]
-    assert spark.read.parquet(store.path(table)).select(F.min("_day")).first()[0] == dt.date(2024, 1, 3)
+    days = lambda: {p.name for p in Path(store.root).rglob("_day=*")}
+    assert "_day=2024-01-01" in days()
+    store.vacuum()
+    assert days() == {"_day=2024-01-03", "_day=2024-01-04"}
+    plan = store.read(table)._jdf.queryExecution().executedPlan().toString()
+    assert "_day" in plan.split("PartitionFilters: [")[1].split("]")[0]
     store.write_upsert(table, points(spark, ("2024-01-03 14:00:00", 7)), update_columns=["value"])
     assert [r.value for r in store.read(table).orderBy("timestamp").collect()] == [7.0, 4.0]
+    store.write_upsert(table, points(spark, ("2024-01-03 11:00:00", 8)))
+    assert [r.value for r in store.read(table).orderBy("timestamp").collect()] == [8.0, 7.0, 4.0], "written after the retention"
+    store.compact(force=True)
+    assert [r.value for r in store.read(table).orderBy("timestamp").collect()] == [8.0, 7.0, 4.0]
+    store.retention(table, "2024-01-04 12:00:00")
+    assert [r.value for r in store.read(table).orderBy("timestamp").collect()] == [7.0, 4.0]
+    with pytest.raises(ValueError):
+        store.retention("label", "2024-01-04 12:00:00")
 
 
 def test_config_and_instances(spark, store):
@@ -157,7 +287,5 @@ def test_fan_out_and_counts(spark, tmp_path):
     assert observation.get["rows"] == 5
 
 
-def test_every_table_has_a_place():
-    for table in schemas.TABLE_KEYS:
-        assert T.bucket_columns(table)
-    assert len(schemas.TABLE_KEYS) >= 97
+def test_every_table_has_a_key():
+    assert all(schemas.TABLE_KEYS.values()) and len(schemas.TABLE_KEYS) >= 97
