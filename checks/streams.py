@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from checks import inputs as I
-from checks.registry import check
+from checks.registry import ORACLES, check
 from checks.scalars import tail_sql
 from checks.sql import eu
+from checks.tables import new_store
 from fleetlens.functions.ids import ensure_uuid
+from fleetlens.schemas import feed_schema
 from fleetlens.streaming import changes as C
 from fleetlens.streaming.logs import append_logs
 
@@ -16,6 +20,30 @@ check("changes_by_type", "SELECT type, COUNT(*) AS changes, COUNT(DISTINCT uid)
     lambda spark, sf: I.changes(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("uid").alias("objects")))
 check("changes_applied", "SELECT uuid, seq, payload FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY seq DESC) AS rn FROM k_change) WHERE rn = 1 AND type <> 'DELETED'")(
     lambda spark, sf: C.without_deletes(C.coalesce_changes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
+
+
+def change_objects(spark, sf):
+    """The change feed with each object as JSON; its payload is a label."""
+    body = F.to_json(F.struct(F.struct(
+        "uid", F.lit("NATION_0").alias("namespace"), F.col("uid").alias("name"), F.col("seq").cast("string").alias("resourceVersion"),
+        F.create_map(F.lit("payload"), F.col("payload").cast("string")).alias("labels")).alias("meta")))
+    return I.changes(spark, sf).withColumn("object", F.when(F.col("type") != "DELETED", body)).select(*feed_schema("change").names)
+
+
+@check("store_changes", ORACLES["changes_applied"])
+def store_changes(spark, sf):
+    """The feed in three batches through the applier, the second one repeated; payloads come back through the label tables."""
+    store, feed = new_store(spark), change_objects(spark, sf)
+    applier = C.ChangeApplier(store, kinds=["config_map"], as_of=lambda: datetime.datetime.fromisoformat(I.AS_OF), writer="check")
+    third = feed.agg(F.max("seq")).first()[0] // 3 + 1
+    for i in (0, 1, 1, 2):
+        applier(feed.filter(F.floor(F.col("seq") / third) == i), i)
+    now = store.snapshot()
+    held = now.read("config_map_label").join(now.read("label").withColumnRenamed("uuid", "label_uuid"), "label_uuid")
+    return now.read("config_map").join(held, F.col("uuid") == F.col("config_map_uuid")).select(
+        "uuid", F.col("resource_version").cast("bigint").alias("seq"), F.col("value").cast("bigint").alias("payload"))
+
+
 check("events_keep", "SELECT uuid, MAX(seq) AS seq, arg_max(payload, seq) AS payload FROM k_change WHERE type <> 'DELETED' GROUP BY uuid")(
     lambda spark, sf: C.coalesce_changes(C.without_deletes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
 check("delete_once", "SELECT DISTINCT uuid FROM k_change WHERE type = 'DELETED'")(lambda spark, sf: C.deleted_ids(I.changes(spark, sf)))

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.normalized import tables
-from checks.registry import check, flat
+from checks.registry import ORACLES, check, flat
 from checks.sql import eu, ms
 from fleetlens import schemas
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators import merge, rollup
+from fleetlens.session import shared_folder
 from fleetlens.sources.readers import warm_keys
+from fleetlens.sources.tables import Batch, TableStore
 
 _KEYS = ["l_orderkey", "l_linenumber"]
 _ORDER = ", ".join(f"{c} DESC" for c in I.VERSION_ORDER)
@@ -39,26 +43,64 @@ def scan_pods(spark, sf):
 
 
 check("scan_pods", f"SELECT uid, namespace, name, phase, node_name, {ms('created')} AS created FROM k_pod")(scan_pods)
-check("warm_keys", f"SELECT namespace || '/' || name AS key, uuid FROM k_pod WHERE cluster_uid = 'region-1'")(
-    lambda spark, sf: warm_keys(
-        I.bare_pod_objects(spark, sf).select("cluster_uuid", "uuid", "meta.namespace", "meta.name"),
-        _region_uuid()))
+
+
+def new_store(spark) -> TableStore:
+    """An empty store in the shared folder."""
+    return TableStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+
+
+@check("warm_keys", "SELECT namespace || '/' || name AS key, uuid FROM k_pod WHERE cluster_uid = 'region-1'")
+def warm_keys_of_one_cluster(spark, sf):
+    """Keys of one cluster from stored pods: its folder of the base, and what a second write left beside it."""
+    store = new_store(spark)
+    pods = I.bare_pod_objects(spark, sf).select("cluster_uuid", "uuid", "meta.namespace", "meta.name")
+    store.write_upsert("pod", pods.withColumn("name", F.when(_every(5, "uuid"), "old").otherwise(F.col("name"))))
+    store.write_upsert("pod", pods.filter(_every(5, "uuid")))
+    return warm_keys(store.read("pod"), _region_uuid())
+
+
+def _every(n: int, column: str):
+    return F.pmod(F.xxhash64(column), F.lit(n)) == 0
+
+
+_STORED = ["uuid", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
+
+
+def stored_versions(spark, sf, condition: str):
+    """Container versions as rows of a stored table."""
+    rows = I.container_versions(spark, sf).filter(condition)
+    return rows.withColumn("uuid", ensure_uuid(I.text("line-", F.col("l_orderkey"), "-", F.col("l_linenumber")))).select(
+        *_STORED, *[F.col(c).alias(f"_{c}") for c in I.VERSION_ORDER])
+
+
+def store_upsert(spark, sf, update_columns=None):
+    """Two batches through the store, the second one repeated as after a lost acknowledgement, and folded."""
+    store, order = new_store(spark), [f"_{c}" for c in I.VERSION_ORDER]
+    for i, condition in ((0, "l_quantity <= 25"), (1, "l_quantity > 25"), (1, "l_quantity > 25")):
+        store.write_upsert("container", stored_versions(spark, sf, condition), order, update_columns, batch=Batch(i, "containers", "check"))
+        if i:
+            store.compact()
+    return flat(store.read("container").select(*_STORED[1:]))
 
 
 def _region_uuid() -> str:
-    import uuid
     return str(uuid.uuid5(uuid.UUID("3f249403-2bb0-428f-8e91-504d1fd7ddb6"), "region-1"))
 
 
 check("upsert_containers", f"""SELECT {_PICK} FROM ({_last('l_quantity > 25')}) UNION ALL
  SELECT {_PICK} FROM ({_last('l_quantity <= 25')}) o WHERE NOT EXISTS (SELECT 1 FROM lineitem n WHERE n.l_quantity > 25 AND n.l_orderkey = o.l_orderkey AND n.l_linenumber = o.l_linenumber)""")(
     lambda spark, sf: flat(merge.merge_rows(versions(spark, sf, "l_quantity <= 25"), versions(spark, sf, "l_quantity > 25"), _KEYS)))
+check("store_upsert", ORACLES["upsert_containers"])(store_upsert)
 check("upsert_partial", f"""WITH o AS (SELECT {_PICK} FROM ({_last('l_quantity <= 25')})), n AS (SELECT {_PICK} FROM ({_last('l_quantity > 25')}))
 SELECT l_orderkey, l_linenumber, COALESCE(n.l_quantity, o.l_quantity) AS l_quantity, COALESCE(o.l_extendedprice, n.l_extendedprice) AS l_extendedprice,
  COALESCE(o.l_returnflag, n.l_returnflag) AS l_returnflag FROM o FULL JOIN n USING (l_orderkey, l_linenumber)""")(
     lambda spark, sf: flat(merge.merge_columns(versions(spark, sf, "l_quantity <= 25"), versions(spark, sf, "l_quantity > 25"), _KEYS, ["l_quantity"])))
 
 
+check("store_upsert_partial", ORACLES["upsert_partial"])(lambda spark, sf: store_upsert(spark, sf, ["l_quantity"]))
+
+
 def _gone(spark, sf):
     return I.table(spark, sf, "events").filter(F.col("event_type") == "error").select(ensure_uuid(I.text("order-", F.col("event_id"))).alias("uuid"))
 
@@ -100,6 +142,17 @@ def cascade_delete_pods(spark, sf):
     return _counts({**{name: before[name] for name in before}, **after})
 
 
+@check("store_cascade_delete", ORACLES["cascade_delete_pods"])
+def store_cascade_delete(spark, sf):
+    """Pods and all their child tables written to the store, then deleted in two batches, one of them repeated."""
+    store, gone = new_store(spark), _gone(spark, sf)
+    store.cascade_upsert("pod", I.pods(spark, sf), I.AS_OF, batch=Batch(0, "pods", "check"))
+    for i in (1, 2, 2):
+        store.cascade_delete("pod", gone.filter(_every(2, "uuid") == (i == 1)), batch=Batch(i, "pods", "check"))
+    now = store.snapshot()
+    return _counts({table: now.read(table) for table in now.tables()})
+
+
 check("dedup_last", _last())(lambda spark, sf: merge.dedup_last(I.container_versions(spark, sf), _KEYS, I.VERSION_ORDER).select(*I.container_versions(spark, sf).columns))
 check("dedup_rows", "SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem")(
     lambda spark, sf: merge.dedup_rows(I.container_versions(spark, sf).select("l_orderkey", "l_linenumber", "l_returnflag")))
@@ -116,7 +169,6 @@ _CFG = f"""(SELECT {eu("'cluster-' || c_custkey")} AS cluster_uuid, t.key, 'v' |
 
 
 def _cluster_uuid(n: int) -> str:
-    import uuid
     return str(uuid.uuid5(uuid.UUID("3f249403-2bb0-428f-8e91-504d1fd7ddb6"), f"cluster-{n}"))
 
 
