@@ -42,16 +42,15 @@ def build_session(app: str = "fleetlens", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and staged tables.
+    """Folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on one machine
-    (tests) a temporary folder is made, and the setting is filled with it.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the session runs on one machine (tests)
+    a temporary folder becomes the session's checkpoint folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="fleetlens-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlens-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return spark.sparkContext.getCheckpointDir()
