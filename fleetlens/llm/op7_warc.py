@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import arrow_map, own_columns, table, work_folder
+from fleetlens.llm.common import arrow_map, own_columns, table
 from fleetlens.llm.registry import query
+from fleetlens.session import shared_folder
 
 SMALLEST_REVISIT = 100
 RECORDS_PER_FILE = 30_000  # bounds the size of an archive file, which one task reads
@@ -158,7 +159,7 @@ FROM f
 
 @query("op7_warc", ORACLE)
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_archives(table(spark, sf_dir, "pages"), path)
     rows = assemble(read_records(spark, path, payloads=False))
     revisit = F.col("response.kind") == "revisit"

@@ -19,8 +19,8 @@ VECTORS = "vec_id bigint, embedding array<float>, label int, ints string, part i
 
 @pytest.fixture(scope="module", autouse=True)
 def shared(spark, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 def lowered(text):

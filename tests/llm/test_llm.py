@@ -32,8 +32,8 @@ def rows():
 
 @pytest.fixture(scope="module")
 def docs(spark, rows, tmp_path_factory):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
     return spark.createDataFrame(rows, DOCS).repartition(3)
 
 
