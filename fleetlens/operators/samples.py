@@ -1,9 +1,11 @@
 """Metric samples on a minute grid: newest value per series, and rate of counters.
 
-Samples have ``cluster_uuid, metric, labels (map), ts, value``. A series is a set of labels of one metric in one
-cluster; it is carried as its sorted label entries, which can be grouped and joined on. A grid step ``t`` sees the
-samples of the half-open window before it, ``(t - window, t]``; time is first cut into minute slices ``(e - 1m, e]``, so
-raw samples are shuffled once and only per-slice results are copied to the steps they count for.
+Samples have ``cluster_uuid, metric, labels (map), ts, value``, or ``series_id`` in the place of labels when they come
+from the stored layout, whose dictionary (``cluster_uuid, series_id, labels``) is then given beside them. A series is a
+set of labels of one metric in one cluster; its id has 128 bits whatever the labels, and is what samples are shuffled and
+sorted by. A grid step ``t`` sees the samples of the half-open window before it, ``(t - window, t]``; time is first cut
+into minute slices ``(e - 1m, e]``. Raw samples are shuffled once, by series; slices, the windows over them and the
+match of two metrics of equal labels all follow in the same partitions.
 """
 
 from __future__ import annotations
@@ -38,8 +40,10 @@ def _minute_index(ts: Column) -> Column:
     return F.ceil(F.unix_micros(ts) / F.lit(STEP_SECONDS * 1000000).cast("bigint"))
 
 
-def series_of(labels: Column) -> Column:
-    return F.sort_array(F.map_entries(labels))
+def series_id(labels: Column) -> Column:
+    """128 bits that tell label sets apart, the same on every engine: MD5 of the sorted entries."""
+    entry = F.transform(F.sort_array(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit("\u001f"), F.coalesce(e["value"], F.lit(""))))
+    return F.unhex(F.md5(F.array_join(entry, "\u001e")))
 
 
 def label_of(name: str) -> Column:
@@ -47,10 +51,6 @@ def label_of(name: str) -> Column:
     return F.coalesce(F.try_element_at("labels", F.lit(name)), F.lit(""))
 
 
-def _labelled(labels: Sequence[str]) -> list[Column]:
-    return [label_of(name).alias(name) for name in labels]
-
-
 def matches(samples: DataFrame, metric: str | list[str], equal: dict[str, str] | None = None,
             not_regex: dict[str, str] | None = None) -> DataFrame:
     """Samples of a metric whose labels equal given texts and do not match given (fully anchored) patterns."""
@@ -63,10 +63,91 @@ def matches(samples: DataFrame, metric: str | list[str], equal: dict[str, str] |
     return picked
 
 
-def _with_steps(df: DataFrame, first: Column, last: Column) -> DataFrame:
-    """One row per grid step between two minute numbers."""
-    minutes = df.withColumn("_minute", F.explode(F.sequence(first, last)))
-    return minutes.withColumn("step", F.timestamp_seconds(F.col("_minute") * STEP_SECONDS)).drop("_minute")
+def _rise(values: Column) -> Column:
+    """Sum of increases over consecutive values; a fall means the counter began anew, so the new value is the rise."""
+    before, after = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values))
+    rises = F.zip_with(before, after, lambda a, b: F.when(b < a, b).otherwise(b - a))
+    return F.aggregate(rises, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def label_column(name: str) -> str:
+    """Column of :func:`series_steps` that holds a label."""
+    return f"l_{name}"
+
+
+def _labelled(labels: Sequence[str]) -> list[Column]:
+    return [label_of(name).alias(label_column(name)) for name in labels]
+
+
+def _part() -> Column:
+    """What a slice of a counter's points comes to: first and last point, their number, and the rise between them."""
+    # Of several values at one instant the largest stays.
+    single = F.filter("_points", lambda p, i: (i == F.size("_points") - 1) | (F.try_element_at("_points", i + 2)["t"] != p["t"]))
+    return F.transform(F.array(single), lambda ps: F.struct(
+        F.col("slice").alias("slice"), F.element_at(ps, 1).alias("first"), F.element_at(ps, -1).alias("last"), F.size(ps).alias("n"),
+        _rise(F.transform(ps, lambda p: p["v"])).alias("rise")))[0]
+
+
+def _rate(window_minutes: int) -> Column:
+    """Per-second rise over the parts that the window of a step holds; NULL for fewer than two samples."""
+    def over(parts: Column) -> Column:
+        first, last = F.element_at(parts, 1)["first"], F.element_at(parts, -1)["last"]
+        inside = F.aggregate(parts, F.lit(0.0), lambda acc, part: acc + part["rise"])
+        # Rise from the last sample of each slice to the first of the next.
+        heads, tails = F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts))
+        between = F.aggregate(
+            F.zip_with(heads, tails, lambda a, b: F.when(b["first"]["v"] < a["last"]["v"], b["first"]["v"])
+                       .otherwise(b["first"]["v"] - a["last"]["v"])),
+            F.lit(0.0), lambda acc, x: acc + x)
+        n = F.aggregate(parts, F.lit(0), lambda acc, part: acc + part["n"])
+        return F.when(n >= 2, (inside + between) / ((last["t"] - first["t"]) / F.lit(1000000.0)))
+
+    held = F.filter("_parts", lambda p: p["slice"] > F.col("_minute") - window_minutes)
+    return F.transform(F.array(held), lambda parts: F.when(F.size(parts) > 0, over(parts)))[0]
+
+
+def series_steps(
+    samples: DataFrame, labels: Sequence[str] = (), gauges: Sequence[str] = (), counters: Sequence[str] = (),
+    windows: Sequence[int] = (), lookback_minutes: int = LOOKBACK_MINUTES, series: DataFrame | None = None,
+) -> DataFrame:
+    """Values of every series at every grid step: cluster_uuid, series_id, labels (``l_..``), metric, step, and for
+    gauges ``value``, for counters ``rate1, rate2, ..`` by window in minutes (NULL for the other sort).
+
+    A gauge's value is visible from the end of its minute until the next minute with a value, at most for the lookback; a
+    counter's slice counts for the steps whose window holds it. Of several values at one instant the largest counts.
+    Counters' points are gathered per series and minute as a set, so repeats vanish.
+    """
+    counter = F.col("metric").isin(list(counters)) if counters else F.lit(False)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    key = ["cluster_uuid", "series_id"]
+    names = [label_column(name) for name in labels]
+    if series is None:
+        carried = names
+        tagged = samples.select("cluster_uuid", series_id(F.col("labels")).alias("series_id"), "metric", *_labelled(labels), "ts", "value")
+    else:
+        carried, tagged = [], samples.select(*key, "metric", "ts", "value")
+    dealt = tagged.select(*key, "metric", *carried, _minute_index(F.col("ts")).alias("slice"), t.alias("t"), "value").repartition(*key)
+    found = [F.max(F.struct("t", "value")).alias("_newest")] if gauges else []
+    if counters:
+        points = F.collect_set(F.when(counter, F.struct(F.col("t"), F.col("value").alias("v"))))
+        found.append(F.array_sort(points).alias("_points"))
+    slices = dealt.groupBy(*key, "metric", "slice", *carried).agg(*found)
+    if series is not None:
+        slices = slices.join(series.select(*key, *_labelled(labels)), key)
+    history = Window.partitionBy(*key, "metric").orderBy("slice")
+    longest = max(windows, default=1)
+    columns = [*key, *names, "metric", "slice", F.lead("slice").over(history).alias("_next")]
+    if gauges:
+        columns.append(F.col("_newest.value").alias("_value"))
+    if counters:
+        slices = slices.withColumn("_part", F.when(counter, _part()))
+        columns.append(F.collect_list("_part").over(history.rowsBetween(1 - longest, 0)).alias("_parts"))
+    seen = F.when(counter, F.lit(longest)).otherwise(F.lit(lookback_minutes)) if counters and gauges else F.lit(longest if counters else lookback_minutes)
+    until = F.least(F.col("slice") + seen - 1, F.col("_next") - 1)
+    stepped = slices.select(*columns).withColumn("_minute", F.explode(F.sequence(F.col("slice"), until)))
+    value = [F.when(~counter, F.col("_value")).alias("value")] if gauges else []
+    rates = [F.when(counter, _rate(w)).alias(f"rate{w}") for w in windows] if counters else []
+    return stepped.select(*key, *names, "metric", F.timestamp_seconds(F.col("_minute") * STEP_SECONDS).alias("step"), *value, *rates)
 
 
 def instant(
@@ -74,78 +155,35 @@ def instant(
 ) -> DataFrame:
     """Newest value per series and grid step, one column ``v0, v1, ..`` per metric (NULL when it has none).
 
-    A value is visible from the end of its minute until the next minute with a value, at most for the lookback; it is
-    copied to just those steps. Several metrics of equal label sets are matched by grouping instead of joining.
-    ``labels`` become columns. Of several values at one instant the largest counts.
+    Several metrics of equal label sets are matched by grouping instead of joining. ``labels`` become columns.
     """
-    series = ["cluster_uuid", "series", *labels]
-    kinds = ["metric"] if len(metrics) > 1 else []
-    tagged = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels), *kinds,
-                            _minute_index(F.col("ts")).alias("slice"), "ts", "value")
-    # At most one row per series and minute leaves a task.
-    per_slice = tagged.groupBy(*series, *kinds, "slice").agg(F.max_by("value", F.struct("ts", "value")).alias("value"))
-    following = F.lead("slice").over(Window.partitionBy("cluster_uuid", "series", *kinds).orderBy("slice"))
-    until = F.least(F.col("slice") + (lookback_minutes - 1), F.col("_next") - 1)
-    stepped = _with_steps(per_slice.withColumn("_next", following), F.col("slice"), until)
+    steps = series_steps(samples, labels, gauges=metrics, lookback_minutes=lookback_minutes)
+    series = ["cluster_uuid", "series_id", *[F.col(label_column(name)).alias(name) for name in labels]]
     if len(metrics) == 1:
-        return stepped.select(*series, "step", F.col("value").alias("v0"))
-    return stepped.groupBy(*series, "step").agg(*[
+        return steps.select(*series, "step", F.col("value").alias("v0"))
+    matched = steps.groupBy("cluster_uuid", "series_id", *map(label_column, labels), "step").agg(*[
         F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"v{i}") for i, m in enumerate(metrics)])
+    return matched.select(*series, "step", *[f"v{i}" for i in range(len(metrics))])
 
 
 def instant_at(samples: DataFrame, at, lookback_minutes: int = LOOKBACK_MINUTES) -> DataFrame:
     """Newest value per series at one point in time; the time bound reaches the scan."""
     end = F.lit(at).cast("timestamp")
     recent = samples.filter((F.col("ts") <= end) & (F.col("ts") > end - F.expr(f"INTERVAL {lookback_minutes} MINUTES")))
-    return recent.groupBy("cluster_uuid", "metric", series_of(F.col("labels")).alias("series")).agg(
+    return recent.groupBy("cluster_uuid", "metric", series_id(F.col("labels")).alias("series_id")).agg(
         F.max_by("value", F.struct("ts", "value")).alias("v0")).withColumn("step", end)
 
 
-def _rise(values: Column) -> Column:
-    """Sum of increases over consecutive values; a fall means the counter began anew, so the new value is the rise."""
-    before, after = F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values))
-    rises = F.zip_with(before, after, lambda a, b: F.when(b < a, b).otherwise(b - a))
-    return F.aggregate(rises, F.lit(0.0), lambda acc, x: acc + x)
-
-
 def counter_rate(samples: DataFrame, window_minutes: int, labels: Sequence[str] = ()) -> DataFrame:
-    """Per-second rise of each counter series over the window before each grid step.
+    """Per-second rise of each counter series over the window before each grid step; all ``samples`` are of counters.
 
-    Samples are gathered per series and minute as a *set* of (instant in microseconds, value): repeats vanish on the map
-    side, and an array is as long as one series has distinct samples in a minute. Each slice gives (first, last, rise
-    inside); the slices of a window are then chained. Fewer than two samples in a window give no row.
+    Fewer than two samples in a window give no row.
     """
-    keys = ["cluster_uuid", "series", *labels]
-    points = samples.select("cluster_uuid", series_of(F.col("labels")).alias("series"), *_labelled(labels),
-                            _minute_index(F.col("ts")).alias("slice"),
-                            F.struct(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("value").alias("v")).alias("p"))
-    gathered = points.groupBy(*keys, "slice").agg(F.array_sort(F.collect_set("p")).alias("ps"))
-    # Of several values at one instant the largest stays.
-    single = gathered.withColumn(
-        "ps", F.filter("ps", lambda p, i: (i == F.size("ps") - 1) | (F.try_element_at("ps", i + 2)["t"] != p["t"])))
-    parts = single.select(
-        *keys, "slice",
-        F.struct(
-            F.col("slice").alias("slice"), F.element_at("ps", 1).alias("first"), F.element_at("ps", -1).alias("last"),
-            F.size("ps").alias("n"), _rise(F.transform("ps", lambda p: p["v"])).alias("rise")).alias("part"))
-    windows = (
-        _with_steps(parts, F.col("slice"), F.col("slice") + (window_minutes - 1))
-        .groupBy(*keys, "step").agg(F.array_sort(F.collect_list("part")).alias("parts"))
-    )
-    first, last = F.element_at("parts", 1)["first"], F.element_at("parts", -1)["last"]
-    inside = F.aggregate("parts", F.lit(0.0), lambda acc, part: acc + part["rise"])
-    # Rise from the last sample of each slice to the first of the next.
-    heads, tails = F.slice("parts", 1, F.size("parts") - 1), F.slice("parts", 2, F.size("parts"))
-    between = F.aggregate(
-        F.zip_with(heads, tails, lambda a, b: F.when(b["first"]["v"] < a["last"]["v"], b["first"]["v"])
-                   .otherwise(b["first"]["v"] - a["last"]["v"])),
-        F.lit(0.0), lambda acc, x: acc + x)
-    n = F.aggregate("parts", F.lit(0), lambda acc, part: acc + part["n"])
-    seconds = (last["t"] - first["t"]) / F.lit(1000000.0)
-    return (
-        windows.select(*keys, "step", n.alias("n"), (inside + between).alias("rise"), seconds.alias("seconds"))
-        .filter(F.col("n") >= 2).select(*keys, "step", (F.col("rise") / F.col("seconds")).alias("v0"))
-    )
+    names = samples.withColumn("metric", F.lit("counter"))
+    steps = series_steps(names, labels, counters=["counter"], windows=[window_minutes])
+    return steps.filter(F.col(f"rate{window_minutes}").isNotNull()).select(
+        "cluster_uuid", "series_id", *[F.col(label_column(name)).alias(name) for name in labels], "step",
+        F.col(f"rate{window_minutes}").alias("v0"))
 
 
 def divide(left: Column, right: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.ids import uuid5
@@ -86,89 +88,141 @@ def _queries() -> list[MetricQuery]:
 QUERIES: dict[str, MetricQuery] = {query.key: query for query in _queries()}
 
 
-# --- shapes: samples -> (cluster_uuid, step, labels.., value) ---------------------------------------------------
+# --- evaluation: samples -> sums by labels, once for all queries -> (cluster_uuid, step, labels.., value) ----------
 
-def _sum_by(values: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    return values.groupBy("cluster_uuid", "step", *by).agg(F.sum("v0").alias("value"))
-
-
-def _count_groups(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    values = S.instant(samples, [query.metric], query.inner_by)
-    return values.groupBy("cluster_uuid", "step").agg(F.count_distinct(*query.inner_by).cast("double").alias("value"))
-
-
-def _count(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    return S.instant(samples, [query.metric]).groupBy("cluster_uuid", "step").agg(
-        F.count(F.lit(1)).cast("double").alias("value"))
-
-
-def _sum(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    return _sum_by(S.instant(samples, [query.metric], query.by), query.by)
-
-
-def _rate(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    summed = _sum_by(S.counter_rate(samples, query.window_minutes, query.by), query.by)
-    return summed if query.sign > 0 else summed.withColumn("value", -F.col("value"))
-
-
-def _rate_avg(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    inner = _sum_by(S.counter_rate(samples, query.window_minutes, query.inner_by), query.inner_by)
-    return inner.groupBy("cluster_uuid", "step", *query.by).agg(F.avg("value").alias("value"))
-
-
-def _both(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    values = S.instant(samples, [query.metric, query.other], query.by)
-    return values.filter(F.col("v0").isNotNull() & F.col("v1").isNotNull())
+@dataclass(frozen=True)
+class Sums:
+    """Series values of a metric added up by labels; several queries can be made from the same one.
 
+    ``measure`` says what is added: the newest "value", a "rate", what is "used" of a total (with the total beside it), or
+    the "filled" share, the last two of series that two metrics share.
+    """
 
-def _used_share(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    """Sum of (total - available) where both are known, over the sum of all totals."""
-    values = S.instant(samples, [query.metric, query.other], query.by)
-    return (
-        values.groupBy("cluster_uuid", "step", *query.by)
-        .agg(F.sum(F.col("v0") - F.col("v1")).alias("used"), F.sum("v0").alias("total"))
-        .filter(F.col("used").isNotNull() & F.col("total").isNotNull())
-        .select("cluster_uuid", "step", *query.by, S.divide(F.col("used"), F.col("total")).alias("value"))
-    )
+    metric: str
+    by: tuple[str, ...]
+    measure: str = "value"
+    other: str = ""
+    equal: tuple[tuple[str, str], ...] = ()
+    not_regex: tuple[tuple[str, str], ...] = ()
+    window: int = 0
 
+    @property
+    def key(self) -> int:
+        """A number that stands for these sums in rows."""
+        return zlib.crc32(repr(self).encode())
 
-def _filled_share(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    filled = F.lit(1.0) - S.divide(F.col("v0"), F.col("v1"))
-    return _both(query, samples).groupBy("cluster_uuid", "step", *query.by).agg(F.sum(filled).alias("value"))
+    @property
+    def labels(self) -> set[str]:
+        return {*self.by, *(n for n, _ in self.equal), *(n for n, _ in self.not_regex)}
 
+    def accepts(self, label) -> Column:
+        """Whether a series' labels (``label(name)`` gives one) are those asked for."""
+        found = F.lit(True)
+        for name, text in self.equal:
+            found = found & (label(name) == text)
+        for name, pattern in self.not_regex:
+            found = found & ~label(name).rlike(f"^(?:{pattern})$")
+        return found
 
-def _ratio(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Many-to-one division: the right side is an aggregate by ``on``, hence unique."""
-    joined = left.join(right.withColumnRenamed("value", "_right"), on)
-    return joined.withColumn("value", S.divide(F.col("value"), F.col("_right"))).drop("_right")
 
+RATED = {"rate", "rate_avg"}
+SHARES = {"share_of_capacity", "share_of_node"}
 
-def _share_of_capacity(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    left = _sum_by(S.instant(S.matches(samples, query.metric, query.equal), [query.metric], query.by), query.by)
-    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other], ("node",)), ("node",))
-    return _ratio(left, right, ["cluster_uuid", "step", "node"])
 
+def sums_of(query: MetricQuery) -> list[Sums]:
+    """What a query is made from; for shares the numerator first, then what it is a share of, by node."""
+    matchers = {"equal": tuple(query.equal.items()), "not_regex": tuple(query.not_regex.items())}
+    if query.shape in RATED:
+        return [Sums(query.metric, query.inner_by or query.by, "rate", window=query.window_minutes, **matchers)]
+    if query.shape in ("used_share", "filled_share"):
+        return [Sums(query.metric, query.by, query.shape.partition("_")[0], query.other, **matchers)]
+    first = Sums(query.metric, query.inner_by or query.by, **matchers)
+    return [first, Sums(query.other, ("node",))] if query.shape in SHARES else [first]
 
-def _share_of_node(query: MetricQuery, samples: DataFrame) -> DataFrame:
-    left = _sum_by(S.instant(S.matches(samples, query.metric), [query.metric], query.by), query.by)
-    right = _sum_by(S.instant(S.matches(samples, query.other), [query.other], ("node",)), ("node",))
-    return _ratio(left, right.withColumnRenamed("node", "instance"), ["cluster_uuid", "step", "instance"])
 
+def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """All sums that queries need from one scan of the samples: cluster_uuid, step, sums (its key), by (label values), x (the
+    sum), total (of "used") and n (series).
 
-SHAPES = {
-    "count_groups": _count_groups, "count": _count, "sum": _sum, "rate": _rate, "rate_avg": _rate_avg,
-    "used_share": _used_share, "filled_share": _filled_share, "share_of_capacity": _share_of_capacity,
-    "share_of_node": _share_of_node,
-}
-_MATCH_INSIDE = {"share_of_capacity", "share_of_node"}
+    Every value of a series is handed to the sums it belongs to, the levels of a roll-up among them, and these are added
+    on the map side first. ``series`` is the dictionary of stored samples.
+    """
+    wanted = list(dict.fromkeys(s for q in queries for s in sums_of(q)))
+    if len({s.key for s in wanted}) < len(wanted):
+        raise ValueError("two sums have one key")
+    pairs = {s.other: s.metric for s in wanted if s.other}
+    counters = sorted({s.metric for s in wanted if s.measure == "rate"})
+    gauges = sorted({m for s in wanted if s.measure != "rate" for m in (s.metric, s.other) if m})
+    windows = sorted({s.window for s in wanted if s.window})
+    names = sorted({name for s in wanted for name in s.labels})
+    picked = samples.filter(F.col("metric").isin([*counters, *gauges]))
+    if series is None:
+        asked = F.lit(False)
+        for s in wanted:
+            asked = asked | (F.col("metric").isin([m for m in (s.metric, s.other) if m]) & s.accepts(S.label_of))
+        picked = picked.filter(asked)
+    steps = S.series_steps(picked, names, gauges, counters, windows, series=series)
+    rates = [f"rate{w}" for w in windows]
+    if pairs:
+        # Both metrics of a pair meet in the partition their series is in.
+        family = F.coalesce(*[F.when(F.col("metric") == other, F.lit(metric)) for other, metric in pairs.items()], F.col("metric"))
+        second = F.col("metric").isin(list(pairs))
+        steps = steps.groupBy("cluster_uuid", "series_id", *map(S.label_column, names), family.alias("metric"), "step").agg(
+            F.max(F.when(~second, F.col("value"))).alias("value"), F.max(F.when(second, F.col("value"))).alias("other"),
+            *[F.max(r).alias(r) for r in rates])
+
+    def entry(s: Sums) -> Column:
+        x, total, there = F.col("value"), F.lit(None).cast("double"), F.lit(True)
+        if s.measure == "rate":
+            x = F.col(f"rate{s.window}")
+            there = x.isNotNull()
+        elif s.measure == "used":
+            x, total = F.col("value") - F.col("other"), F.col("value")
+        elif s.measure == "filled":
+            there = F.col("value").isNotNull() & F.col("other").isNotNull()
+            x = F.lit(1.0) - S.divide(F.col("value"), F.col("other"))
+        row = F.struct(F.lit(s.key).cast("bigint").alias("sums"), F.array(*[F.col(S.label_column(n)) for n in s.by]).cast("array<string>").alias("by"),
+                       x.alias("x"), total.alias("total"))
+        return F.when(there & s.accepts(lambda name: F.col(S.label_column(name))), row)
+
+    shares: Column | None = None
+    for metric in dict.fromkeys(s.metric for s in wanted):
+        test, rows = F.col("metric") == metric, F.array_compact(F.array(*[entry(s) for s in wanted if s.metric == metric]))
+        shares = F.when(test, rows) if shares is None else shares.when(test, rows)
+    handed = steps.select("cluster_uuid", "step", F.explode(shares).alias("_s")).select("cluster_uuid", "step", "_s.*")
+    return handed.groupBy("cluster_uuid", "step", "sums", "by").agg(
+        F.sum("x").alias("x"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def value_of(query: MetricQuery, found: DataFrame) -> DataFrame:
+    """A query's value at every grid step from :func:`sums`: cluster_uuid, step, grouping labels, value."""
+    parts = sums_of(query)
+    mine = found.filter(F.col("sums").isin([s.key for s in parts]))
+    place = {name: F.col("by")[i] for i, name in enumerate(parts[0].by)}
+    by = [place[name].alias(name) for name in query.by]
+    if query.shape == "count":
+        values = mine.select("cluster_uuid", "step", *by, F.col("n").cast("double").alias("value"))
+    elif query.shape in ("count_groups", "rate_avg"):
+        value = F.count(F.lit(1)).cast("double") if query.shape == "count_groups" else F.avg("x")
+        values = mine.groupBy("cluster_uuid", "step", *by).agg(value.alias("value"))
+    elif query.shape == "used_share":
+        values = mine.filter(F.col("x").isNotNull() & F.col("total").isNotNull()).select(
+            "cluster_uuid", "step", *by, S.divide(F.col("x"), F.col("total")).alias("value"))
+    elif query.shape in SHARES:
+        # Numerators and what they are a share of meet by node; the latter is one row for each.
+        own = F.col("sums") == parts[0].key
+        node = F.when(own, place["node" if query.shape == "share_of_capacity" else "instance"]).otherwise(F.col("by")[0])
+        whole = F.max(F.when(~own, F.col("x"))).over(Window.partitionBy("cluster_uuid", "step", "_node"))
+        joined = mine.withColumn("_node", node).withColumn("_whole", whole).filter(own & F.col("_whole").isNotNull())
+        values = joined.select("cluster_uuid", "step", *by, S.divide(F.col("x"), F.col("_whole")).alias("value"))
+    else:
+        values = mine.select("cluster_uuid", "step", *by, (F.col("x") * query.sign).alias("value"))
+    return S.drop_nan(values)
 
 
-def evaluate(query: MetricQuery, samples: DataFrame) -> DataFrame:
+def evaluate(query: MetricQuery, samples: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Value of one query at every grid step: cluster_uuid, step, grouping labels, value."""
-    if query.shape not in _MATCH_INSIDE:
-        metrics = [query.metric, query.other] if query.other else query.metric
-        samples = S.matches(samples, metrics, query.equal, query.not_regex)
-    return S.drop_nan(SHAPES[query.shape](query, samples))
+    return value_of(query, sums([query], samples, series))
 
 
 # Grouping labels that are the entity's own identity leave one series per key: nothing can collide.
@@ -209,12 +263,16 @@ def to_points(
 
 def metric_points(
     scope: str, samples: DataFrame, aliases: DataFrame | None = None, pods: DataFrame | None = None,
-    keep_all: bool = False,
+    keep_all: bool = False, series: DataFrame | None = None, found: DataFrame | None = None,
 ) -> DataFrame:
-    """All points of one scope, ready to be upserted into its metric table."""
+    """All points of one scope, ready to be upserted into its metric table.
+
+    ``found`` are the :func:`sums` of all queries where they are at hand (persisted, for several scopes).
+    """
+    queries = [q for q in QUERIES.values() if q.scope == scope]
+    found = sums(queries, samples, series) if found is None else found
     merged = None
-    for query in QUERIES.values():
-        if query.scope == scope:
-            part = to_points(query, evaluate(query, samples), aliases, pods, keep_all)
-            merged = part if merged is None else merged.unionByName(part)
+    for query in queries:
+        part = to_points(query, value_of(query, found), aliases, pods, keep_all)
+        merged = part if merged is None else merged.unionByName(part)
     return merged.withColumnRenamed("entity_uuid", f"{scope}_uuid")

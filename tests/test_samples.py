@@ -100,4 +100,4 @@ def test_catalogue_is_complete():
 
 def test_one_shuffle_of_raw_samples(spark):
     plan = S.counter_rate(frame(spark, [("m", {}, 0, 1)]), 2)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 2 and "Python" not in plan and "NestedLoop" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "NestedLoop" not in plan
