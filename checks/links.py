@@ -8,8 +8,10 @@ from checks import inputs as I
 from checks.normalized import bare_tables, tables
 from checks.registry import check, flat
 from checks.sql import STATES, eu, ms, u5
+from checks.tables import landing
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators import alerts, links, quality, rollup
+from fleetlens.sources.readers import read_incidents
 from fleetlens.streaming.links import update_pairs
 
 
@@ -82,8 +84,14 @@ check("orphan_alerts", """SELECT uuid, NULLIF(cluster_uuid, '') AS cluster_uuid,
  CASE WHEN cluster_uuid = '' THEN '' ELSE 'cluster_uuid=' || cluster_uuid || ',' END || 'name=' || name || ',namespace=' || namespace || ',resource=pod,uuid=' || uuid AS tags,
  CAST(NULL AS VARCHAR) AS extra_tags FROM k_incident WHERE uuid NOT IN (SELECT uuid FROM k_pod)""")(
     lambda spark, sf: flat(alerts.orphan_alerts(I.incidents(spark, sf), known(spark, sf), "https://web.example")))
-check("scan_incidents", "SELECT uuid, cluster_uuid, resource, name, namespace FROM k_incident")(
-    lambda spark, sf: I.incidents(spark, sf).select(F.struct("uuid", "cluster_uuid", "resource", "name", "namespace").alias("object_tags")).select("object_tags.*"))
+@check("scan_incidents", "SELECT uuid, cluster_uuid, resource, name, namespace FROM k_incident")
+def scan_incidents(spark, sf):
+    """Open incidents landed as JSON lines and read from there."""
+    landed = landing(spark, "incidents")
+    I.incidents(spark, sf).select(F.struct("uuid", "cluster_uuid", "resource", "name", "namespace").alias("object_tags")).write.json(landed)
+    return read_incidents(spark, landed)
+
+
 check("incidents_by_kind", "SELECT DISTINCT resource, uuid FROM k_incident")(
     lambda spark, sf: flat(rollup.incidents_by_kind(I.incidents(spark, sf))))
 

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks.registry import check, flat
 from checks.sql import u5
+from checks.tables import landing, new_store
 from fleetlens.operators import samples as S
 from fleetlens.operators.links import node_aliases
 from fleetlens.plans import metric_catalogue as M
+from fleetlens.schemas import feed_schema
+from fleetlens.sources.readers import append_samples, read_samples, stored_samples
+from fleetlens.streaming.metrics import MetricPoller
 
 # Exact halves round differently in the two engines (decimal text against binary product): both sides add this first.
 OFF_HALF = 0.0000000123
@@ -147,5 +151,33 @@ def counter_rate(spark, sf):
     return flat(rates.select("cluster_uuid", F.concat_ws("/", "instance", "cpu", "mode").alias("series"), F.col("step").alias("timestamp"), F.round(F.col("v0") + OFF_HALF, 6).alias("rate")))
 
 
-check("scan_samples", """SELECT metric, COUNT(*) AS samples, CAST(SUM(CAST(value AS BIGINT)) AS BIGINT) AS total FROM k_counter GROUP BY metric""")(
-    lambda spark, sf: I.counters(spark, sf).groupBy("metric").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("value").cast("bigint")).alias("total")))
+@check("scan_samples", """SELECT metric, COUNT(*) AS samples, CAST(SUM(CAST(value AS BIGINT)) AS BIGINT) AS total FROM k_counter GROUP BY metric""")
+def scan_samples(spark, sf):
+    """All counter samples, read from files, stored by day and metric, and read from there."""
+    landed = landing(spark, "samples")
+    I.counters(spark, sf).select(*feed_schema("sample").names).write.parquet(landed)
+    store = new_store(spark)
+    with store.transaction() as t:
+        append_samples(t, read_samples(spark, landed))
+    samples, _ = stored_samples(store.snapshot(), [m for m, source in I.SAMPLE_SOURCES.items() if source is I.counters])
+    return samples.groupBy("metric").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
+_POLLED = [q for q in M.QUERIES.values() if q.scope in ("node", "cluster", "pod")]
+
+
+@check("metric_poll", " UNION ALL ".join(f"SELECT '{q.scope}' AS scope, * FROM ({_EXPECTED[q.key]})" for q in _POLLED))
+def metric_poll(spark, sf):
+    """All node, cluster and pod metrics by the poller, in three batches: the second one brings late samples and is repeated."""
+    feed = I.samples(spark, sf, *sorted({m for q in _POLLED for m in (q.metric, q.other) if m}))
+    pods = I.pod_facts(spark, sf).select(S_uuid("cluster_uid").alias("cluster_uuid"), "namespace", "name", S_uuid("uid").alias("uuid"))
+    store = new_store(spark)
+    poller = MetricPoller(store, lambda: I.objects(spark, sf, "node"), lambda: pods, ("node", "cluster", "pod"), "check")
+    second = F.pmod(F.unix_seconds("ts"), F.lit(60))
+    for i, part in ((0, second < 25), (1, second >= 40), (1, second >= 40), (2, second.between(25, 39))):
+        poller(feed.filter(part).select("cluster_uuid", "metric", "labels", "ts", "value"), i)
+    now, merged = store.snapshot(), None
+    for scope in poller.scopes:
+        points = now.read(f"prometheus_{scope}_metric").withColumnRenamed(f"{scope}_uuid", "entity_uuid").withColumn("scope", F.lit(scope))
+        merged = points if merged is None else merged.unionByName(points)
+    return flat(merged).withColumn("value", F.round(F.col("value") + OFF_HALF, 6))

@@ -10,17 +10,13 @@ from checks import inputs as I
 from checks.registry import ORACLES, check
 from checks.scalars import tail_sql
 from checks.sql import eu
-from checks.tables import new_store
+from checks.tables import landing, new_store
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.schemas import feed_schema
+from fleetlens.sources.readers import read_changes
 from fleetlens.streaming import changes as C
 from fleetlens.streaming.logs import append_logs
 
-check("changes_by_type", "SELECT type, COUNT(*) AS changes, COUNT(DISTINCT uid) AS objects FROM k_change GROUP BY type")(
-    lambda spark, sf: I.changes(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("uid").alias("objects")))
-check("changes_applied", "SELECT uuid, seq, payload FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY seq DESC) AS rn FROM k_change) WHERE rn = 1 AND type <> 'DELETED'")(
-    lambda spark, sf: C.without_deletes(C.coalesce_changes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
-
 
 def change_objects(spark, sf):
     """The change feed with each object as JSON; its payload is a label."""
@@ -30,10 +26,23 @@ def change_objects(spark, sf):
     return I.changes(spark, sf).withColumn("object", F.when(F.col("type") != "DELETED", body)).select(*feed_schema("change").names)
 
 
+def landed_changes(spark, sf) -> str:
+    """The feed as JSON files."""
+    landed = landing(spark, "changes")
+    change_objects(spark, sf).write.json(landed)
+    return landed
+
+
+check("changes_by_type", "SELECT type, COUNT(*) AS changes, COUNT(DISTINCT uid) AS objects FROM k_change GROUP BY type")(
+    lambda spark, sf: read_changes(spark, landed_changes(spark, sf)).groupBy("type").agg(F.count(F.lit(1)).alias("changes"), F.count_distinct("uid").alias("objects")))
+check("changes_applied", "SELECT uuid, seq, payload FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY uid ORDER BY seq DESC) AS rn FROM k_change) WHERE rn = 1 AND type <> 'DELETED'")(
+    lambda spark, sf: C.without_deletes(C.coalesce_changes(I.changes(spark, sf))).select(ensure_uuid(F.col("uid")).alias("uuid"), "seq", "payload"))
+
+
 @check("store_changes", ORACLES["changes_applied"])
 def store_changes(spark, sf):
     """The feed in three batches through the applier, the second one repeated; payloads come back through the label tables."""
-    store, feed = new_store(spark), change_objects(spark, sf)
+    store, feed = new_store(spark), read_changes(spark, landed_changes(spark, sf))
     applier = C.ChangeApplier(store, kinds=["config_map"], as_of=lambda: datetime.datetime.fromisoformat(I.AS_OF), writer="check")
     third = feed.agg(F.max("seq")).first()[0] // 3 + 1
     for i in (0, 1, 1, 2):

@@ -14,7 +14,7 @@ from fleetlens import schemas
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators import merge, rollup
 from fleetlens.session import shared_folder
-from fleetlens.sources.readers import warm_keys
+from fleetlens.sources.readers import read_snapshot, warm_keys
 from fleetlens.sources.tables import Batch, TableStore
 
 _KEYS = ["l_orderkey", "l_linenumber"]
@@ -33,11 +33,16 @@ def versions(spark, sf, condition: str = "TRUE"):
         "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")
 
 
+def landing(spark, name: str) -> str:
+    """A new folder for input files in the shared folder."""
+    return f"{shared_folder(spark)}/landing-{name}-{uuid.uuid4().hex}"
+
+
 def scan_pods(spark, sf):
-    """Pods as JSON lines, read with the declared schema."""
-    raw = I.pods(spark, sf)
-    lines = raw.select(F.to_json(F.struct(*raw.columns)).alias("line"))
-    read = lines.select(F.from_json("line", schemas.KIND_SCHEMAS["pod"]).alias("o")).select("o.*")
+    """Pods landed as JSON lines and read as a snapshot."""
+    landed = landing(spark, "pods")
+    I.pods(spark, sf).write.json(landed)
+    read = read_snapshot(spark, landed, "pod")
     return flat(read.select("meta.uid", "meta.namespace", "meta.name", "status.phase", F.col("spec.nodeName").alias("node_name"),
                             F.col("meta.creationTimestamp").alias("created")))
 

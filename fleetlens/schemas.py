@@ -142,11 +142,11 @@ RULE_FILTER = "STRUCT<version: INT, kind: STRING, query: STRING, args: ARRAY<STR
 
 
 def kind_schema(kind: str) -> T.StructType:
-    return T._parse_datatype_string(KIND_SCHEMAS[kind])
+    return T.StructType.fromDDL(KIND_SCHEMAS[kind])
 
 
 def feed_schema(name: str) -> T.StructType:
-    return T._parse_datatype_string(FEED_SCHEMAS[name])
+    return T.StructType.fromDDL(FEED_SCHEMAS[name])
 
 
 # --- produced tables -------------------------------------------------------------------------------------------
@@ -192,6 +192,8 @@ OWNED = ["daemon_set", "deployment", "job", "pod", "replica_set", "stateful_set"
 FAVOURABLE = [kind for kind in ANNOTATED if kind not in ("config_map", "secret")]
 METRIC_SCOPES = ["cluster", "container", "node", "pod"]
 
+#: Metric samples as stored: the label sets once, and what was measured by their id.
+TABLE_KEYS |= {"series": ["cluster_uuid", "series_id"], "sample": ["cluster_uuid", "series_id", "metric", "ts"]}
 TABLE_KEYS |= {kind: ["uuid"] for kind in KIND_SCHEMAS}
 TABLE_KEYS |= {f"{kind}_label": [f"{kind}_uuid", "label_uuid"] for kind in LABELLED}
 TABLE_KEYS |= {f"{kind}_annotation": [f"{kind}_uuid", "annotation_uuid"] for kind in ANNOTATED}

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from fleetlens import schemas
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators.alerts import parse_rules
+from fleetlens.operators.samples import series_id
+from fleetlens.sources.tables import Snapshot, Transaction
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str, stream: bool, **options) -> DataFrame:
@@ -41,6 +43,32 @@ def read_samples(spark: SparkSession, path: str, fmt: str = "parquet", stream: b
     return with_cluster(_read(spark, path, schemas.feed_schema("sample"), fmt, stream, **options))
 
 
+def append_samples(transaction: Transaction, samples: DataFrame) -> None:
+    """Store metric samples: new label sets go to the dictionary ``series``, what was measured to ``sample``, which is laid
+    out by day and metric and carries the 128-bit id in the place of the labels."""
+    named = samples.withColumn("series_id", series_id(F.col("labels")))
+    known = transaction.snapshot.read("series")
+    seen = named.select("cluster_uuid", "series_id", "labels").dropDuplicates(["cluster_uuid", "series_id"])
+    if known is not None:
+        seen = seen.join(known, ["cluster_uuid", "series_id"], "left_anti")
+    transaction.write_upsert("series", seen.withColumn("labels", F.map_entries("labels")))
+    transaction.append("sample", named.select("cluster_uuid", "series_id", "metric", "ts", "value"))
+
+
+def stored_samples(snapshot: Snapshot, metrics: list[str] | None = None, since=None, until=None) -> tuple[DataFrame, DataFrame] | None:
+    """(samples, dictionary) from the store, of some metrics and a range of time; other days and metrics are not opened."""
+    samples, series = snapshot.read("sample"), snapshot.read("series")
+    if samples is None or series is None:
+        return None
+    if metrics is not None:
+        samples = samples.filter(F.col("metric").isin(list(metrics)))
+    for bound, inside in ((since, lambda column, limit: column >= limit), (until, lambda column, limit: column <= limit)):
+        if bound is not None:
+            limit = F.lit(bound).cast("timestamp")
+            samples = samples.filter(inside(F.col("ts"), limit) & inside(F.col("_day"), F.to_date(limit)))
+    return samples.drop("_day"), series.withColumn("labels", F.map_from_entries("labels"))
+
+
 def read_logs(spark: SparkSession, path: str, since=None, fmt: str = "parquet", stream: bool = False, **options) -> DataFrame:
     """Log lines, only those after ``since`` when given."""
     lines = _read(spark, path, schemas.feed_schema("log_line"), fmt, stream, **options)

@@ -23,7 +23,7 @@ import json
 import uuid
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,7 +37,9 @@ from fleetlens.operators import merge
 from fleetlens.operators.normalize import normalize
 
 #: Tables also laid out by day, with the column that tells it.
-TIMED = {"event": "created", **{f"prometheus_{scope}_metric": "timestamp" for scope in schemas.METRIC_SCOPES}}
+TIMED = {"event": "created", "sample": "ts", **{f"prometheus_{scope}_metric": "timestamp" for scope in schemas.METRIC_SCOPES}}
+#: Tables that only grow, with what else they are laid out by: every write is laid out, and reading looks no key up.
+GROWING = {"sample": ["metric"]}
 
 CLUSTER, _DAY, _COMMIT, _GONE = "cluster_uuid", "_day", "_commit", "_gone"
 #: Writes of one transaction that run at a time.
@@ -153,6 +155,8 @@ class Snapshot:
         if not self.has(table):
             return None
         schema, keys = self.schema(table), schemas.TABLE_KEYS[table]
+        if table in GROWING:
+            return self._grown(table, schema)
         bases, rows = self.parts(table, "base"), self.parts(table, "rows")
         horizons = self.parts(table, "horizon")
         # Files besides the first base: those of later writes, and bases of writers that met at a table's beginning.
@@ -189,6 +193,20 @@ class Snapshot:
         latest = latest.select(*schema.names)
         return latest if base is None else base.unionByName(latest)
 
+    def _grown(self, table: str, schema: T.StructType, files: list[Change] | None = None) -> DataFrame:
+        """All rows of a table that only grows, or those of some of its files; filters on its layout leave out folders."""
+        found = None
+        for part in ("base", "rows"):
+            paths = [x.path for x in (self.parts(table, part) if files is None else files) if x.part == part]
+            if paths:
+                rows = self._files(paths, schema, {_COMMIT: T.StringType(), _DAY: T.DateType()}, self.store.folder(table, part))
+                found = rows if found is None else found.unionByName(rows)
+        for x in self.parts(table, "horizon"):
+            limit = F.lit(x.value).cast("timestamp")
+            found = found.filter((F.col(_COMMIT) > x.commit) | F.col(_DAY).isNull() | (F.col(_DAY) >= F.to_date(limit)))
+            found = found.filter((F.col(_COMMIT) > x.commit) | F.col(TIMED[table]).isNull() | (F.col(TIMED[table]) >= limit))
+        return found.select(*schema.names, _DAY)
+
     def _removed(self, table: str) -> dict[tuple[str, ...], DataFrame]:
         """Removed values by column, each with the last write that removed it."""
         grouped: dict[tuple[str, ...], list[Change]] = {}
@@ -254,6 +272,12 @@ class Transaction:
             new = merge.merge_columns(touched, new, keys, update_columns)
         self.rows.setdefault(table, []).append(new)
 
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Add rows to a table that only grows. The layout keeps each folder's rows in few files."""
+        if table not in GROWING:
+            raise ValueError(f"{table} is not a table that only grows")
+        self.rows.setdefault(table, []).append(rows)
+
     def remove(self, values: DataFrame, places: Iterable[tuple[str, tuple[str, ...]]]) -> None:
         """Remove rows written before by values: (table, columns) name where, the columns of ``values`` in that order."""
         self.gone.append((values.distinct(), list(places)))
@@ -311,7 +335,7 @@ class Transaction:
         rows = found[0]
         for more in found[1:]:
             rows = rows.unionByName(more, allowMissingColumns=True)
-        if len(found) > 1:
+        if len(found) > 1 and table not in GROWING:
             keys = schemas.TABLE_KEYS[table]
             rows = merge.dedup_last(rows, keys, [c for c in rows.columns if c not in keys] or keys)
         first = not self.snapshot.has(table)
@@ -366,7 +390,8 @@ class TableStore:
 
     def layout(self, table: str, schema: T.StructType) -> list[str]:
         """Columns that the folders of a base are named by."""
-        return [*([_DAY] if table in TIMED else []), *([CLUSTER] if CLUSTER in schema.names and CLUSTER not in schemas.TABLE_KEYS[table] else [])]
+        clusters = CLUSTER in schema.names and (CLUSTER not in schemas.TABLE_KEYS[table] or table == "series")
+        return [*([_DAY] if table in TIMED else []), *(GROWING.get(table) or ([CLUSTER] if clusters else []))]
 
     # --- files -----------------------------------------------------------------------------------------------
 
@@ -393,7 +418,7 @@ class TableStore:
 
     def write_part(self, name: str, table: str, part: str, rows: DataFrame, covers: Iterable[str] = ()) -> Change:
         path, schema = f"{self.folder(table, part)}/{_COMMIT}={name}", rows.schema
-        layout = self.layout(table, schema) if part == "base" else []
+        layout = self.layout(table, schema) if part == "base" or table in GROWING else []
         if layout:
             if _DAY in layout:
                 rows = rows.withColumn(_DAY, F.to_date(TIMED[table]))
@@ -455,28 +480,46 @@ class TableStore:
 
     # --- maintenance -----------------------------------------------------------------------------------------
 
-    def due(self, snapshot: Snapshot, table: str) -> bool:
-        """Whether the files beside a table's base have grown enough to be folded in."""
+    def folded(self, snapshot: Snapshot, table: str, force: bool = False) -> list[Change]:
+        """The files of a table that are due to become one.
+
+        All of them, when those beside the base have grown enough. Of a table that only grows the smallest ones, each not
+        far above the sum of those before it, so that a row is written again a few times only, however large the table is.
+        """
+        found = snapshot.changes[table]
+        if table in GROWING:
+            files = sorted(snapshot.parts(table, "base", "rows"), key=lambda x: x.bytes)
+            small, total = files[:1], files[0].bytes
+            for x in files[1:]:
+                if not force and x.bytes > 4 * total:
+                    break
+                small, total = [*small, x], total + x.bytes
+            return small if len(small) > 1 and (force or len(files) > self.most_files) else []
         bases = snapshot.parts(table, "base")
         later = [*snapshot.parts(table, "rows", "gone"), *bases[1:]]
-        return len(later) > self.most_files or sum(x.bytes for x in later) > self.share * sum(x.bytes for x in bases[:1])
+        due = len(later) > self.most_files or sum(x.bytes for x in later) > self.share * sum(x.bytes for x in bases[:1])
+        return found if len(found) > 1 and (force or due) else []
 
     def compact(self, tables: Iterable[str] | None = None, force: bool = False) -> list[str]:
-        """Write a new base for the tables that are due (with ``force`` for all that have later files); gives their names.
+        """Write the files that are due (with ``force`` all) as one, for each table; gives the names of the tables.
 
-        Readers and writers go on meanwhile: the new base stands for just the files it was made from.
+        Readers and writers go on meanwhile: the new files stand for just those they were made from.
         """
         snapshot = self.snapshot()
-        picked = [t for t in (tables or snapshot.tables()) if snapshot.has(t) and len(snapshot.changes[t]) > 1
-                  and (force or self.due(snapshot, t))]
+        picked = {t: found for t in (tables or snapshot.tables()) if snapshot.has(t) and (found := self.folded(snapshot, t, force))}
         if picked:
             name = f"{snapshot.number + 1:012d}-{uuid.uuid4().hex[:12]}"
-            # The base takes the place in order of the last file in it, so that what was written meanwhile comes after it.
-            made = self.side_by_side([lambda t=t: self.write_part(
-                name, t, "base", snapshot.read(t), [x.id for x in snapshot.changes[t]]) for t in picked])
-            self.publish(name, snapshot.number, [
-                Change(**{**x.__dict__, "commit": snapshot.changes[x.table][-1].commit}) for x in made], {})
-        return picked
+
+            def write(table: str) -> Change:
+                schema, files = snapshot.schema(table), picked[table]
+                rows = snapshot._grown(table, schema, files) if table in GROWING else snapshot.read(table)
+                part = "rows" if table in GROWING else "base"
+                # In order it takes the place of the last file in it, so that what was written meanwhile comes after it.
+                return replace(self.write_part(name, table, part, rows.select(*schema.names), [x.id for x in files]),
+                               commit=max(x.commit for x in files))
+
+            self.publish(name, snapshot.number, self.side_by_side([lambda t=t: write(t) for t in picked]), {})
+        return list(picked)
 
     def vacuum(self) -> None:
         """Delete files that compaction replaced and days that retention dropped, and fold the manifests into one.

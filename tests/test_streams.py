@@ -12,7 +12,7 @@ from fleetlens.functions.text import log_tail
 from fleetlens.operators.links import node_aliases
 from fleetlens.operators.normalize import with_meta
 from fleetlens.plans.metric_catalogue import metric_points
-from fleetlens.sources.readers import read_changes
+from fleetlens.sources.readers import append_samples, read_changes, stored_samples
 from fleetlens.sources.tables import TableStore
 from fleetlens.streaming.alerts import alert_subscriber
 from fleetlens.streaming.changes import ChangeApplier, not_deleting_soon, reconcile, run_changes
@@ -141,7 +141,7 @@ def test_metric_poller_updates_its_own_minutes(spark, tmp_path):
     node = spark.createDataFrame([{"cluster_uid": "k", "meta": {"uid": "u", "name": "n1"}, "status": {"addresses": []}}], schemas.kind_schema("node"))
     nodes = with_meta(node).withColumn("cluster_uuid", F.lit("c"))
     pods = spark.createDataFrame([("c", "ns", "p", "pu")], "cluster_uuid string, namespace string, name string, uuid string")
-    poller = MetricPoller(store, lambda lo, hi: feed.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))), lambda: nodes, lambda: pods, scopes=("node",))
+    poller = MetricPoller(store, lambda: nodes, lambda: pods, scopes=("node",), writer="w")
     poller(feed.filter(F.col("ts") < F.lit(base + dt.timedelta(minutes=2))), 0)
     poller(feed.filter(F.col("ts") >= F.lit(base + dt.timedelta(minutes=2))), 1)
     got = {(r.category, r.timestamp.minute): r.value for r in store.read("prometheus_node_metric").collect()}
@@ -165,14 +165,16 @@ def test_metric_poller_equals_the_batch_form(spark, tmp_path):
 
     want = points(metric_points("node", feed, node_aliases(nodes), pods))
     for parts in (1, 3):
-        store, arrived = TableStore(spark, str(tmp_path / str(parts))), []
-        poller = MetricPoller(store, lambda lo, hi: spark.createDataFrame(arrived, feed.schema).filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") <= F.lit(hi))),
-                              lambda: nodes, lambda: pods, scopes=("node",), writer=f"in {parts}")
+        store = TableStore(spark, str(tmp_path / str(parts)))
+        poller = MetricPoller(store, lambda: nodes, lambda: pods, scopes=("node",), writer=f"in {parts}")
         size = -(-len(rows) // parts)
         for i in range(parts):
-            new = rows[i * size:(i + 1) * size]
-            arrived += new
-            poller(spark.createDataFrame(new, feed.schema), i)
+            for _ in range(1 + (i == 1)):
+                poller(spark.createDataFrame(rows[i * size:(i + 1) * size], feed.schema), i)
+        assert store.read("sample").count() == len(rows) and store.read("series").count() == 1
+        found, _ = poller.sums_of_minutes(feed)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "CartesianProduct" not in text
         assert points(store.read("prometheus_node_metric")) == want
 
 
@@ -183,3 +185,37 @@ def test_label_maps_and_guard(spark):
     assert label_maps(pods, links, labels).first().labels == {"a": "1", "b": "2"}
     raw = spark.createDataFrame([{"cluster_uid": "c", "meta": {"uid": "u"}}], schemas.kind_schema("config_map"))
     assert not_deleting_soon(raw, NOW).count() == 1
+
+
+def test_stored_samples_open_only_their_days_and_metrics(spark, tmp_path):
+    rows = [("c", f"m{i % 3}", {"n": str(i % 2)}, dt.datetime(2024, 1, 1 + i % 4, 12), float(i)) for i in range(24)]
+    feed = spark.createDataFrame(rows, "cluster_uuid string, metric string, labels map<string,string>, ts timestamp, value double")
+    store = TableStore(spark, str(tmp_path / "s"))
+    for i in range(2):
+        with store.transaction() as t:
+            append_samples(t, feed.filter(F.col("value") % 2 == i))
+    assert store.read("series").count() == 2
+
+    def picked():
+        samples, series = stored_samples(store.snapshot(), ["m1"], dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3, 20))
+        text = samples._jdf.queryExecution().executedPlan().toString()
+        filters = text.split("PartitionFilters: [")[1].split("]")[0]
+        assert "_day" in filters and "metric" in filters
+        files = {r[0] for r in samples.select(F.input_file_name()).distinct().collect()}
+        assert all("metric=m1" in f and ("_day=2024-01-02" in f or "_day=2024-01-03" in f) for f in files)
+        back = samples.join(series, ["cluster_uuid", "series_id"])
+        return sorted((r.metric, r.labels["n"], r.ts, r.value) for r in back.collect())
+
+    want = sorted((m, labels["n"], ts, v) for _, m, labels, ts, v in rows if m == "m1" and ts.day in (2, 3))
+    assert picked() == want
+    assert set(store.compact(force=True)) == {"sample", "series"}
+    assert picked() == want and store.read("sample").count() == 24
+    store.most_files = 2
+    for i in range(3):
+        with store.transaction() as t:
+            append_samples(t, feed.limit(1))
+    assert store.compact() == ["sample"] and store.read("sample").count() == 27
+    store.retention("sample", "2024-01-03 13:00:00")
+    assert {r.ts.day for r in store.read("sample").collect()} == {3, 4}
+    with pytest.raises(ValueError), store.transaction() as t:
+        t.append("label", feed)
