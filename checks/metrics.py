@@ -163,16 +163,15 @@ def scan_samples(spark, sf):
     return samples.groupBy("metric").agg(F.count(F.lit(1)).alias("samples"), F.sum(F.col("value").cast("bigint")).alias("total"))
 
 
-_POLLED = [q for q in M.QUERIES.values() if q.scope in ("node", "cluster", "pod")]
+_POLLED = [q for q in M.QUERIES.values() if q.scope in ("node", "cluster")]
 
 
 @check("metric_poll", " UNION ALL ".join(f"SELECT '{q.scope}' AS scope, * FROM ({_EXPECTED[q.key]})" for q in _POLLED))
 def metric_poll(spark, sf):
-    """All node, cluster and pod metrics by the poller, in three batches: the second one brings late samples and is repeated."""
+    """All node and cluster metrics by the poller, in three batches: the last one brings late samples, the second is repeated."""
     feed = I.samples(spark, sf, *sorted({m for q in _POLLED for m in (q.metric, q.other) if m}))
-    pods = I.pod_facts(spark, sf).select(S_uuid("cluster_uid").alias("cluster_uuid"), "namespace", "name", S_uuid("uid").alias("uuid"))
     store = new_store(spark)
-    poller = MetricPoller(store, lambda: I.objects(spark, sf, "node"), lambda: pods, ("node", "cluster", "pod"), "check")
+    poller = MetricPoller(store, lambda: I.objects(spark, sf, "node"), lambda: None, ("node", "cluster"), "check")
     second = F.pmod(F.unix_seconds("ts"), F.lit(60))
     for i, part in ((0, second < 25), (1, second >= 40), (1, second >= 40), (2, second.between(25, 39))):
         poller(feed.filter(part).select("cluster_uuid", "metric", "labels", "ts", "value"), i)

@@ -194,35 +194,79 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
         F.sum("x").alias("x"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def value_of(query: MetricQuery, found: DataFrame) -> DataFrame:
-    """A query's value at every grid step from :func:`sums`: cluster_uuid, step, grouping labels, value."""
-    parts = sums_of(query)
-    mine = found.filter(F.col("sums").isin([s.key for s in parts]))
-    place = {name: F.col("by")[i] for i, name in enumerate(parts[0].by)}
-    by = [place[name].alias(name) for name in query.by]
-    if query.shape == "count":
-        values = mine.select("cluster_uuid", "step", *by, F.col("n").cast("double").alias("value"))
-    elif query.shape in ("count_groups", "rate_avg"):
-        value = F.count(F.lit(1)).cast("double") if query.shape == "count_groups" else F.avg("x")
-        values = mine.groupBy("cluster_uuid", "step", *by).agg(value.alias("value"))
-    elif query.shape == "used_share":
-        values = mine.filter(F.col("x").isNotNull() & F.col("total").isNotNull()).select(
-            "cluster_uuid", "step", *by, S.divide(F.col("x"), F.col("total")).alias("value"))
-    elif query.shape in SHARES:
+def _literal(value) -> Column:
+    return F.array(*map(_literal, value)) if isinstance(value, (list, tuple)) else F.lit(value)
+
+
+def _of(table: dict, key: str, type_: str) -> Column:
+    """A constant table's entry for the row's ``key``, NULL if it has none."""
+    if not table:
+        return F.lit(None).cast(type_)
+    entries = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), _literal(v).cast(type_))])
+    return F.try_element_at(entries, F.col(key))
+
+
+def _handed(queries: Sequence[MetricQuery], part: int = 0) -> Column:
+    """Keys of the queries that a row of sums is for, NULL for none."""
+    takers: dict[int, list[str]] = {}
+    for query in queries:
+        takers.setdefault(sums_of(query)[part].key, []).append(query.key)
+    return F.try_element_at(F.create_map(*[x for k, v in takers.items() for x in (F.lit(k).cast("bigint"), _literal(v))]), F.col("sums"))
+
+
+def values_of(queries: Sequence[MetricQuery], found: DataFrame) -> DataFrame:
+    """Values of queries at every grid step from :func:`sums`: cluster_uuid, step, query (key), by (its label values), value.
+
+    Queries of like shape are made together, so the plan does not grow with their number.
+    """
+    of_shape = lambda *shapes: [q for q in queries if q.shape in shapes]
+    places = lambda query, names: [sums_of(query)[0].by.index(name) for name in names]
+    columns, parts = ["cluster_uuid", "step", "query", "by", "value"], []
+
+    def own_by(some: list[MetricQuery]) -> Column:
+        at = _of({q.key: places(q, q.by) for q in some if q.by}, "query", "array<int>")
+        return F.coalesce(F.transform(at, lambda i: F.get(F.col("by"), i)), F.array().cast("array<string>"))
+
+    plain = of_shape("sum", "rate", "count", "used_share", "filled_share")
+    if plain:
+        shape = _of({q.key: q.shape for q in plain}, "query", "string")
+        used = F.when(F.col("x").isNotNull() & F.col("total").isNotNull(), S.divide(F.col("x"), F.col("total")))
+        value = F.when(shape == "count", F.col("n").cast("double")).when(shape == "used_share", used).otherwise(
+            F.col("x") * _of({q.key: q.sign for q in plain}, "query", "int"))
+        handed = found.select("*", F.explode(_handed(plain)).alias("query"))
+        parts.append(handed.withColumn("value", value).select(*columns))
+
+    twice = of_shape("count_groups", "rate_avg")
+    if twice:
+        counted = _of({q.key: q.shape == "count_groups" for q in twice}, "query", "boolean")
+        handed = found.select("*", F.explode(_handed(twice)).alias("query")).withColumn("by", own_by(twice))
+        added = handed.groupBy("cluster_uuid", "step", "query", "by").agg(F.count(F.lit(1)).alias("_n"), F.avg("x").alias("_avg"))
+        parts.append(added.withColumn("value", F.when(counted, F.col("_n").cast("double")).otherwise(F.col("_avg"))).select(*columns))
+
+    shares = of_shape(*SHARES)
+    if shares:
         # Numerators and what they are a share of meet by node; the latter is one row for each.
-        own = F.col("sums") == parts[0].key
-        node = F.when(own, place["node" if query.shape == "share_of_capacity" else "instance"]).otherwise(F.col("by")[0])
-        whole = F.max(F.when(~own, F.col("x"))).over(Window.partitionBy("cluster_uuid", "step", "_node"))
-        joined = mine.withColumn("_node", node).withColumn("_whole", whole).filter(own & F.col("_whole").isNotNull())
-        values = joined.select("cluster_uuid", "step", *by, S.divide(F.col("x"), F.col("_whole")).alias("value"))
-    else:
-        values = mine.select("cluster_uuid", "step", *by, (F.col("x") * query.sign).alias("value"))
-    return S.drop_nan(values)
+        def tagged(part: int) -> Column:
+            takers = F.coalesce(_handed(shares, part), F.array().cast("array<string>"))
+            return F.transform(takers, lambda q: F.struct(q.alias("query"), F.lit(part == 0).alias("_own")))
+
+        handed = found.select("*", F.explode(F.concat(tagged(0), tagged(1))).alias("_q")).select("cluster_uuid", "step", "by", "x", "_q.query", "_q._own")
+        at = _of({q.key: places(q, ["node" if q.shape == "share_of_capacity" else "instance"])[0] for q in shares}, "query", "int")
+        handed = handed.withColumn("_node", F.get(F.col("by"), F.when(F.col("_own"), at).otherwise(0)))
+        met = Window.partitionBy("cluster_uuid", "step", "query", "_node")
+        joined = handed.withColumn("_whole", F.max(F.when(~F.col("_own"), F.col("x"))).over(met)).filter(F.col("_own") & F.col("_whole").isNotNull())
+        parts.append(joined.withColumn("value", S.divide(F.col("x"), F.col("_whole"))).withColumn("by", own_by(shares)).select(*columns))
+
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part)
+    return S.drop_nan(merged)
 
 
 def evaluate(query: MetricQuery, samples: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Value of one query at every grid step: cluster_uuid, step, grouping labels, value."""
-    return value_of(query, sums([query], samples, series))
+    values = values_of([query], sums([query], samples, series))
+    return values.select("cluster_uuid", "step", *[F.col("by")[i].alias(name) for i, name in enumerate(query.by)], "value")
 
 
 # Grouping labels that are the entity's own identity leave one series per key: nothing can collide.
@@ -233,36 +277,56 @@ def to_points(
     query: MetricQuery, values: DataFrame, aliases: DataFrame | None = None, pods: DataFrame | None = None,
     keep_all: bool = False,
 ) -> DataFrame:
-    """Resolve values to entities and give stored points: entity_uuid, timestamp, category, name, value.
+    """Resolve the values of one query to entities and give stored points: entity_uuid, timestamp, category, name, value."""
+    by = F.array(*[F.coalesce(F.col(name), F.lit("")) for name in query.by]).cast("array<string>")
+    long = values.select("cluster_uuid", "step", F.lit(query.key).alias("query"), by.alias("by"), "value")
+    return points_of([query], long, aliases, pods, keep_all)
+
+
+def points_of(
+    queries: Sequence[MetricQuery], values: DataFrame, aliases: DataFrame | None = None, pods: DataFrame | None = None,
+    keep_all: bool = False,
+) -> DataFrame:
+    """Resolve :func:`values_of` queries of one scope to entities: entity_uuid, timestamp, category, name, value.
 
     Series that fall on the same key keep one value, that of the highest label text; ``keep_all`` puts the label text
     into the name instead.
     """
-    by = list(query.by)
-    if query.scope == "cluster":
-        placed = values.withColumn("entity_uuid", F.col("cluster_uuid"))
-    elif query.scope == "node":
-        for name in ("node", "instance"):
-            if name not in by:
-                values = values.withColumn(name, F.lit(None).cast("string"))
-        placed = lookup_nodes(values, aliases).withColumnRenamed("node_uuid", "entity_uuid")
+    scope, = {q.scope for q in queries}
+
+    def label(name: str) -> Column:
+        return F.get(F.col("by"), _of({q.key: q.by.index(name) for q in queries if name in q.by}, "query", "int"))
+
+    names = _of({q.key: q.by for q in queries if q.by}, "query", "array<string>")
+    parts = F.zip_with(names, F.col("by"), lambda name, value: F.concat(name, F.lit("="), F.coalesce(value, F.lit(""))))
+    text = F.coalesce(F.array_join(parts, ","), F.lit(""))
+    at = _of({q.key: q.by.index(q.name_label) for q in queries if q.name_label}, "query", "int")
+    stored_name = F.coalesce(F.get(F.col("by"), at), text if keep_all else F.lit(""))
+    category = _of({q.key: q.category for q in queries}, "query", "string")
+    rows = values.select("cluster_uuid", "step", category.alias("category"), stored_name.alias("name"), text.alias("_text"), "value",
+                         *[label(name).alias(name) for name in ENTITY_LABELS[scope]])
+    if scope == "cluster":
+        placed = rows.withColumn("entity_uuid", F.col("cluster_uuid"))
+    elif scope == "node":
+        placed = lookup_nodes(rows, aliases).withColumnRenamed("node_uuid", "entity_uuid")
     else:
-        placed = lookup_pods(values, pods).withColumnRenamed("pod_uuid", "entity_uuid")
-        if query.scope == "container":
+        placed = lookup_pods(rows, pods).withColumnRenamed("pod_uuid", "entity_uuid")
+        if scope == "container":
             placed = placed.withColumn("entity_uuid", uuid5(F.col("entity_uuid"), F.col("container")))
-    text = F.concat_ws(",", *[F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit(""))) for name in by]) if by else F.lit("")
-    stored_name = F.coalesce(F.col(query.name_label), F.lit("")) if query.name_label else (text if keep_all else F.lit(""))
-    points = placed.select(
-        "entity_uuid", S.minute_bucket(F.col("step")).alias("timestamp"), F.lit(query.category).alias("category"),
-        stored_name.alias("name"), "value", text.alias("_text"))
     keys = ["entity_uuid", "timestamp", "category", "name"]
-    if (query.scope, query.by) in _ONE_SERIES_PER_ENTITY:
+    points = placed.select(
+        "entity_uuid", S.minute_bucket(F.col("step")).alias("timestamp"), "category", "name", "value", "_text")
+    if all((q.scope, q.by) in _ONE_SERIES_PER_ENTITY for q in queries):
         return points.select(*keys, "value")
     return points.groupBy(*keys).agg(F.max_by("value", "_text").alias("value"))
 
 
+#: Labels that tell a scope's entities.
+ENTITY_LABELS = {"cluster": (), "node": ("node", "instance"), "pod": ("namespace", "pod"), "container": ("namespace", "pod", "container")}
+
+
 def metric_points(
-    scope: str, samples: DataFrame, aliases: DataFrame | None = None, pods: DataFrame | None = None,
+    scope: str, samples: DataFrame | None, aliases: DataFrame | None = None, pods: DataFrame | None = None,
     keep_all: bool = False, series: DataFrame | None = None, found: DataFrame | None = None,
 ) -> DataFrame:
     """All points of one scope, ready to be upserted into its metric table.
@@ -271,8 +335,4 @@ def metric_points(
     """
     queries = [q for q in QUERIES.values() if q.scope == scope]
     found = sums(queries, samples, series) if found is None else found
-    merged = None
-    for query in queries:
-        part = to_points(query, value_of(query, found), aliases, pods, keep_all)
-        merged = part if merged is None else merged.unionByName(part)
-    return merged.withColumnRenamed("entity_uuid", f"{scope}_uuid")
+    return points_of(queries, values_of(queries, found), aliases, pods, keep_all).withColumnRenamed("entity_uuid", f"{scope}_uuid")
