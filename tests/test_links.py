@@ -1,5 +1,6 @@
 """Joins against brute force on small data, and the shape of their plans."""
 
+import json
 import random
 
 import pytest
@@ -106,3 +107,57 @@ def test_unreadable_rule_leaves_alerts_without_rules(spark):
     assert run(("r0", ""), ("old", '{"version":2,"kind":"pod","query":"SELECT 1","args":[]}')).rule_ids == []
     assert run(("r0", ""), ("fails", '{"version":1,"kind":"pod","query":"SELECT 1 FROM missing_table","args":[]}')).rule_ids == []
     assert run(("r0", ""), ("other", '{"version":1,"kind":"node","query":"SELECT 1 FROM missing_table","args":[]}')).rule_ids == ["r0"]
+
+
+def rule(id_, query, *args, kind="pod"):
+    return id_, json.dumps({"version": 1, "kind": kind, "query": query, "args": list(args)})
+
+
+def test_many_rules_of_few_texts(spark):
+    from fleetlens.operators.alerts import match_rules
+    n = 500
+    alerts = spark.createDataFrame([(f"u{i}", "c", "pod") for i in range(40)], "uuid string, cluster_uuid string, kind string")
+    sources = {"obj": spark.createDataFrame([(f"u{i}", f"p{i % 7}", i) for i in range(40)], "uuid string, phase string, size int")}
+    spark.createDataFrame([(1,)], "mine int").createOrReplaceTempView("obj")
+    texts = [f"SELECT 1 FROM obj WHERE uuid = ? AND phase = ? AND size >= {i}" for i in range(4)] + ["SELECT size FROM obj o WHERE ? < o.size AND o.uuid = ?"]
+    rows = [rule(f"r{i}-{t}", text, *([":uuid", f"p{i}"] if t < 4 else [str(i), ":uuid"])) for i in range(n) for t, text in enumerate(texts)]
+    rules = spark.createDataFrame(rows, "id string, filter string")
+    got = match_rules(spark, alerts, rules, sources)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") < 40 and "CartesianProduct" not in plan
+    want = {f"u{i}": sorted([f"r{i % 7}-{t}" for t in range(4) if i >= t] + [f"r{k}-4" for k in range(n) if k < i]) for i in range(40)}
+    assert {r.uuid: r.rule_ids for r in got.collect()} == want
+    assert spark.table("obj").columns == ["mine"], "the user's view is as it was"
+
+
+def test_an_argument_that_does_not_fit_leaves_the_other_rules(spark):
+    from fleetlens.operators.alerts import match_rules
+    alerts = spark.createDataFrame([("u", "c", "pod"), ("n", "c", "node")], "uuid string, cluster_uuid string, kind string")
+    sources = {"obj": spark.createDataFrame([("u", 5), ("n", 5)], "uuid string, size int")}
+    rules = spark.createDataFrame([
+        ("all", ""), rule("fits", "SELECT 1 FROM obj WHERE uuid = ? AND size = ?", ":uuid", "5"),
+        rule("bad", "SELECT 1 FROM obj WHERE uuid = ? AND size = ?", ":uuid", "five"), rule("zero", "SELECT 1 FROM obj WHERE uuid = ? AND 1 / (size - 5) > 0", ":uuid"),
+        rule("cast", "SELECT 1 FROM obj WHERE uuid = ? AND CAST(? AS INT) = 5", ":uuid", "x"),
+        rule("few", "SELECT 1 FROM obj WHERE uuid = ? AND size = ?", ":uuid", kind="node")], "id string, filter string")
+    got = {r.kind: r.rule_ids for r in match_rules(spark, alerts, rules, sources).collect()}
+    assert got == {"pod": ["all", "fits"], "node": []}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
+def test_rules_that_change_while_they_are_matched(spark):
+    from fleetlens.operators.alerts import match_current_rules
+    alerts = spark.createDataFrame([("u", "c", "pod")], "uuid string, cluster_uuid string, kind string")
+
+    def changing(times):
+        state = {"reads": 0}
+
+        def rules():
+            state["reads"] += 1
+            version = min(state["reads"] // 2, times)
+            return spark.createDataFrame([(f"r{version}", "")], "id string, filter string"), {}, str(version)
+        return rules
+
+    settled = match_current_rules(spark, alerts, changing(2)).first()
+    assert settled.rules_version == "2" and settled.rule_ids == ["r2"]
+    with pytest.raises(RuntimeError):
+        match_current_rules(spark, alerts, changing(99))

@@ -100,9 +100,16 @@ def test_subscribers_run_after_the_write_and_send_alerts(spark, tmp_path):
         alert_subscriber(str(tmp_path / "alerts"), "https://w")])
     rows = spark.createDataFrame([json.dumps(change(1, "ADDED", "d", "deployment"))], "string").select(
         F.from_json("value", schemas.FEED_SCHEMAS["change"]).alias("c")).select("c.*")
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "alerts").rglob("*")}
     applier(rows, 0)
     assert seen == [("deployment", 1)]
-    sent = spark.read.json(str(tmp_path / "alerts")).first()
+    once = files()
+    applier(rows, 0)
+    assert files() == once and len(seen) == 2, "a repeated batch sends nothing again"
+    next((tmp_path / "alerts").rglob("_SUCCESS")).unlink()
+    applier(rows, 0)
+    assert spark.read.option("recursiveFileLookup", True).json(str(tmp_path / "alerts")).count() == 1, "a batch that was cut off replaces what it left"
+    sent = spark.read.option("recursiveFileLookup", True).json(str(tmp_path / "alerts")).first()
     assert sent.severity == "crit" and sent.name == "ns/d" and sent.url.startswith("https://w/deployment?id=") and sent.tags.resource == "deployment"
 
 
