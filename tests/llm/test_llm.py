@@ -110,7 +110,7 @@ def test_decontamination(spark, docs, none):
     altered = item.split()
     altered[5], altered[20] = "changed", "too"
     more = spark.createDataFrame([(100, words(50, 600) + " " + item + " " + words(50, 800)), (101, " ".join(altered))], "doc_id bigint, text string")
-    found = {r["doc_id"]: [x["item_id"] for x in r["_found"]] for r in op3_decontamination.with_findings(
+    found = {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in op3_decontamination.findings(
         docs.select("doc_id", "text").union(more), bench).collect()}
     assert found[100] == [1] and found[101] == [1] and found[4] == [] and found[7] == []
     assert op3_decontamination.with_findings(none, bench).count() == 0
