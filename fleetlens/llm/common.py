@@ -6,6 +6,7 @@ and the same in every process.
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -91,10 +92,30 @@ def text_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def saved(df: DataFrame) -> DataFrame:
+#: Paths of the tables written inside each open :func:`scratch`.
+_WRITTEN: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that :func:`saved` writes meanwhile, but for those it is told to keep; what is kept has to be
+    written by then, as nothing can be computed from the others afterwards."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _WRITTEN.pop():
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

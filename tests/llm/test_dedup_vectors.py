@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.llm import op11_exact_dedup, op12_whitening, op13_vector_codes
-from fleetlens.llm.common import own_columns
+from fleetlens.llm.common import own_columns, saved, scratch
 from fleetlens.llm.qd import right_directions
 
 DOCS = "doc_id bigint, text string, lang string, _best string, run int, digest string, _n string"
@@ -210,3 +210,13 @@ def test_equal_distances_take_the_first_entry():
     book = np.array([[2], [0], [0], [4]])
     index, distance = op13_vector_codes.nearest(np.array([[1], [3], [0]]), book)
     assert index.tolist() == [0, 0, 1] and distance.tolist() == [1, 1, 0]
+
+
+def test_scratch_tables_go(spark):
+    before = saved(spark.range(3).toDF("a"))
+    with scratch(spark):
+        inner = saved(before.withColumn("b", F.lit(1)))
+        kept = saved(inner, keep=True)
+    assert kept.count() == 3 and before.count() == 3
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        spark.read.parquet(inner.inputFiles()[0] if inner.inputFiles() else "gone").count()
