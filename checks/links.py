@@ -6,15 +6,16 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.normalized import bare_tables, tables
-from checks.registry import check, flat
+from checks.registry import ORACLES, check, flat
 from checks.sql import STATES, eu, ms, u5
-from checks.tables import landing
+from checks.tables import landing, new_store
 from fleetlens.functions.ids import ensure_uuid
 from fleetlens.operators import alerts, links, quality, rollup
+from fleetlens.operators.normalize import normalize
 from fleetlens.sources.readers import read_incidents
 from fleetlens.sources.sinks import emit_alerts
 from fleetlens.sources.tables import Batch
-from fleetlens.streaming.links import update_pairs
+from fleetlens.streaming.links import PairKeeper, update_pairs
 
 
 def pod_labels(spark, sf):
@@ -52,6 +53,26 @@ def service_pods_incr(spark, sf):
     return update_pairs(before, new_pods, new_services, pods, services, deleted_pods(spark, sf))
 
 
+_PAIRED = {"pod": ["pod", "pod_label", "label"], "service": ["service", "service_selector", "selector"]}
+
+
+@check("store_service_pods", ORACLES["service_pods_incr"])
+def store_service_pods(spark, sf):
+    """Half of the pods and services, then the others, the second batch repeated, then deletions; pairs as the keeper stored them."""
+    store = new_store(spark)
+    keeper, deal = PairKeeper(store), F.pmod(F.xxhash64(F.col("meta.uid")), F.lit(2))
+    for i in (0, 1, 1):
+        made = {kind: normalize(kind, raw(spark, sf).filter(deal == i), I.AS_OF) for kind, raw in (("pod", I.bare_pods), ("service", I.services))}
+        with store.transaction(Batch(i, "objects", "check")) as t:
+            for kind, names in _PAIRED.items():
+                for name in names:
+                    t.write_upsert(name, made[kind][name])
+        for kind, names in _PAIRED.items():
+            keeper(kind, {name: made[kind][name] for name in names}, made[kind][kind].select("uuid").limit(0), Batch(i, "changes", "check"))
+    store.cascade_delete("pod", deleted_pods(spark, sf), batch=Batch(2, "objects", "check"))
+    return store.read("service_pod")
+
+
 check("metric_node_lookup", f"""SELECT k.uuid AS node_uuid, c.cpu, c.mode, COUNT(*) AS samples FROM k_counter c JOIN k_node k ON k.cluster_uuid = c.cluster_uuid AND k.name = c.node
  WHERE c.metric <> 'container_cpu_usage_seconds_total' GROUP BY ALL""")(
     lambda spark, sf: links.lookup_nodes(

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 from checks import inputs as I
 from checks.registry import ORACLES, check
 from checks.scalars import tail_sql
-from checks.sql import eu
+from checks.sql import eu, u5
 from checks.tables import landing, new_store
-from fleetlens.functions.ids import ensure_uuid
+from fleetlens.functions.ids import ensure_uuid, uuid5
 from fleetlens.schemas import feed_schema
-from fleetlens.sources.readers import read_changes
+from fleetlens.sources.readers import read_changes, read_logs
+from fleetlens.sources.tables import Batch
 from fleetlens.streaming import changes as C
-from fleetlens.streaming.logs import append_logs
+from fleetlens.streaming.logs import LogKeeper, append_logs, lines_of_containers
 
 
 def change_objects(spark, sf):
@@ -60,8 +61,25 @@ check("deleting_soon", "SELECT uid FROM k_pod WHERE NOT (pkey % 37 = 0 AND creat
     lambda spark, sf: C.not_deleting_soon(I.pods(spark, sf), "1998-01-01 00:00:00").select("meta.uid"))
 
 
-check("scan_logs", "SELECT container_uuid, COUNT(*) AS lines, CAST(SUM(strlen(text)) AS BIGINT) AS bytes FROM k_log WHERE at_s > 5000 GROUP BY container_uuid")(
-    lambda spark, sf: I.logs(spark, sf).filter(F.col("ts") > F.timestamp_seconds(F.lit(5000))).groupBy("container_uuid").agg(
+def log_lines(spark, sf):
+    """Conversation turns as log lines of a pod each; line numbers have wide gaps."""
+    c = I.table(spark, sf, "conversations")
+    return c.select(I.text("conv-", F.col("conv_id")).alias("pod_uid"), F.lit("main").alias("container"),
+                    F.timestamp_seconds(F.col("conv_id") * 1000 + F.col("turn")).alias("ts"),
+                    (F.col("turn") * F.lit(1_000_003)).cast("bigint").alias("seq"), "text", (F.col("turn") >= 2).cast("int").alias("deal"))
+
+
+def landed_logs(spark, sf) -> str:
+    """Lines as Parquet files."""
+    landed = landing(spark, "logs")
+    log_lines(spark, sf).drop("deal").write.parquet(landed)
+    return landed
+
+
+_CONTAINER = u5(eu("'conv-' || conv_id"), "'main'")
+check("scan_logs", f"""SELECT {_CONTAINER} AS container_uuid, COUNT(*) AS lines, CAST(SUM(strlen(text)) AS BIGINT) AS bytes
+ FROM conversations WHERE conv_id * 1000 + turn > 5000 GROUP BY conv_id""")(
+    lambda spark, sf: lines_of_containers(read_logs(spark, landed_logs(spark, sf), since="1970-01-01 01:23:20")).groupBy("container_uuid").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes")))
 
 LOG_SIZE = 400
@@ -80,3 +98,26 @@ def container_logs(spark, sf):
     empty = spark.createDataFrame([], "container_uuid string, logs string, last_update timestamp")
     stored = append_logs(empty, lines.filter("seq < 2"), LOG_SIZE)
     return append_logs(stored, lines.filter("seq >= 2"), LOG_SIZE).select("container_uuid", "logs")
+
+
+def _rounds(where: str) -> str:
+    return f"SELECT conv_id, string_agg(text || chr(10), '' ORDER BY turn) AS t FROM conversations WHERE {where} GROUP BY conv_id"
+
+
+@check("store_logs", f"""
+WITH a AS (SELECT conv_id, {tail_sql('t', LOG_SIZE)} AS s FROM ({_rounds('turn < 2')})), b AS ({_rounds('turn >= 2')}),
+j AS (SELECT conv_id, s, t, COALESCE(s, '') || COALESCE(t, '') AS w FROM a FULL JOIN b USING (conv_id))
+SELECT {_CONTAINER} AS container_uuid, CASE WHEN t IS NULL THEN s ELSE {tail_sql('w', LOG_SIZE)} END AS logs FROM j
+WHERE conv_id % 3 <> 0 AND conv_id % 7 <> 0""")
+def store_logs(spark, sf):
+    """Lines in two batches, the second one repeated, appended to the stored logs of started containers; then some pods go."""
+    store, lines = new_store(spark), log_lines(spark, sf)
+    number = F.regexp_extract("pod_uid", "([0-9]+)$", 1).cast("bigint")
+    pods = lines.select("pod_uid", number.alias("number"), ensure_uuid(F.col("pod_uid")).alias("pod_uuid")).distinct()
+    store.write_upsert("container", pods.select(uuid5(F.col("pod_uuid"), F.lit("main")).alias("uuid"), "pod_uuid", (F.col("number") % 3 != 0).alias("started")))
+    store.write_upsert("pod", pods.select(F.col("pod_uuid").alias("uuid")))
+    keeper = LogKeeper(store, LOG_SIZE, writer="check")
+    for i in (0, 1, 1):
+        keeper(lines.filter(F.col("deal") == i).drop("deal"), i)
+    store.cascade_delete("pod", pods.filter("number % 7 = 0").select("pod_uuid"), batch=Batch(2, "pods", "check"))
+    return store.read("container_log").select("container_uuid", "logs")

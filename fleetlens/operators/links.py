@@ -9,6 +9,9 @@ from fleetlens.functions.network import host_of
 from fleetlens.session import shared_folder
 
 
+ENTRY = ["cluster_uuid", "name", "value"]
+
+
 def selector_entries(services: DataFrame) -> DataFrame:
     """(cluster_uuid, service_uuid, namespace, selector map) -> one anchor candidate per selector entry."""
     return services.select(
@@ -16,40 +19,59 @@ def selector_entries(services: DataFrame) -> DataFrame:
         F.explode("selector").alias("name", "value"))
 
 
-def service_pods(pods: DataFrame, services: DataFrame, same_namespace: bool = False) -> DataFrame:
-    """Pairs where every selector entry of the service is among the labels of the pod.
+def label_entries(pods: DataFrame) -> DataFrame:
+    """One slim row per label of a pod; the label map itself stays behind."""
+    return pods.select("cluster_uuid", "pod_uuid", F.explode("labels").alias("name", "value"))
 
-    ``pods``: cluster_uuid, pod_uuid, namespace, labels (map); ``services``: cluster_uuid, service_uuid, namespace,
-    selector (map). An empty selector matches nothing.
 
-    Each service is looked up through one entry only, the one the fewest pods carry, by an equality join on (cluster,
-    name, value); the rest of the selector is checked on the joined row. So a label that half of all pods carry is
-    used as join key only by services that select on nothing rarer, and those pairs are all part of the result.
+def selector_anchors(services: DataFrame, entries: DataFrame) -> DataFrame:
+    """The entry by which each service is looked up: the one that the fewest pods carry (``carriers``, also 0).
+
+    ``entries``: cluster_uuid, pod_uuid, name, value. Services that select on nothing have no anchor.
     """
-    entries = selector_entries(services)
-    keys = ["cluster_uuid", "name", "value"]
-    labels = pods.select("cluster_uuid", "pod_uuid", "namespace", "labels", F.explode("labels").alias("name", "value"))
+    wanted = selector_entries(services)
     # Counted before the shuffle on the map side, and only for texts that some selector mentions.
     carried = (
-        labels.select(*keys).join(entries.select(*keys).distinct(), keys, "left_semi")
-        .groupBy(*keys).agg(F.count(F.lit(1)).alias("carriers"))
+        entries.select(*ENTRY).join(wanted.select(*ENTRY).distinct(), ENTRY, "left_semi")
+        .groupBy(*ENTRY).agg(F.count(F.lit(1)).alias("carriers"))
     )
     # An entry no pod carries is dropped by the inner join of its service's other entries: it must stay as count 0.
-    counted = entries.join(carried, keys, "left").withColumn("carriers", F.coalesce("carriers", F.lit(0)))
-    anchors = (
+    counted = wanted.join(carried, ENTRY, "left").withColumn("carriers", F.coalesce("carriers", F.lit(0)))
+    return (
         counted.groupBy("cluster_uuid", "service_uuid", "namespace", "wanted")
         .agg(F.min(F.struct("carriers", "name", "value")).alias("a"))
-        .filter(F.col("a.carriers") > 0)
-        .select("cluster_uuid", "service_uuid", F.col("namespace").alias("service_namespace"), "wanted", "a.name", "a.value")
+        .select("cluster_uuid", "service_uuid", F.col("namespace").alias("service_namespace"), "wanted", "a.*")
     )
-    candidates = labels.join(anchors, keys)
+
+
+def anchored_pairs(pods: DataFrame, anchors: DataFrame, same_namespace: bool = False) -> DataFrame:
+    """Pods that carry a service's anchor, and the rest of its selector too; any entry of it serves as anchor.
+
+    Only slim entries meet the anchors. Label maps join afterwards, to the hits.
+    """
+    hits = label_entries(pods).join(anchors.select(*ENTRY, "service_uuid", "service_namespace", "wanted"), ENTRY).select(
+        "cluster_uuid", "pod_uuid", "service_uuid", "service_namespace", "wanted")
     held = F.forall("wanted", lambda e: F.coalesce(F.try_element_at("labels", e["key"]) == e["value"], F.lit(False)))
-    matched = candidates.filter(held)
+    matched = hits.join(pods.select("cluster_uuid", "pod_uuid", "namespace", "labels"), ["cluster_uuid", "pod_uuid"]).filter(held)
     if same_namespace:
         matched = matched.filter(F.col("namespace") == F.col("service_namespace"))
     return matched.select("service_uuid", "pod_uuid")
 
 
+def service_pods(pods: DataFrame, services: DataFrame, same_namespace: bool = False) -> DataFrame:
+    """Pairs where every selector entry of the service is among the labels of the pod.
+
+    ``pods``: cluster_uuid, pod_uuid, namespace, labels (map), one row per pod; ``services``: cluster_uuid, service_uuid,
+    namespace, selector (map). An empty selector matches nothing.
+
+    Each service is looked up through one entry only, the one the fewest pods carry, by an equality join on (cluster,
+    name, value); the rest of the selector is checked on the joined row. So a label that half of all pods carry is
+    used as join key only by services that select on nothing rarer, and those pairs are all part of the result.
+    """
+    anchors = selector_anchors(services, label_entries(pods)).filter(F.col("carriers") > 0)
+    return anchored_pairs(pods, anchors, same_namespace)
+
+
 def remove_pods(pairs: DataFrame, deleted: DataFrame) -> DataFrame:
     return pairs.join(deleted.select("pod_uuid").distinct(), "pod_uuid", "left_anti").select(*pairs.columns)
 

@@ -170,6 +170,7 @@ TABLE_KEYS = {
     "pod_pvc": ["pod_uuid", "volume_name", "claim_name"],
     "pod_volume": ["pod_uuid", "volume_name"],
     "service_pod": ["service_uuid", "pod_uuid"],
+    "service_anchor": ["service_uuid"],
     "service_port": ["service_uuid", "name"],
     "service_selector": ["service_uuid", "selector_uuid"],
     "favorite": ["resource_uuid", "username"],

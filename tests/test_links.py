@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.operators import links, quality, rollup
-from fleetlens.streaming.links import update_pairs
+from fleetlens.sources.tables import Batch, TableStore
+from fleetlens.streaming.links import PairKeeper, update_pairs
 
 
 def plan(df):
@@ -59,6 +60,49 @@ def test_label_change_keeps_old_pair_unless_reconciled(spark):
     assert update_pairs(pairs, now, service.limit(0), now, service, none, reconcile=True).count() == 0
 
 
+def test_stored_pairs_follow_both_sides(spark, tmp_path):
+    """Pods and services come, change and go in several batches, each one called twice; the stored pairs equal brute force."""
+    store = TableStore(spark, str(tmp_path / "store"))
+    keeper = PairKeeper(store, reconcile=True)
+    pod_schema, service_schema = "uuid string, cluster_uuid string, namespace string", "uuid string, cluster_uuid string, namespace string, resource_version string"
+    entry = "uuid string, name string, value string"
+    pods, services = {}, {}
+
+    def rows(kind, changed, version, i):
+        schema, link, noun = (pod_schema, "pod_label", "label") if kind == "pod" else (service_schema, "service_selector", "selector")
+        own = [(u, "c", "n") + (() if kind == "pod" else (version,)) for u in changed]
+        entries = [(f"{u}/{k}={v}", u, k, v) for u, held in changed.items() for k, v in held.items()]
+        tables = {kind: spark.createDataFrame(own, schema), noun: spark.createDataFrame([(e, k, v) for e, _, k, v in entries], entry),
+                  link: spark.createDataFrame([(u, e) for e, u, _, _ in entries], f"{kind}_uuid string, {noun}_uuid string")}
+        with store.transaction(Batch(i, kind, "test")) as t:
+            t.remove(tables[kind].select("uuid"), [(link, (f"{kind}_uuid",))])
+            for name, df in tables.items():
+                t.write_upsert(name, df)
+        return tables
+
+    steps = [({"p1": {"app": "a"}, "p2": {"app": "a", "tier": "x"}}, {}),
+             ({"p3": {"app": "b"}}, {"s1": {"app": "a"}, "s2": {"app": "a", "tier": "x"}, "s0": {}}),
+             ({"p1": {"app": "b"}, "p4": {"app": "a", "tier": "x", "more": "z"}}, {"s1": {"app": "b"}}),
+             ({"p2": {"app": "a"}}, {"s2": {"tier": "x"}, "s3": {"app": "none"}})]
+    none = spark.createDataFrame([], "uuid string")
+    for i, (new_pods, new_services) in enumerate(steps):
+        pods |= new_pods
+        services |= new_services
+        made = {kind: rows(kind, changed, str(i), i) for kind, changed in (("pod", new_pods), ("service", new_services)) if changed}
+        for _ in range(2):
+            for kind, tables in made.items():
+                keeper(kind, tables, none, Batch(i, "changes", "test"))
+        stored = store.read("service_pod")
+        got = [] if stored is None else [tuple(r) for r in stored.select("service_uuid", "pod_uuid").collect()]
+        want = {(s, p) for s, wanted in services.items() for p, held in pods.items() if wanted and wanted.items() <= held.items()}
+        assert sorted(got) == sorted(want), i
+    gone = spark.createDataFrame([("s2",)], "uuid string")
+    store.cascade_delete("service", gone)
+    keeper("service", {}, gone, Batch(9, "changes", "test"))
+    assert {r.service_uuid for r in store.read("service_anchor").collect()} == {"s1", "s3"}
+    assert "s2" not in {r.service_uuid for r in store.read("service_pod").collect()}
+
+
 def test_node_lookup(spark):
     nodes = spark.sql("""SELECT 'c' cluster_uuid, 'u1' uuid, named_struct('name', 'n1') meta,
       named_struct('addresses', array(named_struct('type', 'InternalIP', 'address', '10.0.0.1'), named_struct('type', 'ExternalIP', 'address', '8.8.8.8'))) status""")

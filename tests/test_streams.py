@@ -17,7 +17,7 @@ from fleetlens.sources.tables import TableStore
 from fleetlens.streaming.alerts import alert_subscriber
 from fleetlens.streaming.changes import ChangeApplier, not_deleting_soon, reconcile, run_changes
 from fleetlens.streaming.links import label_maps
-from fleetlens.streaming.logs import append_logs, started_only
+from fleetlens.streaming.logs import LogKeeper, append_logs, lines_of_containers, started_only
 from fleetlens.streaming.metrics import MetricPoller
 
 NOW = dt.datetime(2024, 1, 1, 12)
@@ -123,6 +123,32 @@ def test_reconcile(spark, tmp_path):
     assert {r.uid for r in store.read("config_map").collect()} == {"u1"}
 
 
+def test_stored_logs_over_batches(spark, tmp_path):
+    """Numbers with gaps and repeats, a repeated batch, containers that have not started, a deleted pod, an empty batch."""
+    store = TableStore(spark, str(tmp_path / "store"))
+    names = {(p, c): None for p in ("p1", "p2", "p3") for c in ("a", "b")}
+    found = lines_of_containers(spark.createDataFrame([(p, c, NOW, 0, "") for p, c in names], schemas.FEED_SCHEMAS["log_line"])).collect()
+    ids = dict(zip(names, [(r.container_uuid, r.pod_uuid) for r in found]))
+    store.write_upsert("container", spark.createDataFrame(
+        [(*ids[k], k != ("p2", "b")) for k in names], "uuid string, pod_uuid string, started boolean"))
+    store.write_upsert("pod", spark.createDataFrame([(x,) for x in {p for _, p in ids.values()}], "uuid string"))
+    rnd = random.Random(5)
+    batches = [[(p, c, NOW + dt.timedelta(seconds=i), rnd.randrange(5) * 10**15 + b * 10**17, rnd.choice(["é" * rnd.randrange(9), "plain", "", None]))
+                for p, c in rnd.choices(list(names), [9, 1, 1, 1, 1, 1], k=n) for i in [rnd.randrange(n)]] for b, n in enumerate((400, 60, 0, 90))]
+    keeper, want = LogKeeper(store, 90, writer="test"), dict.fromkeys(names)
+    for b, lines in enumerate(batches):
+        df = spark.createDataFrame(lines, schemas.FEED_SCHEMAS["log_line"]).repartition(3)
+        keeper(df, b)
+        keeper(df, b)
+        for p, c, _, _, text in sorted(lines, key=lambda x: (x[3], x[2], (x[4] or "") + "\n")):
+            want[p, c] = (want[p, c] or "") + (text or "") + "\n"
+    whole = spark.createDataFrame([(ids[k][0], t) for k, t in want.items() if k != ("p2", "b") and t], "c string, t string")
+    expected = {r.c: r.t for r in whole.select("c", log_tail(F.col("t"), 90).alias("t")).collect()}
+    assert {r.container_uuid: r.logs for r in store.read("container_log").collect()} == expected
+    store.cascade_delete("pod", spark.createDataFrame([(ids["p1", "a"][1],)], "uuid string"))
+    assert {r.pod_uuid for r in store.read("container_log").collect()} == {ids["p2", "a"][1], ids["p3", "a"][1]}
+
+
 def test_logs_equal_plain_concatenation(spark):
     rnd = random.Random(3)
     lines = [(c, i, dt.datetime(2024, 1, 1), rnd.choice(["é" * rnd.randrange(9), "plain", "", None])) for c in ("hot", "cold") for i in range(6000 if c == "hot" else 3)]
