@@ -15,12 +15,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fleetlens.llm.common import arrow_map, own_columns, pinned, table
+from fleetlens.llm.common import arrow_map, carried, field, own_columns, pinned, table
 from fleetlens.llm.registry import query
 
 SHARDS = 24
@@ -35,13 +34,11 @@ def layout(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
     parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["doc_id", "text_hash", "size"]
-    slim = pinned(slim.repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
+    # The number of a row's range is kept with the row: a caller's coalesce puts several ranges into one task.
+    slim = pinned(slim.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields if f.name != "part")
 
-    def with_part(df: DataFrame) -> DataFrame:
-        return df.withColumn("part", F.spark_partition_id())
-
-    totals = {r["part"]: (r["bytes"], r["rows"]) for r in with_part(slim).groupBy("part").agg(
+    totals = {r["part"]: (r["bytes"], r["rows"]) for r in slim.groupBy("part").agg(
         F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()}
     last = max(totals, default=-1) + 1
     starts = [0, *accumulate(totals.get(p, (0, 0))[0] for p in range(last))]
@@ -49,15 +46,19 @@ def layout(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     whole = starts[-1]
 
     def placed():
-        part = TaskContext.get().partitionId()
-        at = {"bytes": starts[min(part, last)], "rows": firsts[min(part, last)]}
+        at: dict[int, tuple[int, int]] = {}  # bytes and rows so far, by range
 
         def step(batch: pa.RecordBatch) -> dict:
-            size = batch.column("size").to_numpy()
-            ends = np.cumsum(size) + at["bytes"]
+            size, part = batch.column("size").to_numpy(), batch.column("part").to_numpy()
+            ends, place = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
+            edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            for i, j in zip(edges, edges[1:]):  # rows of one range follow each other
+                p = int(part[i])
+                done, rows = at.get(p, (starts[p], firsts[p]))
+                ends[i:j] = np.cumsum(size[i:j]) + done
+                place[i:j] = rows + np.arange(j - i)
+                at[p] = int(ends[j - 1]), rows + int(j - i)
             shard = ((2 * ends - size) * shards) // (2 * whole)
-            place = at["rows"] + np.arange(len(size))
-            at["bytes"], at["rows"] = int(ends[-1]), int(place[-1]) + 1
             return {n: batch.column(n) for n in batch.schema.names} | {"shard": shard.astype(np.int32), "place": place}
         return step
 
@@ -70,18 +71,21 @@ def layout(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot`` (columns of these names are replaced). Texts are shuffled once.
 
-    Rows equal in id and text share the run of places found for them and are numbered inside it.
+    Rows equal in id and text share the run of places found for them and are numbered inside it. All columns of the
+    caller travel as one struct, so whatever they are called they come back as they were.
     """
     docs = docs.drop("shard", "slot")
     runs = layout(docs, shards).groupBy("doc_id", "text_hash").agg(
-        F.sort_array(F.collect_list(F.struct("place", "shard", "slot"))).alias("_places"))
-    right = runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_places")
-    left = docs.withColumn("_text_hash", F.xxhash64("text"))
-    numbered = left.withColumn("_n", F.row_number().over(
-        Window.partitionBy("doc_id", "_text_hash").orderBy(F.lit(0))))
-    joined = numbered.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")))
-    place = F.element_at("_places", F.col("_n"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], place["shard"].alias("shard"), place["slot"].alias("slot"))
+        F.sort_array(F.collect_list(F.struct("place", "shard", "slot"))).alias("places"))
+    right = runs.select(F.col("doc_id").alias("right_id"), F.col("text_hash").alias("right_hash"), "places")
+    rows = carried(docs)
+    left = rows.select("given", field(docs, "doc_id"), F.xxhash64(field(docs, "text")).alias("text_hash"))
+    numbered = left.withColumn("number", F.row_number().over(
+        Window.partitionBy("doc_id", "text_hash").orderBy(F.lit(0))))
+    joined = numbered.join(right, F.col("doc_id").eqNullSafe(F.col("right_id")) & (F.col("text_hash") == F.col("right_hash")))
+    place = F.element_at("places", F.col("number"))
+    marks = [f"c{i}" for i in range(len(docs.columns))]
+    return joined.select(*[F.col(f"given.{m}") for m in marks], place["shard"], place["slot"]).toDF(*docs.columns, "shard", "slot")
 
 
 @query("op2_sharding")
