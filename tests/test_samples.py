@@ -101,3 +101,29 @@ def test_catalogue_is_complete():
 def test_one_shuffle_of_raw_samples(spark):
     plan = S.counter_rate(frame(spark, [("m", {}, 0, 1)]), 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan and "NestedLoop" not in plan
+
+
+def test_sums_keep_a_value_in_one_row_for_all_its_minutes(spark):
+    """A value travels as a span: one row per block of minutes, also over the end of a block and for two spans of one sum."""
+    who = {"node": "n", "namespace": "ns", "pod": "p", "container": "c", "resource": "cpu"}
+    start = 60 * (60 - BASE // 60 % 60) - 120  # two minutes before a block ends
+    rows = [("kube_pod_container_resource_requests", who, start, 2), ("kube_pod_container_resource_requests", {**who, "container": "d"}, start + 120, 1),
+            ("machine_cpu_cores", {"node": "n"}, start, 4), ("machine_cpu_cores", {"node": "n"}, start + 180, 0)]
+    query = M.QUERIES["m_pod_cpu_request_percentage"]
+    found = M.sums([query], frame(spark, rows))
+    assert found.filter(F.size("by") == 3).count() == 2 and found.filter(F.size("by") == 1).count() == 2
+    points = M.evaluate(query, frame(spark, rows)).select("pod", F.inline("points")).collect()
+    # the second container joins after two minutes, the first one leaves after five; then a node without cores
+    assert {r.minute - (BASE + start) // 60: r.value for r in points} == {0: 0.5, 1: 0.5, 2: 0.75, 3: float("inf"), 4: float("inf"), 5: float("inf"), 6: float("inf")}
+    pods = spark.createDataFrame([("c", "ns", "p", "u")], "cluster_uuid string, namespace string, name string, uuid string")
+    got = M.to_points(query, M.evaluate(query, frame(spark, rows)), pods=pods)
+    assert {(seconds(r.timestamp) - start) / 60: r.value for r in got.collect()} == {r.minute - (BASE + start) / 60: r.value for r in points}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(entity_uuid" in plan and "timestamp" not in plan.split("hashpartitioning(entity_uuid")[1].split(")")[0]
+
+
+def test_containers_are_dealt_before_their_specifications_are_made(spark):
+    from checks import inputs as I
+
+    plan = I.pods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "img/" in plan.split("RepartitionByExpression")[0] and "img/" not in plan.split("RepartitionByExpression")[1]
