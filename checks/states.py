@@ -136,5 +136,5 @@ def state_summary(spark, sf):
 
 check("container_union", """SELECT sort, COUNT(*) AS containers, COUNT(DISTINCT pod_uuid) AS pods FROM k_placed_container GROUP BY sort""")(
     lambda spark, sf: rollup.union_containers({
-        sort: df for sort, df in zip(("main", "sidecar", "init"), N.container_tables(I.objects(spark, sf, "pod")).values())
+        sort: df for sort, df in zip(("main", "sidecar", "init"), N.container_tables(N.with_meta(I.landed_pods(spark, sf))).values())
     }).groupBy("sort").agg(F.count(F.lit(1)).alias("containers"), F.count_distinct("pod_uuid").alias("pods")))
