@@ -35,3 +35,14 @@ def test_registry(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 170
     assert entry.entry(spark).count() > 0
+
+
+def test_resources_are_read_without_verdicts(spark):
+    text = entry.queries()["pod_resources"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "back-off" not in text.split("RepartitionByExpression")[0].split("collect_list")[0] and "is running" not in text
+
+
+def test_tables_of_pods_read_landed_files(spark):
+    for key in ("container_union", "cascade_counts"):
+        text = entry.queries()[key](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" in text and "l_orderkey" not in text and "Window" not in text, key
