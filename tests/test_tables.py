@@ -289,3 +289,14 @@ def test_fan_out_and_counts(spark, tmp_path):
 
 def test_every_table_has_a_key():
     assert all(schemas.TABLE_KEYS.values()) and len(schemas.TABLE_KEYS) >= 97
+
+
+def test_cascade_deals_no_rows_whose_keys_differ(spark, store, monkeypatch):
+    """Unique keys are written as they are; an object that comes twice is settled as before. Staged files do not stay."""
+    dealt, whole = [], T.merge.dedup_last
+    monkeypatch.setattr(T.merge, "dedup_last", lambda *a: dealt.append(a[1]) or whole(*a))
+    given = store.cascade_upsert("pod", pods(spark, "p1", "p2"), "2024-01-01")
+    assert not dealt and store.read("pod").count() == 2 and given["pod"].count() == 2
+    store.cascade_upsert("pod", pods(spark, "p3").union(pods(spark, "p3")), "2024-01-01")
+    assert dealt and store.read("pod").count() == 3 and store.read("container").count() == given["container"].count() * 3 // 2
+    assert not list(Path(store.root, "staged").glob("*"))
