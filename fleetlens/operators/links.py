@@ -91,13 +91,17 @@ def lookup_nodes(points: DataFrame, aliases: DataFrame) -> DataFrame:
     """Add ``node_uuid`` by the ``node`` label, else by the host part of ``instance``; unknown nodes drop the row."""
     node, instance = F.coalesce("node", F.lit("")), F.coalesce("instance", F.lit(""))
     alias = F.when(node != "", node).otherwise(host_of(instance))
-    return points.withColumn("alias", alias).join(aliases, ["cluster_uuid", "alias"]).drop("alias")
+    # Sides are sorted by their first key: names tell more rows apart than clusters do.
+    found = points.withColumn("alias", alias).join(aliases, ["alias", "cluster_uuid"])
+    return found.select("cluster_uuid", *[c for c in found.columns if c not in ("alias", "cluster_uuid")])
 
 
 def lookup_pods(points: DataFrame, pods: DataFrame) -> DataFrame:
     """Add ``pod_uuid`` by (cluster, namespace, pod); no pod label or an unknown pod drops the row."""
     known = pods.select("cluster_uuid", "namespace", F.col("name").alias("pod"), F.col("uuid").alias("pod_uuid"))
-    return points.filter(F.coalesce("pod", F.lit("")) != "").join(known, ["cluster_uuid", "namespace", "pod"])
+    key = ["pod", "namespace", "cluster_uuid"]
+    found = points.filter(F.coalesce("pod", F.lit("")) != "").join(known, key)
+    return found.select(*reversed(key), *[c for c in found.columns if c not in key])
 
 
 def stale_keys(warmed: DataFrame, current: DataFrame) -> DataFrame:

@@ -122,7 +122,8 @@ def series_spans(
     """
     counter = F.col("metric").isin(list(counters)) if counters else F.lit(False)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    key = ["cluster_uuid", "series_id"]
+    # The id leads: rows are sorted by the first bytes of their key, and those of a cluster's uuid tell few rows apart.
+    key = ["series_id", "cluster_uuid"]
     names = [label_column(name) for name in labels]
     if series is None:
         carried = names
@@ -130,21 +131,29 @@ def series_spans(
     else:
         carried, tagged = [], samples.select(*key, "metric", "ts", "value")
     dealt = tagged.select(*key, "metric", *carried, _minute_index(F.col("ts")).alias("slice"), t.alias("t"), "value").repartition(*key)
-    found = [F.max(F.struct("t", "value")).alias("_newest")] if gauges else []
+    history = Window.partitionBy(*key, "metric").orderBy("slice")
+    longest = max(windows, default=1)
+    columns = [*key, *names, "metric", "slice"]
     if counters:
+        found = [F.max(F.struct("t", "value")).alias("_newest")] if gauges else []
         points = F.collect_set(F.when(counter, F.struct(F.col("t"), F.col("value").alias("v"))))
         found.append(F.array_sort(points).alias("_points"))
-    slices = dealt.groupBy(*key, "metric", "slice", *carried).agg(*found)
+        slices = dealt.groupBy(*key, "metric", "slice", *carried).agg(*found)
+    else:
+        # In the order of time the newest of a slice is what another slice, or nothing, follows.
+        order = Window.partitionBy(*key, "metric").orderBy("slice", "t", "value")
+        followed = F.lead(F.lit(True)).over(order).alias("_followed")
+        slices = dealt.select("*", F.lead("slice").over(order).alias("_next"), followed).filter(
+            F.col("_followed").isNull() | ~F.col("_next").eqNullSafe(F.col("slice")))
     if series is not None:
         slices = slices.join(series.select(*key, *_labelled(labels)), key)
-    history = Window.partitionBy(*key, "metric").orderBy("slice")
-    longest = max(windows, default=1)
-    columns = [*key, *names, "metric", "slice", F.lead("slice").over(history).alias("_next")]
-    if gauges:
-        columns.append(F.col("_newest.value").alias("_value"))
     if counters:
         slices = slices.withColumn("_part", F.when(counter, _part()))
-        columns.append(F.collect_list("_part").over(history.rowsBetween(1 - longest, 0)).alias("_parts"))
+        columns += [F.lead("slice").over(history).alias("_next"), F.collect_list("_part").over(history.rowsBetween(1 - longest, 0)).alias("_parts")]
+        if gauges:
+            columns.append(F.col("_newest.value").alias("_value"))
+    else:
+        columns += ["_next", F.col("value").alias("_value")]
     seen = F.when(counter, F.lit(longest)).otherwise(F.lit(lookback_minutes)) if counters and gauges else F.lit(longest if counters else lookback_minutes)
     spans = slices.select(*columns).withColumn("_until", F.least(F.col("slice") + seen - 1, F.col("_next") - 1))
     whole = F.struct(F.col("slice").alias("first"), F.col("_until").alias("last"))
@@ -156,7 +165,7 @@ def series_spans(
     spans = spans.withColumn("_minute", F.col("last"))
     value = [F.when(~counter, F.col("_value")).alias("value")] if gauges else []
     rates = [F.when(counter, _rate(w)).alias(f"rate{w}") for w in windows] if counters else []
-    return spans.select(*key, *names, "metric", "first", "last", *value, *rates)
+    return spans.select("cluster_uuid", "series_id", *names, "metric", "first", "last", *value, *rates)
 
 
 def minutes_of(first: str = "first", last: str = "last") -> Column:

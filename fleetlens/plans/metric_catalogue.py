@@ -170,7 +170,7 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
     if pairs:
         # Both metrics of a pair meet in the partition their series is in.
         family = F.coalesce(*[F.when(F.col("metric") == other, F.lit(metric)) for other, metric in pairs.items()], F.col("metric"))
-        spans = spans.groupBy("cluster_uuid", "series_id", *map(S.label_column, names), family.alias("metric"), "first", "last").agg(
+        spans = spans.groupBy("series_id", "cluster_uuid", *map(S.label_column, names), family.alias("metric"), "first", "last").agg(
             F.max(F.when(~second, F.col("value"))).alias("value"), F.max(F.when(second, F.col("value"))).alias("other"),
             *[F.max(r).alias(r) for r in rates])
 
@@ -200,13 +200,19 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
     places = {sums_of(q)[part].key: sums_of(q)[part].by.index(node) for q in queries if q.shape in SHARES for part, node in enumerate((MET_BY[q.shape], "node"))}
     meet = F.get(F.col("by"), _of(places, "sums", "int", "bigint"))
     dealt = handed.withColumn("meet", F.coalesce(meet, F.array_join("by", "\u001f"), F.lit(""))).repartition("cluster_uuid", "meet")
-    key = ["cluster_uuid", "meet", "sums", "by"]
+    # A hash of the key leads it, so that sorting seldom compares texts.
+    dealt = dealt.withColumn("_hash", F.xxhash64("cluster_uuid", "sums", "by"))
+    key = ["_hash", "cluster_uuid", "meet", "sums", "by"]
     # Equal spans first: what is left of a block is bounded by its minutes, and becomes minutes inside one row.
     spans = dealt.groupBy(*key, "first", "last").agg(F.sum("x").alias("x"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     pieces = spans.withColumn("block", F.explode(F.sequence(block_of(F.col("first")), block_of(F.col("last")), F.lit(BLOCK).cast("bigint"))))
-    gathered = pieces.groupBy(*key, "block").agg(F.collect_list(F.struct(
-        F.greatest("first", "block").alias("first"), F.least("last", F.col("block") + BLOCK - 1).alias("last"), "x", "total", "n")).alias("_spans"))
-    return gathered.select(*key, "block", _added(F.col("_spans")).alias("points"))
+    # By a window, which sorts once and keeps the spans as they are; an aggregate would sort and copy them twice.
+    of_block = Window.partitionBy(*key, "block").orderBy("first", "last")
+    span = F.struct(F.greatest("first", "block").alias("first"), F.least("last", F.col("block") + BLOCK - 1).alias("last"), "x", "total", "n")
+    gathered = pieces.select(
+        *key, "block", F.collect_list(span).over(of_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_spans"),
+        F.row_number().over(of_block).alias("_place")).filter("_place = 1")
+    return gathered.select(*key[1:], "block", _added(F.col("_spans")).alias("points"))
 
 
 def _added(spans: Column) -> Column:
@@ -225,7 +231,11 @@ def _added(spans: Column) -> Column:
             a["minute"].alias("minute"), add(a["x"], s["x"]).alias("x"), add(a["total"], s["total"]).alias("total"), (a["n"] + s["n"]).alias("n")))
 
     minutes = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["first"], s["last"]))))
-    return F.when(F.size(spans) == 1, of_one(F.element_at(spans, 1))).otherwise(F.transform(minutes, of_minute))
+    # Spans that share no minute need no adding: as many minutes as the spans are long.
+    length = F.aggregate(spans, F.lit(0).cast("bigint"), lambda n, s: n + s["last"] - s["first"] + 1)
+    several = F.transform(F.array(minutes), lambda found: F.when(
+        F.size(found) == length, F.flatten(F.transform(spans, of_one))).otherwise(F.transform(found, of_minute)))[0]
+    return F.when(F.size(spans) == 1, of_one(F.element_at(spans, 1))).otherwise(several)
 
 
 #: Labels that leave few series to a sum: adding on the map side first would hardly make fewer rows.
@@ -373,7 +383,9 @@ def points_of(
     if not single:
         # Blocks are dealt by entity, and their points are grouped where they are.
         placed = placed.repartition("entity_uuid", "block")
-    points = placed.select("entity_uuid", "category", "name", "block", "_text", F.inline("points")).withColumn("timestamp", S.minute_time(F.col("minute")))
+    # The outer form, as Spark tests what an inner one takes apart beforehand and so makes all points twice.
+    rows = placed.select("entity_uuid", "category", "name", "block", "_text", F.inline_outer("points")).filter(F.col("minute").isNotNull())
+    points = rows.withColumn("timestamp", S.minute_time(F.col("minute")))
     if single:
         return points.select(*keys, "value")
     return points.groupBy(*keys, "block").agg(F.max_by("value", "_text").alias("value")).select(*keys, "value")

@@ -127,3 +127,29 @@ def test_containers_are_dealt_before_their_specifications_are_made(spark):
 
     plan = I.pods(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "img/" in plan.split("RepartitionByExpression")[0] and "img/" not in plan.split("RepartitionByExpression")[1]
+
+
+def test_gauges_are_sorted_once_and_points_are_made_once(spark):
+    """Newest values follow from one window, spans of a block from another; no test of the points runs before they are taken apart."""
+    query = M.QUERIES["m_pod_cpu_limit"]
+    labels = {"node": "n", "namespace": "s", "pod": "p", "resource": "cpu"}
+    rows = [(query.metric, {**labels, "container": c}, s, v) for c, s, v in (
+        ("a", 10, 1), ("a", 10, 4), ("a", 5, 9), ("a", 130, 2), ("b", 70, 8), ("b", 130, 16))]
+    df = frame(spark, rows)
+    found = M.sums([query], df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    pods = spark.createDataFrame([("c", "s", "p", "u")], "cluster_uuid string, namespace string, name string, uuid string")
+    points = M.to_points(query, M.evaluate(query, df), None, pods)
+    assert "size(filter(transform" not in points._jdf.queryExecution().optimizedPlan().toString()
+    # containers added up: the first is seen from minute 1, the second from minute 2, both anew from minute 3
+    assert {seconds(r.timestamp) / 60: r.value for r in points.collect()} == {1: 4.0, 2: 12.0, **{m: 18.0 for m in range(3, 8)}}
+
+
+def test_a_null_value_or_label_map_keeps_its_place(spark):
+    """Of values at one instant a NULL is the least; a series without labels is one series."""
+    df = spark.createDataFrame([("c", "g", None, at(5), 3.0), ("c", "g", None, at(5), None), ("c", "g", None, at(50), None),
+                                ("c", "g", None, at(70), 7.0), ("c", "g", None, None, 1.0)], SCHEMA)
+    spans = S.series_spans(df, (), ["g"]).filter("first IS NOT NULL").collect()
+    minute = BASE // 60
+    assert sorted((r.first - minute, r.last - minute, r.value) for r in spans) == [(1, 1, None), (2, 6, 7.0)]
