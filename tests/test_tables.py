@@ -300,3 +300,16 @@ def test_cascade_deals_no_rows_whose_keys_differ(spark, store, monkeypatch):
     store.cascade_upsert("pod", pods(spark, "p3").union(pods(spark, "p3")), "2024-01-01")
     assert dealt and store.read("pod").count() == 3 and store.read("container").count() == given["container"].count() * 3 // 2
     assert not list(Path(store.root, "staged").glob("*"))
+
+
+def test_the_rows_of_one_write_are_not_dealt_by_key(spark, store):
+    """One write beside the base holds each key once already; only a second one can hold it again."""
+    def plan():
+        return store.read("label")._jdf.queryExecution().executedPlan().toString()
+
+    store.write_upsert("label", labels(spark, ("a", "n", "1"), ("b", "n", "1"), (None, "n", "1")))
+    store.write_upsert("label", labels(spark, ("b", "n", "2"), ("c", "n", "1"), ("c", "n", "3"), (None, "n", "2")))
+    assert "Window" not in plan()
+    assert sorted((tuple(r) for r in store.read("label").collect()), key=str) == [("a", "n", "1"), ("b", "n", "2"), ("c", "n", "3"), (None, "n", "2")]
+    store.write_upsert("label", labels(spark, ("c", "n", "4")))
+    assert "Window" in plan() and ("c", "n", "4") in store.read("label").collect()
