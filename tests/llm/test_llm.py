@@ -5,6 +5,7 @@ import collections
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +126,22 @@ def test_decontamination(spark, docs, none):
     assert op3_decontamination.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_finder_takes_short_texts_together():
+    op3 = op3_decontamination
+    rng = np.random.default_rng(2)
+    items = [op3.Item(i, words(20 + 15 * i, 100 * i)) for i in range(4)]
+    finder = op3.Finder(items, rng.standard_normal((op3.TERMS, op3.RANK)).astype(np.float32), np.ones(op3.TERMS, np.float32))
+    texts = [op3.hashes_of_words(words(n, start).split()) for n, start in
+             [(30, 0), (0, 0), (1, 3), (90, 180), (op3.CHUNK, 7), (2 * op3.CHUNK + 5, 300), (3, 9), (70, 290)]]
+    together = [collections.Counter() for _ in texts]
+    for number, first, last, item, cosine in finder.candidates(texts):
+        together[number][first, last, item.id, round(cosine, 3)] += 1
+    assert together == [collections.Counter((*x[1:3], x[3].id, round(x[4], 3)) for x in finder.candidates([t])) for t in texts]
+    assert finder.find(texts) and [[x[0] for x in f] for f in finder.find(texts)] == [[x[0] for x in finder.find([t])[0]] for t in texts]
+    assert len(list(finder.pieces([t for t in texts if len(t) < 100] * 40))) < 4
+    assert finder.find([]) == [] and op3.Finder([], finder.vectors[:-1], np.ones(op3.TERMS, np.float32)).find(texts) == [[]] * len(texts)
+
+
 def test_licenses(spark, none):
     scan = {r["doc_id"]: r for r in op4_licenses.scan_licenses(spark.createDataFrame([
         (1, words(30) + "\nReleased under the MIT License.\n" + words(5)), (2, None), (3, ""), (4, words(200)),
