@@ -4,6 +4,7 @@ rows, extra columns, no rows at all."""
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -126,6 +127,18 @@ def test_decontamination(spark, docs, none):
     assert op3_decontamination.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_basis_is_decomposed_in_little_memory():
+    basis = np.random.default_rng(1).standard_normal((op3_decontamination.TERMS, 96), np.float32) * np.logspace(0, -3, 96, dtype=np.float32)
+    q = basis.copy()
+    tracemalloc.start()
+    try:
+        r = op3_decontamination.orthonormal(q)
+        assert tracemalloc.get_traced_memory()[1] < basis.nbytes  # one copy of the whole in double precision is twice that
+    finally:
+        tracemalloc.stop()
+    assert np.abs(q @ r - basis).max() < 1e-5 and np.abs(q.T @ q - np.eye(96)).max() < 1e-5
+
+
 def test_finder_takes_short_texts_together():
     op3 = op3_decontamination
     rng = np.random.default_rng(2)
