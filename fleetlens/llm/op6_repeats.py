@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm.blocks import in_block_pairs, over_units
-from fleetlens.llm.common import U64, arrow_map, mixed, own_columns, saved, table
+from fleetlens.llm.common import U64, arrow_map, mixed, own_columns, saved, scratch, table
 from fleetlens.llm.registry import query
 
 LENGTH = 200
@@ -95,6 +95,7 @@ def key_of(text: str | None) -> bytes:
 
 
 def phrase_table(docs: DataFrame) -> DataFrame:
+    """A row per phrase of each text; ``place`` is its first start, with the distances of its anchor and last start in a byte each."""
     def make():
         hasher = Hasher()
 
@@ -107,10 +108,16 @@ def phrase_table(docs: DataFrame) -> DataFrame:
                 keys += [key_of(text)] * len(own[0]) if len(own[0]) else []
             context, phrase, anchor, first, last = (np.concatenate(x) for x in zip(*found))
             return {"context": context.view(np.int64), "phrase": phrase.view(np.int64), "key": keys,
-                    "anchor": anchor.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)}
+                    "place": first << 16 | (anchor - first) << 8 | last - first}
         return step
 
-    return arrow_map(own_columns(docs, "text"), make, "context bigint, phrase bigint, key binary, anchor int, first int, last int")
+    return arrow_map(own_columns(docs, "text"), make, "context bigint, phrase bigint, key binary, place bigint")
+
+
+def in_place(place: Column, name: str) -> Column:
+    """``anchor``, ``first`` or ``last`` of a ``place``."""
+    first, apart = F.shiftright(place, 16), {"anchor": F.shiftright(place, 8), "last": place}
+    return (first + apart[name].bitwiseAND(F.lit(255)) if name in apart else first).cast("int").alias(name)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -162,17 +169,30 @@ def compared(wanted: DataFrame) -> DataFrame:
     return over_units(dealt, work, "key binary, first int, last int")
 
 
+def live_phrases(docs: DataFrame) -> DataFrame:
+    """Stored phrases of the intervals that hold more than one: how often each comes, and how many kinds its interval has."""
+    with scratch(docs.sparkSession):
+        kinds = saved(phrase_table(docs).groupBy("context", "phrase").agg(F.count(F.lit(1)).alias("n")))
+        intervals = kinds.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 OR most > 1")
+        return saved(kinds.join(intervals.hint("merge"), "context").filter("kinds > 1 OR n > 1").select(
+            "context", "phrase", "n", "kinds"), keep=True)
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(key of the text, first, last): runs of starts of strings that also start elsewhere."""
-    rows = phrase_table(docs)
-    kinds = rows.groupBy("context", "phrase").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "anchor", "first", "last")).alias("one"))
-    intervals = kinds.groupBy("context").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).filter("kinds > 1 OR most > 1")
-    live = saved(kinds.join(intervals.hint("merge"), "context").filter("kinds > 1 OR n > 1").select("context", "phrase", "n", "kinds", "one"))
-    whole = rows.join(live.filter("n > 1").select("context", "phrase").hint("merge"), ["context", "phrase"], "left_semi").select(
-        "key", "first", "last")
-    split = live.filter("kinds > 1").groupBy("one.key").agg(F.collect_list(
-        F.struct("context", "phrase", "n", "kinds", "one.anchor", "one.first", "one.last")).alias("places"))
+    """(key of the text, first, last), stored: runs of starts of strings that also start elsewhere."""
+    with scratch(docs.sparkSession):
+        # texts and places are dealt once, when it is known which phrases matter
+        found = saved(phrase_table(docs).join(live_phrases(docs).hint("merge"), ["context", "phrase"]))
+        whole = found.filter("n > 1").select("key", in_place(F.col("place"), "first"), in_place(F.col("place"), "last"))
+        return saved(whole.unionByName(compared(phrases_to_compare(docs, found))), keep=True)
+
+
+def phrases_to_compare(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Each phrase of an interval that splits, once, with its bytes."""
+    kinds = found.filter("kinds > 1").groupBy("context", "phrase").agg(
+        F.min("n").alias("n"), F.min("kinds").alias("kinds"), F.min(F.struct("key", "place")).alias("one"))
+    split = kinds.groupBy("one.key").agg(F.collect_list(F.struct(
+        "context", "phrase", "n", "kinds", *[in_place(F.col("one.place"), x) for x in ("anchor", "first", "last")])).alias("places"))
     texts = keyed_texts(docs).select("key", "text").join(split.hint("merge"), "key")
 
     def cut():
@@ -188,9 +208,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
             return out
         return step
 
-    wanted = arrow_map(texts, cut, "context bigint, phrase bigint, n bigint, kinds bigint, key binary, anchor int, first int, "
-                                   "last int, content binary")
-    return whole.unionByName(compared(wanted))
+    return arrow_map(texts, cut, "context bigint, phrase bigint, n bigint, kinds bigint, key binary, anchor int, first int, "
+                                 "last int, content binary")
 
 
 def cut_text(text: str | None, runs: list[dict] | None) -> tuple[bytes, int, int]:
@@ -212,7 +231,7 @@ def cut_text(text: str | None, runs: list[dict] | None) -> tuple[bytes, int, int
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    runs = saved(repeated_starts(docs)).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    runs = repeated_starts(docs).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     rows = keyed_texts(docs).join(runs.hint("merge"), "key", "left")
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -3,6 +3,7 @@ rows, extra columns, no rows at all."""
 
 import collections
 import hashlib
+import os
 import re
 import tracemalloc
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm import (op1_ngram_join, op2_sharding, op3_decontamination, op4_licenses, op5_html, op6_repeats,
                            op7_warc, op8_quality, op9_mixing, op10_language)
+from fleetlens.llm.common import saved, scratch
+from fleetlens.session import shared_folder
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size int"
@@ -199,6 +202,33 @@ def test_repeats(docs, rows, none, spark):
     assert op6_repeats.remove_repeats(none).count() == 0
 
 
+def test_repeats_keep_only_their_runs(docs, spark):
+    """What is stored on the way goes as soon as the runs are written; a place gives back its three numbers."""
+    folder = shared_folder(spark)
+    before = set(os.listdir(folder))
+    text = words(200, 77)
+    table = spark.createDataFrame([(1, text), (2, "a " + text), (3, text + " b"), (4, words(90, 5))], "doc_id bigint, text string")
+    runs = op6_repeats.repeated_starts(table)
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("table-")]) == 1
+    assert runs.count() and runs.columns == ["key", "first", "last"]
+    data = text.encode()
+    _, _, anchor, first, last = op6_repeats.phrases(np.frombuffer(data, np.uint8), op6_repeats.Hasher())
+    own = op6_repeats.phrase_table(table.filter("doc_id = 1")).select(
+        *[op6_repeats.in_place(F.col("place"), x) for x in ("anchor", "first", "last")])
+    assert sorted(map(tuple, own.collect())) == sorted(zip(anchor.tolist(), first.tolist(), last.tolist()))
+
+
+def test_scratch_inside_scratch(docs, spark):
+    """What the inner one keeps goes with the outer one."""
+    with scratch(spark):
+        with scratch(spark):
+            kept, gone = saved(spark.range(3).toDF("n"), keep=True), saved(spark.range(2).toDF("n"))
+            lost = re.sub("^file:/+", "/", gone.inputFiles()[0])
+        path = re.sub("^file:/+", "/", kept.inputFiles()[0])
+        assert kept.count() == 3 and os.path.exists(path) and not os.path.exists(lost)
+    assert not os.path.exists(path)
+
+
 def test_warc(spark, docs, tmp_path):
     body = "<p>" + "x" * 120 + "\r\n\r\nWARC/1.1\r\nContent-Length: 3</p>"
     pages = spark.createDataFrame([(5, "http://a/", body), (3, "http://b/\r\nx", body), (9, None, body), (1, "u", "short"), (2, "u", "short"),
