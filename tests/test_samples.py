@@ -153,3 +153,31 @@ def test_a_null_value_or_label_map_keeps_its_place(spark):
     spans = S.series_spans(df, (), ["g"]).filter("first IS NOT NULL").collect()
     minute = BASE // 60
     assert sorted((r.first - minute, r.last - minute, r.value) for r in spans) == [(1, 1, None), (2, 6, 7.0)]
+
+
+def test_containers_are_gathered_as_sorted(spark, tmp_path):
+    """A pod's containers are sorted as numbers once; neither specifications nor nested containers are sorted again."""
+    from checks import inputs as I
+
+    at = dt.datetime(2000, 1, 1)
+    rows = {
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]),
+        "supplier": ("s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double", [(0, "S", 0, 0.0)]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", [(1, "C", 0, 0.0, "M")]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+                   [(k, 1, "O", 1.0, at, "1") for k in (1, 2)]),
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double,"
+                     " l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+                     [(1, part, 1, n, 13.0 if n == 4 else 1.0, 1.0, 0.0, 0.0, "N", "F", at) for n in (4, 2, 5, 1, 3) for part in (7, 8)]),
+    }
+    for name, (schema, made) in rows.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    pods = I.pods(spark, str(tmp_path))
+    found = {r["uid"]: r for r in pods.select(
+        "meta.uid", F.col("spec.initContainers.name").alias("inits"), F.col("spec.containers.name").alias("mains"),
+        F.col("spec.containers.image").alias("images"), F.col("status.containerStatuses.name").alias("told")).collect()}
+    one, two = found["order-1"], found["order-2"]
+    assert (one.inits, one.mains, one.told) == (["c-1", "c-2"], ["c-3", "c-4", "c-5"], ["c-3", "c-5"])
+    assert set(one.images) == {"img/8:1"} and (two.inits, two.mains, two.told) == (None, None, None)
+    plan = pods._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" in plan and "ObjectHashAggregate" not in plan
