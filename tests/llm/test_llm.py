@@ -8,6 +8,7 @@ import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,46 @@ def test_decontamination(spark, docs, none):
     assert op3_decontamination.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_basis_is_fitted_on_all_passages_of_all_texts(spark, docs, monkeypatch):
+    op3, rng = op3_decontamination, np.random.default_rng(4)
+    texts = [" ".join(f"v{x}" for x in rng.zipf(1.3, n) % 4000) for n in rng.integers(1, 400, 120)]
+    texts.append(" ".join(f"long{i}" for i in range(3 * 480 + 47)))
+    split = lambda some: op3.split(spark.createDataFrame([(t,) for t in some], "text string").repartition(3))
+    idf = op3.inverse_frequencies(split(texts))
+    stored = split([*texts, *texts[:50], *texts[:20], "", None])  # copies change nothing
+    monkeypatch.setattr(op3, "ITEM_PART", 100)
+    got = op3.fit_basis(stored, split(texts[40:60]), idf)
+    rows = []
+    for t in [*texts, *texts[40:60]]:
+        hashes = op3.hashes_of_words(op3.words_of(t))
+        n = max(1, len(hashes) // op3.FIT_WORDS)
+        for i in range(n):
+            part = hashes[i * op3.FIT_WORDS:(i + 1) * op3.FIT_WORDS if i + 1 < n else None]
+            row = np.bincount(op3.terms_of(part), minlength=op3.TERMS) * idf.astype(np.float64)
+            rows.append(row / np.linalg.norm(row))
+    a = np.array(rows)
+    n = sum(max(1, len(op3.words_of(t)) // op3.FIT_WORDS) for t in texts)
+    assert n > 400 and len(a) - n < 100
+    a[n:] *= np.sqrt(n / 100)  # the items' passages, each as one in ITEM_PART of the documents'
+    v = np.random.default_rng(op3.SEED).standard_normal((op3.TERMS, op3.LEADING + op3.RANK + op3.EXTRA), np.float32).astype(np.float64)
+    v = v[np.argsort(np.argsort(idf, kind="stable"), kind="stable")]  # the start has the commonest term first
+    for _ in range(op3.POWER):
+        v = a.T @ (a @ np.linalg.qr(v)[0])
+    q, r = np.linalg.qr(v)
+    want = q @ np.linalg.svd(r)[0][:, op3.LEADING:op3.LEADING + op3.RANK]
+    assert np.abs(got @ got.T[:, ::64] - want @ want.T[:, ::64]).max() < 1e-3
+    assert got[np.unique(op3.terms_of(op3.hashes_of_words(op3.words_of(texts[-1]))))].any(axis=1).all()
+    # a long text in pieces has the passages of the whole
+    monkeypatch.setattr(op3, "GATHERED", 480)
+    batch = pa.RecordBatch.from_pydict({"words": [op3.hashes_of_words(op3.words_of(t)).tobytes() for t in texts], "share": [1.0] * len(texts)})
+    pieces, out = list(op3.gathered(iter([batch]))), np.zeros((op3.TERMS, 96), np.float32)
+    assert len(pieces) > 10 and max(len(words) for words, _, _ in pieces) < 480 + 527
+    v = np.random.default_rng(5).standard_normal(out.shape, np.float32)
+    for piece in pieces:
+        op3.add_products(*piece, np.arange(op3.TERMS), idf, v, out)
+    assert np.abs(out - a[:n].T @ (a[:n] @ v)).max() < 1e-3
+
+
 def test_basis_is_decomposed_in_little_memory():
     basis = np.random.default_rng(1).standard_normal((op3_decontamination.TERMS, 96), np.float32) * np.logspace(0, -3, 96, dtype=np.float32)
     q = basis.copy()
