@@ -109,7 +109,7 @@ def _rate(window_minutes: int) -> Column:
 def series_spans(
     samples: DataFrame, labels: Sequence[str] = (), gauges: Sequence[str] = (), counters: Sequence[str] = (),
     windows: Sequence[int] = (), lookback_minutes: int = LOOKBACK_MINUTES, series: DataFrame | None = None,
-    single: Column | None = None,
+    single: Column | None = None, dealt_by: Sequence[str] = (),
 ) -> DataFrame:
     """Values of every series with the minutes they are visible at: cluster_uuid, series_id, labels (``l_..``), metric, first and
     last (minute numbers), and for gauges ``value``, for counters ``rate1, rate2, ..`` by window in minutes (NULL for the other
@@ -119,6 +119,9 @@ def series_spans(
     stays one row, whatever the number of minutes. A counter's slice counts for the steps whose window holds it, and has a
     row for each; so have the series that ``single`` (a test of ``metric``) holds for. Of several values at one instant
     the largest counts. Counters' points are gathered per series and minute as a set, so repeats vanish.
+
+    ``dealt_by`` names labels that samples are dealt by, with their cluster, in the place of the whole series, where what
+    follows is added or looked up by these; not for stored samples, which have no labels yet.
     """
     counter = F.col("metric").isin(list(counters)) if counters else F.lit(False)
     t = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -130,8 +133,10 @@ def series_spans(
         tagged = samples.select("cluster_uuid", series_id(F.col("labels")).alias("series_id"), "metric", *_labelled(labels), "ts", "value")
     else:
         carried, tagged = [], samples.select(*key, "metric", "ts", "value")
-    dealt = tagged.select(*key, "metric", *carried, _minute_index(F.col("ts")).alias("slice"), t.alias("t"), "value").repartition(*key)
-    history = Window.partitionBy(*key, "metric").orderBy("slice")
+    places = [label_column(name) for name in dealt_by]
+    dealt = tagged.select(*key, "metric", *carried, _minute_index(F.col("ts")).alias("slice"), t.alias("t"), "value").repartition(
+        *([*places, "cluster_uuid"] if places else key))
+    history = Window.partitionBy(*key, *places, "metric").orderBy("slice")
     longest = max(windows, default=1)
     columns = [*key, *names, "metric", "slice"]
     if counters:
@@ -141,7 +146,7 @@ def series_spans(
         slices = dealt.groupBy(*key, "metric", "slice", *carried).agg(*found)
     else:
         # In the order of time the newest of a slice is what another slice, or nothing, follows.
-        order = Window.partitionBy(*key, "metric").orderBy("slice", "t", "value")
+        order = Window.partitionBy(*key, *places, "metric").orderBy("slice", "t", "value")
         followed = F.lead(F.lit(True)).over(order).alias("_followed")
         slices = dealt.select("*", F.lead("slice").over(order).alias("_next"), followed).filter(
             F.col("_followed").isNull() | ~F.col("_next").eqNullSafe(F.col("slice")))

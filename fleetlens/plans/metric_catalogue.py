@@ -148,6 +148,8 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
     visible at. Values travel as such spans and become minutes only where they are added; sums over many entities are
     added on the map side first, by equal spans. ``meet`` is the node by which a share meets what it is a share of: both
     are dealt by it, so that they are added in the partition they meet in. ``series`` is the dictionary of stored samples.
+    Samples that come with their labels and are all for pods or containers are dealt by pod at once (:func:`of_pods`), added there
+    and found with the pod's labels (``l_..``) beside the other columns.
     """
     wanted = list(dict.fromkeys(s for q in queries for s in sums_of(q)))
     if len({s.key for s in wanted}) < len(wanted):
@@ -165,7 +167,9 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
         picked = picked.filter(asked)
     second = F.col("metric").isin(list(pairs))
     paired = F.col("metric").isin([*pairs, *pairs.values()]) if pairs else None
-    spans = S.series_spans(picked, names, gauges, counters, windows, series=series, single=paired)
+    by_pod = POD_LABELS if series is None and of_pods(queries) else ()
+    spans = S.series_spans(picked, names, gauges, counters, windows, series=series, single=paired, dealt_by=by_pod)
+    held = [S.label_column(name) for name in by_pod]
     rates = [f"rate{w}" for w in windows]
     if pairs:
         # Both metrics of a pair meet in the partition their series is in.
@@ -192,17 +196,18 @@ def sums(queries: Sequence[MetricQuery], samples: DataFrame, series: DataFrame |
     for metric in dict.fromkeys(s.metric for s in wanted):
         test, rows = F.col("metric") == metric, F.array_compact(F.array(*[entry(s) for s in wanted if s.metric == metric]))
         shares = F.when(test, rows) if shares is None else shares.when(test, rows)
-    handed = spans.select("cluster_uuid", "first", "last", F.explode(shares).alias("_s")).select(
-        "cluster_uuid", "first", "last", "_s.*", F.lit(1).cast("bigint").alias("n"))
+    handed = spans.select("cluster_uuid", *held, "first", "last", F.explode(shares).alias("_s")).select(
+        "cluster_uuid", *held, "first", "last", "_s.*", F.lit(1).cast("bigint").alias("n"))
     if not all(ENTITIES & set(s.by) for s in wanted):
         handed = handed.groupBy("cluster_uuid", "sums", "by", "first", "last").agg(
             F.sum("x").alias("x"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("n"))
     places = {sums_of(q)[part].key: sums_of(q)[part].by.index(node) for q in queries if q.shape in SHARES for part, node in enumerate((MET_BY[q.shape], "node"))}
     meet = F.get(F.col("by"), _of(places, "sums", "int", "bigint"))
-    dealt = handed.withColumn("meet", F.coalesce(meet, F.array_join("by", "\u001f"), F.lit(""))).repartition("cluster_uuid", "meet")
+    dealt = handed.withColumn("meet", F.coalesce(meet, F.array_join("by", "\u001f"), F.lit("")))
+    dealt = dealt if by_pod else dealt.repartition("cluster_uuid", "meet")
     # A hash of the key leads it, so that sorting seldom compares texts.
     dealt = dealt.withColumn("_hash", F.xxhash64("cluster_uuid", "sums", "by"))
-    key = ["_hash", "cluster_uuid", "meet", "sums", "by"]
+    key = ["_hash", "cluster_uuid", "meet", "sums", "by", *held]
     # Equal spans first: what is left of a block is bounded by its minutes, and becomes minutes inside one row.
     spans = dealt.groupBy(*key, "first", "last").agg(F.sum("x").alias("x"), F.sum("total").alias("total"), F.sum("n").alias("n"))
     pieces = spans.withColumn("block", F.explode(F.sequence(block_of(F.col("first")), block_of(F.col("last")), F.lit(BLOCK).cast("bigint"))))
@@ -238,6 +243,8 @@ def _added(spans: Column) -> Column:
     return F.when(F.size(spans) == 1, of_one(F.element_at(spans, 1))).otherwise(several)
 
 
+#: Labels that tell a pod within its cluster, in the order it is looked up by.
+POD_LABELS = ("pod", "namespace")
 #: Labels that leave few series to a sum: adding on the map side first would hardly make fewer rows.
 ENTITIES = {"node", "instance", "pod", "container"}
 #: Label by which a share's numerator meets the sum of a node.
@@ -246,6 +253,11 @@ MET_BY = {"share_of_capacity": "node", "share_of_node": "instance"}
 BLOCK = 60
 
 
+def of_pods(queries: Sequence[MetricQuery]) -> bool:
+    """Whether all that queries are made from is added within pods, and nothing of it meets the sum of a node."""
+    return all(q.scope in ("pod", "container") and q.shape not in SHARES and set(POD_LABELS) <= set(sums_of(q)[0].by) for q in queries)
+
+
 def block_of(minute: Column) -> Column:
     """First minute of the block a minute is in."""
     return minute - F.pmod(minute, F.lit(BLOCK))
@@ -272,14 +284,15 @@ def _handed(queries: Sequence[MetricQuery], part: int = 0) -> Column:
 
 
 def values_of(queries: Sequence[MetricQuery], found: DataFrame) -> DataFrame:
-    """Values of queries from :func:`sums`: cluster_uuid, block, query (key), by (its label values), points (minute, value).
+    """Values of queries from :func:`sums`: cluster_uuid, block, query (key), by (its label values), points (minute, value), and the
+    labels that the sums have as columns.
 
     Queries of like shape are made together, so the plan does not grow with their number.
     """
     of_shape = lambda *shapes: [q for q in queries if q.shape in shapes]
     places = lambda query, names: [sums_of(query)[0].by.index(name) for name in names]
     point = lambda p, value: F.struct(p["minute"].alias("minute"), value.alias("value"))
-    columns, parts = ["cluster_uuid", "block", "query", "by", "points"], []
+    columns, parts = ["cluster_uuid", "block", "query", "by", "points", *_labels_in(found)], []
 
     def own_by(some: list[MetricQuery]) -> Column:
         at = _of({q.key: places(q, q.by) for q in some if q.by}, "query", "array<int>")
@@ -328,10 +341,17 @@ def values_of(queries: Sequence[MetricQuery], found: DataFrame) -> DataFrame:
     return merged.withColumn("points", known)
 
 
+def _labels_in(rows: DataFrame) -> list[str]:
+    """Label columns that rows are dealt by: naming these and not the like texts in ``by`` keeps rows where they are."""
+    return [c for c in map(S.label_column, POD_LABELS) if c in rows.columns]
+
+
 def evaluate(query: MetricQuery, samples: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Values of one query: cluster_uuid, block, grouping labels, points (minute, value)."""
     values = values_of([query], sums([query], samples, series))
-    return values.select("cluster_uuid", "block", *[F.col("by")[i].alias(name) for i, name in enumerate(query.by)], "points")
+    held = _labels_in(values)
+    label = lambda i, name: F.col(S.label_column(name)) if S.label_column(name) in held else F.col("by")[i]
+    return values.select("cluster_uuid", "block", *[label(i, name).alias(name) for i, name in enumerate(query.by)], "points")
 
 
 # Grouping labels that are the entity's own identity leave one series per key: nothing can collide.
@@ -343,8 +363,10 @@ def to_points(
     keep_all: bool = False,
 ) -> DataFrame:
     """Resolve the values of one query to entities and give stored points: entity_uuid, timestamp, category, name, value."""
-    by = F.array(*[F.coalesce(F.col(name), F.lit("")) for name in query.by]).cast("array<string>")
-    long = values.select("cluster_uuid", "block", F.lit(query.key).alias("query"), by.alias("by"), "points")
+    label = lambda name: F.coalesce(F.col(name), F.lit(""))
+    by = F.array(*map(label, query.by)).cast("array<string>")
+    held = [label(name).alias(S.label_column(name)) for name in POD_LABELS if set(POD_LABELS) <= set(query.by)]
+    long = values.select("cluster_uuid", "block", F.lit(query.key).alias("query"), by.alias("by"), "points", *held)
     return points_of([query], long, aliases, pods, keep_all)
 
 
@@ -360,6 +382,8 @@ def points_of(
     scope, = {q.scope for q in queries}
 
     def label(name: str) -> Column:
+        if S.label_column(name) in _labels_in(values):
+            return F.col(S.label_column(name))
         return F.get(F.col("by"), _of({q.key: q.by.index(name) for q in queries if name in q.by}, "query", "int"))
 
     names = _of({q.key: q.by for q in queries if q.by}, "query", "array<string>")
@@ -375,20 +399,23 @@ def points_of(
     elif scope == "node":
         placed = lookup_nodes(rows, aliases).withColumnRenamed("node_uuid", "entity_uuid")
     else:
-        placed = lookup_pods(rows, pods).withColumnRenamed("pod_uuid", "entity_uuid")
-        if scope == "container":
-            placed = placed.withColumn("entity_uuid", uuid5(F.col("entity_uuid"), F.col("container")))
+        placed = lookup_pods(rows, pods)
+        if scope == "pod":
+            placed = placed.withColumnRenamed("pod_uuid", "entity_uuid")
     keys = ["entity_uuid", "timestamp", "category", "name"]
     single = all((q.scope, q.by) in _ONE_SERIES_PER_ENTITY for q in queries)
+    place = ["pod_uuid"] if scope == "container" else []
     if not single:
-        # Blocks are dealt by entity, and their points are grouped where they are.
-        placed = placed.repartition("entity_uuid", "block")
+        # Blocks are dealt by entity, those of containers by pod, and their points are grouped where they are.
+        placed = placed.repartition(*(place or ["entity_uuid"]), "block")
+    if scope == "container":
+        placed = placed.withColumn("entity_uuid", uuid5(F.col("pod_uuid"), F.col("container")))
     # The outer form, as Spark tests what an inner one takes apart beforehand and so makes all points twice.
-    rows = placed.select("entity_uuid", "category", "name", "block", "_text", F.inline_outer("points")).filter(F.col("minute").isNotNull())
+    rows = placed.select(*place, "entity_uuid", "category", "name", "block", "_text", F.inline_outer("points")).filter(F.col("minute").isNotNull())
     points = rows.withColumn("timestamp", S.minute_time(F.col("minute")))
     if single:
         return points.select(*keys, "value")
-    return points.groupBy(*keys, "block").agg(F.max_by("value", "_text").alias("value")).select(*keys, "value")
+    return points.groupBy(*place, *keys, "block").agg(F.max_by("value", "_text").alias("value")).select(*keys, "value")
 
 
 #: Labels that tell a scope's entities.

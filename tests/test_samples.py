@@ -122,6 +122,35 @@ def test_sums_keep_a_value_in_one_row_for_all_its_minutes(spark):
     assert "hashpartitioning(entity_uuid" in plan and "timestamp" not in plan.split("hashpartitioning(entity_uuid")[1].split(")")[0]
 
 
+def test_samples_of_pods_are_dealt_once(spark):
+    """Samples with labels are dealt by pod; sums and lookup follow in the same partitions, then points are dealt by entity."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    ids = [f"{i}0000000-0000-4000-8000-00000000000{i}" for i in range(3)]
+    pods = spark.createDataFrame([("c", "s", "p", ids[0]), ("c", "s", "q", ids[1]), ("c", "t", "p", ids[2])],
+                                 "cluster_uuid string, namespace string, name string, uuid string")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for key in ("m_container_cpu_limit", "m_pod_memory_limit", "m_pod_memory_usage_bytes", "m_pod_cpu_usage"):
+            query = M.QUERIES[key]
+            rows = []
+            for namespace, pod, value in (("s", "p", 1), ("s", "q", 2), ("t", "p", 4), ("t", "gone", 8), ("s", "", 16)):
+                who = {"node": "n", "instance": "n", "namespace": namespace, "pod": pod, "container": "c", "resource": "memory" if "memory" in key else "cpu"}
+                rows += [(query.metric, who, at, value * at) for at in (30, 60)]
+                rows.append((query.metric, {**who, "node": "o", "instance": "o"}, 30, 0))
+            points = M.to_points(query, M.evaluate(query, frame(spark, rows)), None, pods)
+            plan = points._jdf.queryExecution().executedPlan().toString()
+            found = {(r.entity_uuid, r.value) for r in points.collect() if seconds(r.timestamp) == 60}
+            # the higher label text stays, but where nodes are added up; one sample gives no rate
+            want = {"m_pod_cpu_usage": (1, 2, 4), "m_pod_memory_usage_bytes": (60, 120, 240)}.get(key, (0, 0, 0))
+            assert sorted(v for _, v in found) == list(want), key
+            dealt = plan.count("Exchange hashpartitioning(")
+            assert dealt == 3 - (key == "m_pod_memory_usage_bytes") and "hashpartitioning(l_pod" in plan, key  # one of them deals the pods
+            if key != "m_container_cpu_limit":
+                assert {u for u, _ in found} == set(ids)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_containers_are_dealt_before_their_specifications_are_made(spark):
     from checks import inputs as I
 
