@@ -12,6 +12,7 @@ from fleetlens.functions.text import log_tail
 from fleetlens.operators.links import node_aliases
 from fleetlens.operators.normalize import with_meta
 from fleetlens.plans.metric_catalogue import metric_points
+from fleetlens.session import DROP_SHUFFLES
 from fleetlens.sources.readers import append_samples, read_changes, stored_samples
 from fleetlens.sources.tables import TableStore
 from fleetlens.streaming.alerts import alert_subscriber
@@ -252,3 +253,20 @@ def test_stored_samples_open_only_their_days_and_metrics(spark, tmp_path):
     assert {r.ts.day for r in store.read("sample").collect()} == {3, 4}
     with pytest.raises(ValueError), store.transaction() as t:
         t.append("label", feed)
+
+
+def test_poller_deals_samples_by_series_only(spark, tmp_path):
+    """The minutes of a batch are staged, so Spark knows how few they are; its setting for shuffle files comes back after each write."""
+    store, before = TableStore(spark, str(tmp_path / "s")), spark.conf.get(DROP_SHUFFLES)
+    rows = [("c", "machine_cpu_cores", {"node": f"n{i}"}, dt.datetime(2024, 1, 1, 0, i), 4.0) for i in range(4)]
+    feed = spark.createDataFrame(rows, "cluster_uuid string, metric string, labels map<string,string>, ts timestamp, value double")
+    poller = MetricPoller(store, lambda: None, lambda: None, scopes=("node",), writer="w")
+    with store.transaction() as t:
+        append_samples(t, feed)
+    assert spark.conf.get(DROP_SHUFFLES) == before
+    with store.transaction() as t:
+        found, steps = poller.sums_of_minutes(feed, t.stage)
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(_minute" not in text and "hashpartitioning(series_id" in text
+        assert steps.count() == 8 and {r.by[0]: [p.minute - 28401120 for p in r.points] for r in found.collect()} == {
+            f"n{i}": list(range(i, i + 5)) for i in range(4)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fleetlens import schemas
 from fleetlens.sources import tables as T
 from fleetlens.sources.readers import read_config, read_incidents, read_logs, read_rules, read_samples, read_snapshot, warm_keys
+from fleetlens.session import DROP_SHUFFLES, dropping_shuffles
 from fleetlens.sources.sinks import fan_out, with_row_count
 
 
@@ -313,3 +314,21 @@ def test_the_rows_of_one_write_are_not_dealt_by_key(spark, store):
     assert sorted((tuple(r) for r in store.read("label").collect()), key=str) == [("a", "n", "1"), ("b", "n", "2"), ("c", "n", "3"), (None, "n", "2")]
     store.write_upsert("label", labels(spark, ("c", "n", "4")))
     assert "Window" in plan() and ("c", "n", "4") in store.read("label").collect()
+
+
+def test_shuffle_files_go_with_the_write(spark, store, monkeypatch):
+    """Writes and compaction run with Spark's clean-up of shuffle files; the session's own setting comes back, also after an error."""
+    seen, before, write = [], spark.conf.get(DROP_SHUFFLES), T.TableStore.write_part
+
+    def watched(self, *given, **more):
+        seen.append(spark.conf.get(DROP_SHUFFLES))
+        return write(self, *given, **more)
+
+    monkeypatch.setattr(T.TableStore, "write_part", watched)
+    store.write_upsert("label", labels(spark, ("a", "n", "1"), ("b", "n", "1"), ("a", "n", "2")))
+    store.write_upsert("label", labels(spark, ("a", "n", "3")))
+    assert store.compact(force=True) == ["label"] and seen == ["true"] * 3 and spark.conf.get(DROP_SHUFFLES) == before
+    assert rows(store, "label") == [("a", "n", "3"), ("b", "n", "1")]
+    with pytest.raises(ZeroDivisionError), dropping_shuffles(spark):
+        1 / 0
+    assert spark.conf.get(DROP_SHUFFLES) == before
