@@ -131,6 +131,16 @@ def test_decontamination(spark, docs, none):
     assert op3_decontamination.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_items_without_an_id_are_searched(spark, docs):
+    item, other, named = words(40, 250), words(30, 77), words(35, 500)
+    bench = spark.createDataFrame([(None, item), (None, other), (7, named), (None, None)], "item_id bigint, text string")
+    more = spark.createDataFrame([(100, f"{words(50, 600)} {item} {words(50, 800)}"), (101, f"{item} {named} {other}"), (102, words(90, 310)[::-1])],
+                                 "doc_id bigint, text string")
+    found = {r["doc_id"]: [x["item_id"] for x in r["found"]] for r in op3_decontamination.findings(more, bench).collect()}
+    assert found == {100: [None], 101: [None, 7], 102: []}
+    assert [r["doc_id"] for r in op3_decontamination.clean_documents(more, bench).collect()] == [102]
+
+
 def test_basis_is_fitted_on_all_passages_of_all_texts(spark, docs, monkeypatch):
     op3, rng = op3_decontamination, np.random.default_rng(4)
     texts = [" ".join(f"v{x}" for x in rng.zipf(1.3, n) % 4000) for n in rng.integers(1, 400, 120)]
