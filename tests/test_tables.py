@@ -332,3 +332,22 @@ def test_shuffle_files_go_with_the_write(spark, store, monkeypatch):
     with pytest.raises(ZeroDivisionError), dropping_shuffles(spark):
         1 / 0
     assert spark.conf.get(DROP_SHUFFLES) == before
+
+
+def test_compacted_samples_come_before_the_next_write(spark, store):
+    """A retention after compaction finds the folded rows before it, whatever the random ending of its name."""
+    rows = spark.createDataFrame([("c", b"s", "m", dt.datetime(2024, 1, day), 1.0) for day in (1, 2, 3, 4)],
+                                 "cluster_uuid string, series_id binary, metric string, ts timestamp, value double")
+    for _ in range(2):
+        with store.transaction() as t:
+            t.append("sample", rows)
+    for _ in range(2):
+        store.compact(["sample"], force=True)
+        found, = store.snapshot().parts("sample", "rows")
+        folder = found.path.partition("_commit=")[2]
+        assert found.commit < folder < f"{store.snapshot().number + 1:012d}-"
+        with store.transaction() as t:
+            t.append("sample", rows)
+    store.compact(["sample"], force=True)
+    store.retention("sample", "2024-01-04 00:00:00")
+    assert [r.ts.day for r in store.read("sample").sort("ts").collect()] == [3] * 4 + [4] * 4
